@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,7 +126,3 @@ def rotate_batch(images: np.ndarray, angles: np.ndarray) -> np.ndarray:
     row = np.arange(n)[:, None, None]
     picked = images[row, np.clip(from_y, 0, height - 1), np.clip(from_x, 0, width - 1)]
     return np.where(inside, picked, 0)
-
-
-def stack_images(pixels: pd.Series, height: int, width: int) -> np.ndarray:
-    return np.stack([np.asarray(p, dtype=np.float64) for p in pixels]).reshape(-1, height, width)

@@ -13,19 +13,6 @@ def present(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def as_int(text: Column) -> Column:
-    return present(text).try_cast("int")
-
-
-def as_double(text: Column) -> Column:
-    return present(text).try_cast("double")
-
-
-def is_malformed(text: Column, parsed: Column) -> Column:
-    """Text is there but is no number."""
-    return present(text).isNotNull() & parsed.isNull()
-
-
 def or_missing(value: Column) -> Column:
     """Output form of a missing number; inside the engine it stays NULL."""
     return F.coalesce(value, F.lit(MISSING))

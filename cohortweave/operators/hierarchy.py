@@ -71,17 +71,14 @@ def cohort_join(series: DataFrame, patients: DataFrame) -> DataFrame:
 
 def cohort_unmatched(series: DataFrame, patients: DataFrame) -> DataFrame:
     """Both sides without a partner: studies without a patient, patients without a study."""
-    studies = series.select("patient_id", "study_id").distinct()
-    known = patients.select("patient_id")
-    lonely_studies = (
-        studies.withColumn("_id", F.col("patient_id").try_cast("bigint"))
-        .join(known.withColumnRenamed("patient_id", "_id"), "_id", "left_anti")
-        .select(F.lit("study").alias("side"), F.col("patient_id").cast("string").alias("patient_id"), "study_id")
+    studies = series.select(
+        F.col("patient_id").try_cast("bigint").alias("_id"), F.col("patient_id").alias("_named"), "study_id"
+    ).distinct()
+    known = patients.select(F.col("patient_id").alias("_known"))
+    both = studies.join(known, F.col("_id") == F.col("_known"), "full_outer")
+    lonely = both.where(F.col("_known").isNull() | F.col("_id").isNull())
+    return lonely.select(
+        F.when(F.col("_known").isNull(), "study").otherwise("patient").alias("side"),
+        F.coalesce(F.col("_named").cast("string"), F.col("_known").cast("string")).alias("patient_id"),
+        "study_id",
     )
-    with_studies = _numeric_subject(studies).select("patient_id")
-    lonely_patients = known.join(with_studies, "patient_id", "left_anti").select(
-        F.lit("patient").alias("side"),
-        F.col("patient_id").cast("string").alias("patient_id"),
-        F.lit(None).cast("string").alias("study_id"),
-    )
-    return lonely_studies.unionByName(lonely_patients)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.functions.values import as_double, as_int, is_malformed, or_missing, present, subject_key
-from cohortweave.schemas import CLINICAL_COLUMNS, OUTCOME_COLUMNS
+from cohortweave.functions.values import subject_key
+from cohortweave.schemas import CLINICAL_COLUMNS, MISSING, OUTCOME_COLUMNS
 
 KEY = "SUBJECTID"
 
@@ -38,8 +38,8 @@ _OUTCOME = [*_REQUIRED, "pCR", "RCB"]
 
 def _one_row_per_subject(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
     """The least row of every subject, found with partial aggregates."""
-    fields = F.struct(*[F.col(f"`{c}`") for c in columns if c != KEY])
-    return rows.groupBy(subject_key(F.col(KEY)).alias("subject_id")).agg(F.min(fields).alias(name))
+    fields = ", ".join(f"`{c}`" for c in columns if c != KEY)
+    return rows.groupBy(subject_key(F.col(KEY)).alias("subject_id")).agg(F.expr(f"min(struct({fields}))").alias(name))
 
 
 def join_patient_rows(outcomes: DataFrame, clinical: DataFrame) -> DataFrame:
@@ -49,44 +49,38 @@ def join_patient_rows(outcomes: DataFrame, clinical: DataFrame) -> DataFrame:
     )
 
 
-def _reason() -> Column:
-    malformed = F.lit(False)
-    for name, source in _INT_FIELDS.items():
-        malformed = malformed | is_malformed(F.col(source), F.col(name))
-    malformed = malformed | is_malformed(F.col("c.age"), F.col("age"))
-    incomplete = F.lit(False)
-    for name in _REQUIRED:
-        incomplete = incomplete | F.col(name).isNull()
-    return (
-        F.when(F.col("subject_id").isNull() | F.col("patient_id").isNull(), "bad_subject_id")
-        .when(F.col("c").isNull(), "missing_clinical")
-        .when(F.col("o").isNull(), "missing_outcome")
-        .when(malformed, "malformed_field")
-        .when(incomplete, "missing_required")
-    )
+def _reason() -> str:
+    fields = {**_INT_FIELDS, "age": "c.age"}
+    malformed = " OR ".join(f"(nullif({source}, '') IS NOT NULL AND {name} IS NULL)" for name, source in fields.items())
+    incomplete = " OR ".join(f"{name} IS NULL" for name in _REQUIRED)
+    return f"""CASE WHEN patient_id IS NULL THEN 'bad_subject_id'
+        WHEN c IS NULL THEN 'missing_clinical' WHEN o IS NULL THEN 'missing_outcome'
+        WHEN {malformed} THEN 'malformed_field' WHEN {incomplete} THEN 'missing_required' END AS reason"""
 
 
 def format_patients(joined: DataFrame) -> DataFrame:
-    """Nested patients with a ``reason`` where a row cannot be one (else NULL)."""
-    parsed = joined.select(
+    """Nested patients with a ``reason`` where a row cannot be one (else NULL).
+
+    Empty text is a missing value. Text that is no number is a malformed field.
+    """
+    parsed = joined.selectExpr(
         "subject_id",
         "o",
         "c",
-        F.col("subject_id").try_cast("bigint").alias("patient_id"),
-        as_double(F.col("c.age")).alias("age"),
-        *[as_int(F.col(source)).alias(name) for name, source in _INT_FIELDS.items()],
+        "try_cast(subject_id AS BIGINT) AS patient_id",
+        "try_cast(nullif(c.age, '') AS DOUBLE) AS age",
+        *[f"try_cast(nullif({source}, '') AS INT) AS {name}" for name, source in _INT_FIELDS.items()],
     )
-    # The extraction date stands in both files; the clinical one wins.
-    date = F.coalesce(present(F.col("c.DataExtractDt")), present(F.col("o.DataExtractDt")))
-    return parsed.select(
+    return parsed.selectExpr(
         "subject_id",
         "patient_id",
-        date.alias("extract_date"),
-        F.struct("age", "race").alias("demographic"),
-        F.struct(*_CLINICAL).alias("clinical"),
-        F.array(*_READINGS).alias("LD"),
-        F.struct(*_OUTCOME).alias("outcome"),
-        _reason().alias("reason"),
+        # The extraction date stands in both files; the clinical one wins.
+        "coalesce(nullif(c.DataExtractDt, ''), nullif(o.DataExtractDt, '')) AS extract_date",
+        "struct(age, race) AS demographic",
+        f"struct({', '.join(_CLINICAL)}) AS clinical",
+        f"array({', '.join(_READINGS)}) AS LD",
+        f"struct({', '.join(_OUTCOME)}) AS outcome",
+        _reason(),
     )
 
 
@@ -100,11 +94,12 @@ def quarantined_patients(formatted: DataFrame) -> DataFrame:
 
 def patient_features(patients: DataFrame) -> DataFrame:
     """Flat features in output form, where a missing value is -1."""
-    return patients.select(
+    missing = lambda source: f"coalesce({source}, {MISSING}) AS {source.split('.')[-1]}"
+    return patients.selectExpr(
         "patient_id",
-        or_missing(F.col("demographic.age")).alias("age"),
-        or_missing(F.col("demographic.race")).alias("race"),
-        *[or_missing(F.col(f"clinical.{c}")).alias(c) for c in _CLINICAL],
-        *[or_missing(F.col(f"outcome.{c}")).alias(c) for c in _OUTCOME],
-        F.transform("LD", or_missing).alias("LD"),
+        missing("demographic.age"),
+        missing("demographic.race"),
+        *[missing(f"clinical.{c}") for c in _CLINICAL],
+        *[missing(f"outcome.{c}") for c in _OUTCOME],
+        f"transform(LD, x -> coalesce(x, {MISSING})) AS LD",
     )

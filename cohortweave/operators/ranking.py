@@ -48,6 +48,40 @@ def global_row_number(df: DataFrame, order: Sequence[str], out: str, start: int
     )
 
 
+def hot_groups(sizes: DataFrame, group: Sequence[str], too_large: Column) -> DataFrame | None:
+    """Keys of the groups too large for one task, or None where there are none.
+
+    ``sizes`` has one row per group. With a bound of n rows per group the keys are at
+    most a n-th of the rows.
+    """
+    hot = sizes.where(too_large).select(*group)
+    return None if hot.isEmpty() else written(hot, "hot-groups")
+
+
+def split_groups(df: DataFrame, hot: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the other groups, and rows of the hot ones."""
+    rows, keys = df.alias("l"), hot.alias("r")
+    same = _same_group(group)
+    return rows.join(keys, same, "left_anti"), rows.join(keys, same, "left_semi")
+
+
+def rank_in_task(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Rank by a window: one group, one task."""
+    window = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(window).cast("bigint"))
+
+
+def rank_across_tasks(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Rank by range partitions, which split a group: its row's number less that of its first row."""
+    numbered = global_row_number(df, [*group, *order], "_no")
+    first = numbered.groupBy(*group).agg(F.min("_no").alias("_first"))
+    return (
+        numbered.alias("l")
+        .join(first.alias("r"), _same_group(group))
+        .select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col("_no") - F.col("_first") + 1).alias(out))
+    )
+
+
 def rank_within(
     df: DataFrame,
     group: Sequence[str],
@@ -58,29 +92,14 @@ def rank_within(
     """``row_number() over (partition by group order by order)`` that survives a hot group.
 
     ``group`` and ``order`` together must be a unique key. Groups of up to
-    ``hot_group_rows`` rows are ranked by a plain window. Larger ones, of which
-    there are at most rows / hot_group_rows, are numbered over range partitions
-    that split the group, less the number before the group's first row.
+    ``hot_group_rows`` rows are ranked in a task each, larger ones across tasks.
     """
-    window = Window.partitionBy(*group).orderBy(*order)
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    hot = sizes.where(F.col("_size") > hot_group_rows).select(*group)
-    if hot.isEmpty():
-        return df.withColumn(out, F.row_number().over(window).cast("bigint"))
-    hot = written(hot, "hot-groups").alias("r")
-    rows = df.alias("l")
-    plain = rows.join(hot, _same_group(group), "left_anti").withColumn(
-        out, F.row_number().over(window).cast("bigint")
-    )
-    large = rows.join(hot, _same_group(group), "left_semi")
-    numbered = global_row_number(large, [*group, *order], "_no")
-    first = numbered.groupBy(*group).agg(F.min("_no").alias("_first"))
-    split = (
-        numbered.alias("l")
-        .join(first.alias("r"), _same_group(group))
-        .select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col("_no") - F.col("_first") + 1).alias(out))
-    )
-    return plain.unionByName(split)
+    hot = hot_groups(sizes, group, F.col("_size") > hot_group_rows)
+    if hot is None:
+        return rank_in_task(df, group, order, out)
+    plain, large = split_groups(df, hot, group)
+    return rank_in_task(plain, group, order, out).unionByName(rank_across_tasks(large, group, order, out))
 
 
 def list_blocks(

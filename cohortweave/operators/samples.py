@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortweave.functions import pixels as px
 from cohortweave.functions.values import known
@@ -127,46 +126,65 @@ def label_names(samples: DataFrame, names: DataFrame, label: str = "label") -> D
     return samples.join(names.select(label, "name"), label, "left")
 
 
-def _map_images(samples: DataFrame, out_type: T.StructType, apply, pixels_out: int) -> DataFrame:
-    """Give images to numpy in parts of equal shape and of bounded size."""
-    names = out_type.names
-    step = max(1, _BATCH_PIXELS // max(pixels_out, 1))
+def _with_images(part: pa.RecordBatch, images: np.ndarray) -> pa.RecordBatch:
+    """The batch with other images, one per row."""
+    n, height, width = images.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * (height * width)
+    kind = part.schema.field("pixels").type
+    flat = pa.array(np.ascontiguousarray(images, dtype=np.float32).reshape(-1))
+    new = {
+        "pixels": pa.ListArray.from_arrays(pa.array(offsets), flat, type=kind),
+        "height": pa.array(np.full(n, height, dtype=np.int32)),
+        "width": pa.array(np.full(n, width, dtype=np.int32)),
+    }
+    columns = [new.get(name, part.column(i)) for i, name in enumerate(part.schema.names)]
+    return pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _map_images(samples: DataFrame, apply: Callable, pixels_out: int = 0) -> DataFrame:
+    """Give images to numpy in parts of one shape and of bounded size, without leaving Arrow.
+
+    ``apply(images, part)`` returns the new images, or None to keep the rows as they
+    are. Rows without an image pass by.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for (height, width), same in batch.groupby(["height", "width"], sort=False):
+            there = batch.column("pixels").is_valid().to_numpy(zero_copy_only=False)
+            if not there.all():
+                yield batch.filter(pa.array(~there))
+                batch = batch.filter(pa.array(there))
+            shapes = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("height", "width")], axis=1)
+            for height, width in np.unique(shapes, axis=0):
+                same = np.flatnonzero((shapes == (height, width)).all(axis=1))
+                step = max(1, _BATCH_PIXELS // max(pixels_out, int(height * width), 1))
                 for at in range(0, len(same), step):
-                    yield apply(same.iloc[at : at + step].copy(), int(height), int(width))[names]
+                    part = batch.take(pa.array(same[at : at + step]))
+                    flat = part.column("pixels").flatten().to_numpy(zero_copy_only=False)
+                    images = apply(flat.reshape(part.num_rows, height, width), part)
+                    yield part if images is None else _with_images(part, images)
 
-    return samples.mapInPandas(run, out_type)
+    return samples.mapInArrow(run, samples.schema)
 
 
 def resized(samples: DataFrame, height: int = SAMPLE_HEIGHT, width: int = SAMPLE_WIDTH) -> DataFrame:
-    """Images brought to one size; those of that size already pass through the JVM alone."""
-    fits = (F.col("height") == height) & (F.col("width") == width)
-    out_type = samples.schema
+    """Images brought to one size; those of that size already stay as they are."""
 
-    def apply(part: pd.DataFrame, in_height: int, in_width: int) -> pd.DataFrame:
-        images = px.resize_batch(px.stack_images(part["pixels"], in_height, in_width), height, width)
-        part["pixels"] = list(images.astype(np.float32).reshape(len(part), -1))
-        part["height"], part["width"] = height, width
-        return part
+    def apply(images: np.ndarray, part: pa.RecordBatch) -> np.ndarray | None:
+        if images.shape[1:] == (height, width):
+            return None
+        return px.resize_batch(images.astype(np.float64), height, width)
 
-    done = samples.where(fits)
-    return done.unionByName(_map_images(samples.where(~fits), out_type, apply, height * width))
+    return _map_images(samples, apply, height * width)
 
 
-def rotated(samples: DataFrame, angle: str, max_pixels: int = SAMPLE_HEIGHT * SAMPLE_WIDTH) -> DataFrame:
+def rotated(samples: DataFrame, angle: str) -> DataFrame:
     """Images turned by the angle of their row, in radians."""
 
-    def apply(part: pd.DataFrame, height: int, width: int) -> pd.DataFrame:
-        images = px.rotate_batch(px.stack_images(part["pixels"], height, width), part[angle].to_numpy(dtype=float))
-        part["pixels"] = list(images.astype(np.float32).reshape(len(part), -1))
-        return part
+    def apply(images: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+        return px.rotate_batch(images, part.column(angle).to_numpy(zero_copy_only=False).astype(np.float64))
 
-    turns = F.col(angle) != 0
-    still = samples.where(~turns)
-    return still.unionByName(_map_images(samples.where(turns), samples.schema, apply, max_pixels))
+    return _map_images(samples, apply)
 
 
 def augmented(samples: DataFrame, key: str = "patient_id", seed: int = 0) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cohortweave.functions.text import description_flags, dicom_id, feature_name
 from cohortweave.functions.values import present
-from cohortweave.operators.ranking import rank_within
+from cohortweave.operators.ranking import hot_groups, rank_across_tasks, rank_in_task, split_groups
+from cohortweave.operators.shared import written
 from cohortweave.schemas import (
     DEFAULT_ORIENTATION,
     DEFAULT_POSITION,
@@ -20,6 +21,7 @@ from cohortweave.schemas import (
     TAG_LATERALITY,
     TAG_MODALITY,
     TAG_PIXELS,
+    TAG_SERIES,
     TAG_STUDY,
     TAG_SUBJECT,
     TAG_TIME,
@@ -27,7 +29,7 @@ from cohortweave.schemas import (
 
 
 def _doubles(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    return F.expr(f"array({', '.join(f'{float(v)}D' for v in values)})")
 
 
 def _z() -> Column:
@@ -40,9 +42,8 @@ def check_pixels(slices: DataFrame) -> DataFrame:
     return slices.withColumn("status", F.when(wrong, "pixel_count").otherwise(F.col("status")))
 
 
-def series_facts(slices: DataFrame) -> DataFrame:
-    """Counts per series from which its order and validity follow; pixels are not read."""
-    return slices.groupBy("series_id").agg(
+def _fact_aggregates() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("n_slices"),
         F.count("slice_location").alias("n_locations"),
         F.count(_z()).alias("n_positions"),
@@ -50,13 +51,20 @@ def series_facts(slices: DataFrame) -> DataFrame:
         F.max("rows").alias("rows_max"),
         F.min("cols").alias("cols_min"),
         F.max("cols").alias("cols_max"),
-        F.count(F.when(F.col("status") != "ok", 1)).alias("n_failed"),
-    )
+        F.expr("count_if(status <> 'ok') AS n_failed"),
+    ]
+
+
+def series_facts(slices: DataFrame) -> DataFrame:
+    """Counts per series from which its order and validity follow; pixels are not read."""
+    return slices.groupBy("series_id").agg(*_fact_aggregates())
 
 
 def _fault() -> Column:
-    mixed = (F.col("rows_min") != F.col("rows_max")) | (F.col("cols_min") != F.col("cols_max"))
-    return F.when(F.col("n_failed") > 0, "failed_slice").when(mixed, "mixed_size")
+    return F.expr(
+        """CASE WHEN n_failed > 0 THEN 'failed_slice'
+                WHEN rows_min <> rows_max OR cols_min <> cols_max THEN 'mixed_size' END"""
+    )
 
 
 def series_quarantine(slices: DataFrame) -> DataFrame:
@@ -64,17 +72,11 @@ def series_quarantine(slices: DataFrame) -> DataFrame:
     return series_facts(slices).select("series_id", "n_slices", _fault().alias("reason")).where("reason is not null")
 
 
-def slice_order(slices: DataFrame, carry: Sequence[str] = (), hot_group_rows: int = 2_000_000) -> DataFrame:
-    """Place of every slice in its series, from 0.
-
-    Slices sort by location where all slices of the series have one, else by the z
-    position where all have that, else by path; the path also settles ties.
-    """
-    facts = series_facts(slices).select("series_id", "n_slices", "n_locations", "n_positions", _fault().alias("reason"))
-    rows = slices.select("series_id", "path", "slice_location", _z().alias("_z"), *carry).join(facts, "series_id")
+def _with_sort_key(slices: DataFrame, facts: DataFrame, carry: Sequence[str]) -> DataFrame:
     by_location = F.col("n_locations") == F.col("n_slices")
     by_position = F.col("n_positions") == F.col("n_slices")
-    keyed = rows.select(
+    rows = slices.select("series_id", "path", "slice_location", _z().alias("_z"), *carry)
+    return rows.join(facts, "series_id").select(
         "series_id",
         "path",
         "n_slices",
@@ -83,7 +85,39 @@ def slice_order(slices: DataFrame, carry: Sequence[str] = (), hot_group_rows: in
         F.when(by_location, "location").when(by_position, "position").otherwise("path").alias("sort_source"),
         F.when(by_location, F.col("slice_location")).when(by_position, F.col("_z")).alias("sort_key"),
     )
-    ranked = rank_within(keyed, ["series_id"], ["sort_key", "path"], "_rank", hot_group_rows)
+
+
+def slice_order(
+    slices: DataFrame,
+    carry: Sequence[str] = (),
+    hot_group_rows: int = 2_000_000,
+    hot_voxels: int = 268_435_456,
+) -> DataFrame:
+    """Place of every slice in its series, from 0.
+
+    Slices sort by location where all slices of the series have one, else by the z
+    position where all have that, else by path; the path also settles ties.
+
+    ``carry`` names columns to take along, so that slices shuffle once. A series of
+    very many slices, or of very many voxels where columns are carried, is ranked
+    across tasks by its keys, and its columns are joined to the ranks by path.
+    """
+    all_facts = series_facts(slices).withColumn("reason", _fault())
+    too_large = F.col("n_slices") > hot_group_rows
+    if carry:
+        too_large = too_large | (F.col("n_slices") * F.col("rows_max") * F.col("cols_max") > hot_voxels)
+    hot = hot_groups(all_facts, ["series_id"], too_large)
+    facts = all_facts.select("series_id", "n_slices", "n_locations", "n_positions", "reason")
+    order = ["sort_key", "path"]
+
+    plain = slices if hot is None else split_groups(slices, hot, ["series_id"])[0]
+    ranked = rank_in_task(_with_sort_key(plain, facts, carry), ["series_id"], order, "_rank")
+    if hot is not None:
+        large = split_groups(slices, hot, ["series_id"])[1]
+        placed = rank_across_tasks(_with_sort_key(large, facts, ()), ["series_id"], order, "_rank")
+        if carry:
+            placed = placed.join(large.select("path", *carry), "path")
+        ranked = ranked.unionByName(placed)
     return ranked.withColumn("z_index", F.col("_rank") - 1).drop("_rank")
 
 
@@ -95,18 +129,30 @@ def middle_slices(slices: DataFrame, hot_group_rows: int = 2_000_000) -> DataFra
     )
 
 
-def with_pixels(selected: DataFrame, slices: DataFrame) -> DataFrame:
-    """Pixels of selected slices, fetched by path."""
-    return slices.select("path", "rows", "cols", "pixels").join(selected, "path")
+def fetch_pixels(selected: DataFrame, slices: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Pixels of selected slices, found by path.
+
+    The selection is written and counted. Up to ``broadcast_rows`` rows it goes to
+    every task, so the pixel table is scanned but not shuffled; a larger one is
+    joined by whatever way its size allows.
+    """
+    chosen = written(selected, "selected")
+    side = F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen
+    return slices.select("path", "rows", "cols", "pixels").join(side, "path")
 
 
-def volume_blocks(slices: DataFrame, max_voxels: int = 16_777_216, hot_group_rows: int = 2_000_000) -> DataFrame:
+def volume_blocks(
+    slices: DataFrame,
+    max_voxels: int = 16_777_216,
+    hot_group_rows: int = 2_000_000,
+    hot_voxels: int = 268_435_456,
+) -> DataFrame:
     """Volumes of the valid series, slice after slice in row-major order.
 
     A volume of up to ``max_voxels`` voxels is one row. A larger one has as many
     rows as it needs, each with whole slices, its first slice and its number.
     """
-    placed = slice_order(slices, carry=["rows", "cols", "pixels"], hot_group_rows=hot_group_rows)
+    placed = slice_order(slices, ["rows", "cols", "pixels"], hot_group_rows, hot_voxels)
     area = F.greatest(F.col("rows") * F.col("cols"), F.lit(1))
     per_block = F.greatest(F.floor(F.lit(max_voxels) / area), F.lit(1))
     return (
@@ -171,33 +217,33 @@ def metadata_map(rows: DataFrame, key: str, json: str) -> DataFrame:
     return rows.select(key, kept.alias("meta"))
 
 
+def tag_columns(slices: DataFrame) -> DataFrame:
+    """Tags of the map that every series is described by, as columns; absent ones are NULL."""
+    tags = {
+        "patient_id": TAG_SUBJECT,
+        "study_id": TAG_STUDY,
+        "series_id": TAG_SERIES,
+        "time_point": TAG_TIME,
+        "description": TAG_DESCRIPTION,
+        "modality": TAG_MODALITY,
+        "laterality": TAG_LATERALITY,
+    }
+    return slices.withColumns({name: present(F.col("meta")[tag]) for name, tag in tags.items()})
+
+
 def series_metadata(slices: DataFrame) -> DataFrame:
     """One row per series with its merged tags, typed values, bounds and shape.
 
-    All of it comes from one aggregate over the slices, so they shuffle once, as
-    partial results. Absent values get their defaults here.
+    A merged value is the least that is not empty. All come from one aggregate over
+    narrow columns, so slices shuffle once, as partial results. Absent values get
+    their defaults here.
     """
+    least = {"_time": "time_point", "_description": "description", "_study": "study_id", "_subject": "patient_id"}
+    least |= {"_laterality": "laterality", "_modality": "modality"}
     merged = slices.groupBy("series_id").agg(
-        F.count(F.lit(1)).alias("n_slices"),
-        F.count("slice_location").alias("n_locations"),
-        F.count(_z()).alias("n_positions"),
-        F.min("rows").alias("rows_min"),
-        F.max("rows").alias("rows_max"),
-        F.min("cols").alias("cols_min"),
-        F.max("cols").alias("cols_max"),
-        F.count(F.when(F.col("status") != "ok", 1)).alias("n_failed"),
+        *_fact_aggregates(),
         *_bound_aggregates(),
-        *[
-            F.min(present(F.col("meta")[tag])).alias(name)
-            for name, tag in {
-                "_time": TAG_TIME,
-                "_description": TAG_DESCRIPTION,
-                "_study": TAG_STUDY,
-                "_subject": TAG_SUBJECT,
-                "_laterality": TAG_LATERALITY,
-                "_modality": TAG_MODALITY,
-            }.items()
-        ],
+        *[F.expr(f"min(nullif({column}, '')) AS {name}") for name, column in least.items()],
         F.min("slice_spacing").alias("_dz"),
         F.min("pixel_spacing").alias("_spacing"),
         F.min("position").alias("_position"),
@@ -216,7 +262,7 @@ def series_metadata(slices: DataFrame) -> DataFrame:
         F.coalesce("_position", _doubles(DEFAULT_POSITION)).alias("position"),
         F.coalesce("_orientation", _doubles(DEFAULT_ORIENTATION)).alias("orientation"),
         _z_bound().alias("z_bound"),
-        F.array(F.col("n_slices").cast("int"), F.col("rows_max"), F.col("cols_max")).alias("shape"),
+        F.expr("array(CAST(n_slices AS INT), rows_max, cols_max) AS shape"),
         "n_slices",
         F.coalesce(_fault(), F.lit("ok")).alias("status"),
     )
@@ -243,17 +289,8 @@ def series_features(series: DataFrame) -> DataFrame:
     )
 
 
-def _integers(*values: Column) -> Column:
-    return F.array(*[v.cast("bigint") for v in values])
-
-
-def _value(i: Column | None = None, f: Column | None = None, s: Column | None = None) -> Column:
-    null = F.lit(None)
-    return F.struct(
-        (null if i is None else i).cast("array<bigint>").alias("i"),
-        (null if f is None else f).cast("array<double>").alias("f"),
-        (null if s is None else s).cast("string").alias("s"),
-    )
+def _value(i: str = "NULL", f: str = "NULL", s: str = "NULL") -> str:
+    return f"named_struct('i', CAST({i} AS ARRAY<BIGINT>), 'f', CAST({f} AS ARRAY<DOUBLE>), 's', CAST({s} AS STRING))"
 
 
 def feature_long(features: DataFrame) -> DataFrame:
@@ -263,25 +300,24 @@ def feature_long(features: DataFrame) -> DataFrame:
     the volume table.
     """
     values = {
-        "image": _value(s=F.col("series_id")),
-        "dx": _value(f=F.array("dx")),
-        "dy": _value(f=F.array("dy")),
-        "dz": _value(f=F.array("dz")),
-        "is_seg": _value(i=_integers(F.col("is_seg"))),
-        "right": _value(i=_integers(F.col("right"))),
-        "shape": _value(i=F.col("shape")),
-        "dicom_id": _value(s=F.col("dicom_id")),
-        "Image Position (Patient)": _value(f=F.col("position")),
-        "Image Orientation (Patient)": _value(f=F.col("orientation")),
-        "z_bound": _value(f=F.array("z_bound.lo", "z_bound.hi")),
+        "image": _value(s="series_id"),
+        "dx": _value(f="array(dx)"),
+        "dy": _value(f="array(dy)"),
+        "dz": _value(f="array(dz)"),
+        "is_seg": _value(i="array(is_seg)"),
+        "right": _value(i="array(`right`)"),
+        "shape": _value(i="shape"),
+        "dicom_id": _value(s="dicom_id"),
+        "Image Position (Patient)": _value(f="position"),
+        "Image Orientation (Patient)": _value(f="orientation"),
+        "z_bound": _value(f="array(z_bound.lo, z_bound.hi)"),
     }
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()])
-    return features.select("patient_id", "study_id", "series_id", "feature_name", F.explode(entries).alias("e")).select(
-        "patient_id",
-        "study_id",
-        "series_id",
-        F.concat("feature_name", "e.key").alias("feature_name"),
-        F.col("e.value").alias("value"),
+    entries = ", ".join(f"named_struct('key', '{key}', 'value', {value})" for key, value in values.items())
+    exploded = features.selectExpr(
+        "patient_id", "study_id", "series_id", "feature_name", f"inline(array({entries})) AS (_key, value)"
+    )
+    return exploded.selectExpr(
+        "patient_id", "study_id", "series_id", "concat(feature_name, _key) AS feature_name", "value"
     )
 
 

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortweave.functions.pixels import transposed
 from cohortweave.functions.values import or_missing
 from cohortweave.operators import hierarchy, patients as pt, samples as sm, series as sr
+from cohortweave.operators.shared import written
 from cohortweave.schemas import PREFERRED_FEATURES, REQUIRED_FEATURES, SAMPLE_HEIGHT, SAMPLE_WIDTH
 
 
@@ -86,16 +88,17 @@ def training_samples(
 ) -> DataFrame:
     """One sample per labelled patient: the middle slice of the preferred series, at one size.
 
-    The series is chosen first, so only its slices are ordered and only one of them
-    per patient has its pixels read into the resize.
+    The series is chosen first, so only its slices are ordered, by their keys alone;
+    then one slice per patient has its pixels fetched.
     """
-    chosen = sm.preferred_series(features, preferred).select("patient_id", "series_id")
+    # One small row per patient, used three times below.
+    chosen = written(sm.preferred_series(features, preferred).select("patient_id", "series_id"), "chosen-series")
     own = slices.join(chosen.select("series_id"), "series_id", "left_semi")
     middle = sr.middle_slices(own).select("series_id", "path").join(chosen, "series_id")
-    images = sr.with_pixels(middle, own).select(
+    images = sr.fetch_pixels(middle, slices).select(
         F.col("patient_id").try_cast("bigint").alias("patient_id"),
         # Slices lie (row, column); samples lie (column, row).
-        sm.px.transposed(F.col("pixels"), F.col("rows"), F.col("cols")).alias("pixels"),
+        transposed(F.col("pixels"), F.col("rows"), F.col("cols")).alias("pixels"),
         F.col("cols").alias("height"),
         F.col("rows").alias("width"),
     )

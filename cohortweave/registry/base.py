@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortweave import schemas as sc
@@ -41,13 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("patient_id"),
-        F.concat_ws("-", F.col("o_custkey").cast("string"), F.year("o_orderdate").cast("string")).alias("study_id"),
-        F.col("o_orderkey").alias("series_id"),
-        F.col("o_orderpriority").alias("description"),
-        F.col("o_orderstatus").alias("modality"),
-        F.concat(F.lit("T"), F.quarter("o_orderdate").cast("string")).alias("time_point"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS patient_id",
+        "concat_ws('-', o_custkey, year(o_orderdate)) AS study_id",
+        "o_orderkey AS series_id",
+        "o_orderpriority AS description",
+        "o_orderstatus AS modality",
+        "concat('T', quarter(o_orderdate)) AS time_point",
     )
 
 
@@ -61,53 +61,37 @@ series AS (
 
 
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tall = (F.col("l_tax") == 0.08) & (F.col("l_returnflag") == "R")
-    number = lambda c: F.col(c).cast("float")
-    tags = F.create_map(
-        F.lit(sc.TAG_TIME),
-        F.concat(F.lit("T"), F.quarter("l_shipdate").cast("string")),
-        F.lit(sc.TAG_MODALITY),
-        F.when(F.col("l_linestatus") == "F", "SEG").otherwise("MR"),
-        F.lit(sc.TAG_LATERALITY),
-        F.when(F.col("l_returnflag") == "R", "R").when(F.col("l_returnflag") == "A", ""),
+    tall = "l_tax = 0.08D AND l_returnflag = 'R'"
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS path",
+        "l_orderkey AS series_id",
+        "concat('T', quarter(l_shipdate)) AS time_point",
+        "CASE WHEN l_linestatus = 'F' THEN 'SEG' ELSE 'MR' END AS modality",
+        "CASE WHEN l_returnflag = 'R' THEN 'R' WHEN l_returnflag = 'A' THEN '' END AS laterality",
+        "CASE WHEN l_discount <> 0 THEN CAST(l_linenumber AS DOUBLE) END AS slice_location",
+        "CASE WHEN l_tax <> 0 THEN array(l_discount, l_tax, l_quantity) END AS position",
+        "CASE WHEN l_linestatus = 'O' THEN array(1.0D, 0.0D, 0.0D, 0.0D, 1.0D, 0.0D) END AS orientation",
+        "CASE WHEN l_returnflag <> 'A' THEN array(l_tax, l_discount) END AS pixel_spacing",
+        "CASE WHEN l_returnflag = 'N' THEN l_quantity END AS slice_spacing",
+        f"CASE WHEN {tall} THEN 4 ELSE 2 END AS rows",
+        f"CASE WHEN {tall} THEN 1 ELSE 2 END AS cols",
+        "CAST(array(l_quantity, l_extendedprice, l_discount, l_tax) AS ARRAY<FLOAT>) AS pixels",
+        "CASE WHEN l_quantity = 50 AND l_discount = 0.1D THEN 'access_error' ELSE 'ok' END AS status",
     )
-    return table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", *[F.col(f"l_{c}").cast("string") for c in ("orderkey", "linenumber", "partkey", "suppkey")]).alias(
-            "path"
-        ),
-        F.col("l_orderkey").alias("series_id"),
-        F.when(F.col("l_discount") != 0, F.col("l_linenumber").cast("double")).alias("slice_location"),
-        F.when(F.col("l_tax") != 0, F.array("l_discount", "l_tax", "l_quantity")).alias("position"),
-        F.when(F.col("l_linestatus") == "O", F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)])).alias(
-            "orientation"
-        ),
-        F.when(F.col("l_returnflag") != "A", F.array("l_tax", "l_discount")).alias("pixel_spacing"),
-        F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).alias("slice_spacing"),
-        F.when(tall, 4).otherwise(2).cast("int").alias("rows"),
-        F.when(tall, 1).otherwise(2).cast("int").alias("cols"),
-        F.array(*[number(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]).alias("pixels"),
-        F.map_filter(tags, lambda k, v: v.isNotNull()).alias("meta"),
-        F.when((F.col("l_quantity") == 50) & (F.col("l_discount") == 0.1), "access_error").otherwise("ok").alias("status"),
+
+
+def slice_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices whose tags are in a map, as a decoder gives them; an absent tag has no entry."""
+    tags = f"map('{sc.TAG_TIME}', time_point, '{sc.TAG_MODALITY}', modality, '{sc.TAG_LATERALITY}', laterality)"
+    return slices(spark, sf_dir).selectExpr(
+        "path", "series_id", f"map_filter({tags}, (tag, value) -> value IS NOT NULL) AS meta"
     )
 
 
 def tagged_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices that also name their study, patient and description."""
-    ids = series(spark, sf_dir).select("series_id", "study_id", "patient_id", "description")
-    more = F.create_map(
-        F.lit(sc.TAG_STUDY),
-        F.col("study_id"),
-        F.lit(sc.TAG_SUBJECT),
-        F.col("patient_id").cast("string"),
-        F.lit(sc.TAG_DESCRIPTION),
-        F.col("description"),
-    )
-    return (
-        slices(spark, sf_dir)
-        .join(ids, "series_id")
-        .withColumn("meta", F.map_concat("meta", more))
-        .drop("study_id", "patient_id", "description")
-    )
+    ids = series(spark, sf_dir).selectExpr("series_id", "study_id", "CAST(patient_id AS STRING) AS patient_id", "description")
+    return slices(spark, sf_dir).join(ids, "series_id")
 
 
 SLICES_SQL = """
@@ -180,58 +164,51 @@ features AS (
 # --- patients --------------------------------------------------------------------
 
 
-def _text(value: Column) -> Column:
-    return F.coalesce(value.cast("string"), F.lit(""))
+def _as_text(rows: DataFrame, fields: list[str], names: list[str]) -> DataFrame:
+    return rows.selectExpr(*[f"coalesce(CAST({f} AS STRING), '') AS `{n}`" for f, n in zip(fields, names)])
 
 
 def outcome_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight fields of the outcome file as text."""
-    rows = table(spark, sf_dir, "labels").join(
-        table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id"
-    )
-    hidden = (F.col("quality") == 0) & (F.col("toxic") == 1)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     fields = [
-        F.col("doc_id"),
-        F.col("source"),
-        F.col("toxic"),
-        F.col("n_chars"),
-        F.when(~hidden, F.floor(F.col("n_chars") / 2)),
-        F.col("quality"),
-        F.when(F.col("toxic") == 0, F.col("quality")),
-        F.when(F.col("n_chars") > 5000, "n/a").otherwise((F.col("n_chars") % 5).cast("string")),
+        "doc_id",
+        "source",
+        "toxic",
+        "n_chars",
+        "CASE WHEN NOT (quality = 0 AND toxic = 1) THEN n_chars DIV 2 END",
+        "quality",
+        "CASE WHEN toxic = 0 THEN quality END",
+        "CASE WHEN n_chars > 5000 THEN 'n/a' ELSE CAST(n_chars % 5 AS STRING) END",
     ]
-    return rows.select(*[_text(f).alias(name) for f, name in zip(fields, sc.OUTCOME_COLUMNS)])
+    return _as_text(table(spark, sf_dir, "labels").join(documents, "doc_id"), fields, sc.OUTCOME_COLUMNS)
 
 
 def clinical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sixteen fields of the clinical file as text; ids are padded."""
-    whole = F.floor("c_acctbal").cast("bigint")
-    known = F.col("c_acctbal") >= 0
-    nation = F.col("c_nationkey")
     fields = [
-        F.when(F.col("c_acctbal") < -500, "UNKNOWN").otherwise(F.lpad(F.col("c_custkey").cast("string"), 9, "0")),
-        F.lit(""),
-        F.when(known, whole),
-        nation,
-        (F.col("c_mktsegment") == "BUILDING").cast("int"),
-        nation % 2,
-        F.when(known, nation % 3),
-        F.length("c_mktsegment"),
-        nation % 4,
-        F.col("c_mktsegment"),
-        F.lit(""),
-        nation % 2 + 1,
-        F.when(known, F.floor(F.col("c_acctbal") / 100)),
-        F.when(F.col("c_mktsegment") != "MACHINERY", whole % 90),
-        nation + 10,
-        F.when(known, F.floor(F.col("c_acctbal") / 1000)),
+        "CASE WHEN c_acctbal < -500 THEN 'UNKNOWN' ELSE lpad(c_custkey, 9, '0') END",
+        "''",
+        "CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal) AS BIGINT) END",
+        "c_nationkey",
+        "CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END",
+        "c_nationkey % 2",
+        "CASE WHEN c_acctbal >= 0 THEN c_nationkey % 3 END",
+        "length(c_mktsegment)",
+        "c_nationkey % 4",
+        "c_mktsegment",
+        "''",
+        "c_nationkey % 2 + 1",
+        "CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal / 100) END",
+        "CASE WHEN c_mktsegment <> 'MACHINERY' THEN CAST(floor(c_acctbal) AS BIGINT) % 90 END",
+        "c_nationkey + 10",
+        "CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal / 1000) END",
     ]
-    rows = table(spark, sf_dir, "customer")
-    return rows.select(*[_text(f).alias(name) for f, name in zip(fields, sc.CLINICAL_COLUMNS)])
+    return _as_text(table(spark, sf_dir, "customer"), fields, sc.CLINICAL_COLUMNS)
 
 
 def as_lines(rows: DataFrame) -> DataFrame:
-    return rows.select(F.concat_ws(",", *[F.col(f"`{c}`") for c in rows.columns]).alias("value"))
+    return rows.selectExpr(f"concat_ws(',', {', '.join(f'`{c}`' for c in rows.columns)}) AS value")
 
 
 def patient_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from cohortweave.functions import pixels as px
 from cohortweave.functions.text import description_flags
 from cohortweave.functions.values import typed_list
 from cohortweave.operators import series as sr
-from cohortweave.registry.base import MERGED_SQL, SERIES_SQL, SLICES_SQL, query, slices, table, tagged_slices
+from cohortweave.registry.base import MERGED_SQL, SERIES_SQL, SLICES_SQL, query, slice_tags, slices, table, tagged_slices
 from cohortweave.sources.files import MetadataError, decode_files
 
 
@@ -77,7 +77,7 @@ def tensor_shape(spark, sf_dir):
       ELSE ['Clinical Trial Time Point ID', 'Modality', 'Laterality'] END) AS tag FROM lineitem""",
 )
 def metadata_keys(spark, sf_dir):
-    return sr.metadata_keys(slices(spark, sf_dir))
+    return sr.metadata_keys(slice_tags(spark, sf_dir))
 
 
 @query(
@@ -103,7 +103,15 @@ def metadata_map(spark, sf_dir):
     WHERE value <> '' GROUP BY series_id, tag""",
 )
 def representative_values(spark, sf_dir):
-    return sr.representative_values(slices(spark, sf_dir))
+    return sr.representative_values(slice_tags(spark, sf_dir))
+
+
+@query(
+    "tag_columns",
+    f"WITH {SLICES_SQL} SELECT path, tag_time AS time_point, tag_modality AS modality, nullif(tag_laterality, '') AS laterality FROM slices",
+)
+def tag_columns(spark, sf_dir):
+    return sr.tag_columns(slice_tags(spark, sf_dir)).select("path", "time_point", "modality", "laterality")
 
 
 @query(

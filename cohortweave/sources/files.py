@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortweave.functions.text import path_file, path_parent
 
-log = logging.getLogger(__name__)
-
-
 class AccessError(Exception):
     """A file could not be read or decoded."""
 
@@ -26,22 +23,33 @@ class MetadataError(Exception):
 STATUS_OF_ERROR = {AccessError: "access_error", MetadataError: "metadata_error"}
 
 
-def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """One row per file two directories below ``root``; contents are not read.
+def _files(spark: SparkSession, root: str, pattern: str | None) -> DataFrame:
+    """Files exactly two directories below ``root``, each with its place in the tree.
 
-    ``pattern`` is a name pattern such as ``*.dcm``. Files right under the root or
-    under a study are not listed.
+    The recursive listing fans out over the cluster where there are many folders.
     """
-    reader = spark.read.format("binaryFile")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(f"{root.rstrip('/')}/*/*/").select("path", "length")
-    parts = F.split("path", "/")
-    return files.select(
+    bare = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    place = F.regexp_extract(F.col("path"), r"^(.*)/[^/]+/[^/]+/[^/]+$", 1)
+    return reader.load(root).where(bare(place) == bare(F.lit(root.rstrip("/"))))
+
+
+def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """One row per file ``root/study/series/file``; contents are not read.
+
+    ``root`` is absolute. ``pattern`` is a name pattern such as ``*.dcm``. Files at
+    any other depth are not listed. The list of files passes through the driver, as
+    with every file source; beyond some millions of files start from a table of
+    paths instead (:func:`fetch_and_decode`).
+    """
+    path = F.col("path")
+    return _files(spark, root, pattern).select(
         "path",
-        F.element_at(parts, -3).alias("study_id"),
-        path_parent(F.col("path")).alias("series_id"),
-        path_file(F.col("path")).alias("file_name"),
+        F.element_at(F.split(path, "/"), -3).alias("study_id"),
+        path_parent(path).alias("series_id"),
+        path_file(path).alias("file_name"),
         "length",
     )
 
@@ -59,10 +67,37 @@ def series_directories(files: DataFrame) -> DataFrame:
 
 def read_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """Paths and contents, to be decoded after any filter on the paths."""
-    reader = spark.read.format("binaryFile")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(f"{root.rstrip('/')}/*/*/").select("path", "content")
+    return _files(spark, root, pattern).select("path", "content")
+
+
+def open_uri(path: str) -> bytes:
+    """Contents of one file, read where the task runs."""
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(name) as stream:
+        return stream.read()
+
+
+def fetch_and_decode(
+    paths: DataFrame,
+    decoder: Callable[[str, bytes], dict],
+    schema: T.StructType,
+    fetch: Callable[[str], bytes] = open_uri,
+) -> DataFrame:
+    """Decode the files of a table of paths. Tasks fetch them, a few at a time.
+
+    A caller may pass its own ``fetch(path)``. A file that cannot be fetched keeps its
+    row as an access error.
+    """
+
+    def fetch_then_decode(path: str, content: bytes) -> dict:
+        try:
+            content = fetch(path)
+        except Exception as error:
+            raise AccessError(str(error)) from error
+        return decoder(path, content)
+
+    empty = F.lit(b"").alias("content")
+    return decode_files(paths.select("path", empty), fetch_then_decode, schema)
 
 
 def decode_files(files: DataFrame, decoder: Callable[[str, bytes], dict], schema: T.StructType) -> DataFrame:

@@ -23,8 +23,8 @@ def read_positional_csv(spark: SparkSession, path: str, columns: Sequence[str],
 
 def parse_positional_lines(lines: DataFrame, columns: Sequence[str], split: str = ",", line: str = "value") -> DataFrame:
     """The same for lines that are in a table already."""
-    fields = F.split(F.col(line), F.lit("\\Q" + split + "\\E"), -1)
-    return lines.select(*[F.nullif(F.get(fields, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)])
+    fields = lines.select(F.split(F.col(line), F.lit("\\Q" + split + "\\E"), -1).alias("_fields"))
+    return fields.selectExpr(*[f"nullif(get(_fields, {i}), '') AS `{name}`" for i, name in enumerate(columns)])
 
 
 def read_header_csv(spark: SparkSession, path: str, columns: Mapping[str, str], split: str = ",") -> DataFrame:
