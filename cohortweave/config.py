@@ -14,6 +14,8 @@ class EngineConfig:
     metadata_path: str | None = None
     studies_root: str = ""
     output_path: str | None = None
+    file_pattern: str | None = None  # such as *.dcm
+    decode_tasks: int | None = None  # four per core when None
     series_limit: int | None = None  # no limit when None
     batch_size: int = 20  # series per batch
     num_shards: int = 1  # shards of the patient records

@@ -129,7 +129,7 @@ def middle_slices(slices: DataFrame, hot_group_rows: int = 2_000_000) -> DataFra
     )
 
 
-def fetch_pixels(selected: DataFrame, slices: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+def fetch_pixels(selected: DataFrame, slices: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """Pixels of selected slices, found by path.
 
     The selection is written and counted. Up to ``broadcast_rows`` rows it goes to

@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortweave.config import EngineConfig
 from cohortweave.functions.pixels import transposed
 from cohortweave.functions.values import or_missing
-from cohortweave.operators import hierarchy, patients as pt, samples as sm, series as sr
+from cohortweave.operators import batching, catalog, hierarchy
+from cohortweave.operators import patients as pt
+from cohortweave.operators import samples as sm
+from cohortweave.operators import series as sr
 from cohortweave.operators.shared import written
-from cohortweave.schemas import PREFERRED_FEATURES, REQUIRED_FEATURES, SAMPLE_HEIGHT, SAMPLE_WIDTH
+from cohortweave.schemas import (
+    CLINICAL_COLUMNS,
+    IMAGE_DESCRIPTIONS,
+    OUTCOME_COLUMNS,
+    PREFERRED_FEATURES,
+    REQUIRED_FEATURES,
+    SAMPLE_HEIGHT,
+    SAMPLE_WIDTH,
+    SLICES,
+)
+from cohortweave.sources import files as files_source
+from cohortweave.sources.tables import write_batches
+from cohortweave.sources.text import read_header_csv, read_positional_csv
+
+COHORT_TABLES = ["patients", "patient_quarantine", "slices", "series", "series_quarantine", "unmatched", "records"]
 
 
 def build_patients(outcomes: DataFrame, clinical: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -20,6 +38,67 @@ def build_patients(outcomes: DataFrame, clinical: DataFrame) -> tuple[DataFrame,
     return pt.valid_patients(formatted), pt.quarantined_patients(formatted)
 
 
+def build_cohort(
+    spark: SparkSession,
+    config: EngineConfig,
+    decoder: Callable[[str, bytes], dict],
+    subset: DataFrame | Sequence | None = None,
+    descriptions: Sequence[str] = tuple(IMAGE_DESCRIPTIONS),
+) -> dict[str, str]:
+    """Read the patient files and the image tree, and write every table of the cohort.
+
+    Series are those with an allowed description, or exactly those of ``subset``.
+    Files are filtered by their paths first, then fetched and decoded in the tasks;
+    ``decoder(path, content)`` gives the columns of ``schemas.SLICES``. Rows that fail
+    go to quarantine tables. Returns the path of every table.
+    """
+    out = {name: f"{config.output_path}/{name}" for name in COHORT_TABLES}
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(out[name])
+        return spark.read.parquet(out[name])
+
+    outcomes = read_positional_csv(spark, config.outcomes_path, OUTCOME_COLUMNS)
+    clinical = read_positional_csv(spark, config.clinical_path, CLINICAL_COLUMNS)
+    good, rejected = build_patients(outcomes, clinical)
+    patients = save(good, "patients")
+    save(rejected, "patient_quarantine")
+
+    files = files_source.list_files(spark, config.studies_root, config.file_pattern)
+    listed = files_source.series_directories(files).withColumnRenamed("series_path", "path")
+    if subset is not None:
+        wanted = catalog.series_subset(listed, subset)
+    else:
+        names = {"Series UID": "series_id", "Series Description": "description"}
+        metadata = read_header_csv(spark, config.metadata_path, names)
+        wanted = catalog.keep_described(listed, metadata, descriptions)
+    if config.series_limit is not None:
+        wanted = wanted.orderBy("study_id", "series_id").limit(config.series_limit)
+
+    paths = files.join(wanted.select("study_id", "series_id"), ["study_id", "series_id"], "left_semi")
+    # Paths are tiny and decoding is not: spread them without regard to their bytes.
+    tasks = config.decode_tasks or spark.sparkContext.defaultParallelism * 4
+    decoded = files_source.fetch_and_decode(paths.select("path").repartition(tasks, "path"), decoder, SLICES)
+    parts = F.split("path", "/")
+    tagged = sr.tag_columns(decoded).withColumns(
+        {
+            "series_id": F.coalesce("series_id", F.element_at(parts, -2)),
+            "study_id": F.coalesce("study_id", F.element_at(parts, -3)),
+        }
+    )
+    slices = save(sr.check_pixels(tagged), "slices")
+    save(sr.series_quarantine(slices), "series_quarantine")
+    series = save(sr.series_metadata(slices), "series")
+    save(hierarchy.cohort_unmatched(series, patients), "unmatched")
+
+    batched = batching.batched_cohort(series.where("status = 'ok'"), "patient_id", config.batch_size)
+    features = sr.feature_dedup(sr.feature_long(sr.series_features(series)))
+    batches = batched.select("patient_id", "batch_id").distinct()
+    records = hierarchy.cohort_join(features.join(batches, "patient_id"), pt.patient_features(patients))
+    write_batches(records.repartition(config.num_shards, "batch_id", "patient_id"), out["records"])
+    return out
+
+
 def cohort_manifest(slices: DataFrame, series: DataFrame, patients: DataFrame) -> DataFrame:
     """One row per patient with studies: counts, bounds, age and response group.
 

@@ -106,12 +106,13 @@ def decode_files(files: DataFrame, decoder: Callable[[str, bytes], dict], schema
     ``decoder(path, content)`` gives the values of ``schema`` by name. The output
     has ``path``, those columns, ``status`` and ``reason``.
     """
-    out = T.StructType(
-        [T.StructField("path", T.StringType())]
-        + [T.StructField(f.name, f.dataType) for f in schema if f.name != "path"]
-        + [T.StructField("status", T.StringType()), T.StructField("reason", T.StringType())]
+    fields = [f for f in schema if f.name not in ("path", "status", "reason")]
+    names = [f.name for f in fields]
+    out = (
+        T.StructType([T.StructField("path", T.StringType())] + [T.StructField(f.name, f.dataType) for f in fields])
+        .add("status", T.StringType())
+        .add("reason", T.StringType())
     )
-    names = [f.name for f in out if f.name not in ("path", "status", "reason")]
 
     def one(path: str, content: bytes) -> dict:
         try:

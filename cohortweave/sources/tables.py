@@ -67,8 +67,13 @@ def write_batches(records: DataFrame, path: str, batch: str = "batch_id") -> Non
 def shard_counts(spark: SparkSession, path: str) -> DataFrame:
     """Records per shard file, from the file footers alone where possible."""
     return (
-        spark.read.parquet(path)
+        read_shards(spark, [path])
         .select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("shard_file"))
         .groupBy("shard_file")
         .agg(F.count(F.lit(1)).alias("n_records"))
     )
+
+
+def write_report(lines: DataFrame, path: str, line: str = "line") -> None:
+    """Printable lines as text files."""
+    lines.select(line).write.mode("overwrite").text(path)
