@@ -38,12 +38,14 @@ def patient_rollup(studies: DataFrame) -> DataFrame:
 
 def patient_hierarchy(series: DataFrame, block_rows: int = 1_000, hot_group_rows: int = 2_000_000) -> DataFrame:
     """Manifests of every patient: (study, series, slices) in order, in blocks."""
-    owners = study_rollup(series).select("study_id", F.col("patient_id").alias("_owner"))
+    studies = study_rollup(series)
+    owners = studies.select("study_id", F.col("patient_id").alias("_owner"))
     owned = (
         series.select("study_id", "series_id", "n_slices")
         .join(owners, "study_id")
         .select(F.col("_owner").alias("patient_id"), "study_id", "series_id", "n_slices")
     )
+    sizes = patient_rollup(studies).select("patient_id", F.col("n_series").alias("n_rows"))
     return list_blocks(
         owned,
         ["patient_id"],
@@ -52,6 +54,7 @@ def patient_hierarchy(series: DataFrame, block_rows: int = 1_000, hot_group_rows
         "manifest",
         block_rows,
         hot_group_rows,
+        sizes,
     )
 
 
@@ -74,11 +77,14 @@ def cohort_unmatched(series: DataFrame, patients: DataFrame) -> DataFrame:
     studies = series.select(
         F.col("patient_id").try_cast("bigint").alias("_id"), F.col("patient_id").alias("_named"), "study_id"
     ).distinct()
-    known = patients.select(F.col("patient_id").alias("_known"))
-    both = studies.join(known, F.col("_id") == F.col("_known"), "full_outer")
-    lonely = both.where(F.col("_known").isNull() | F.col("_id").isNull())
-    return lonely.select(
-        F.when(F.col("_known").isNull(), "study").otherwise("patient").alias("side"),
-        F.coalesce(F.col("_named").cast("string"), F.col("_known").cast("string")).alias("patient_id"),
-        "study_id",
+    known = patients.select("patient_id")
+    lonely_studies = studies.join(known.withColumnRenamed("patient_id", "_id"), "_id", "left_anti").select(
+        F.lit("study").alias("side"), F.col("_named").cast("string").alias("patient_id"), "study_id"
     )
+    with_studies = studies.select(F.col("_id").alias("patient_id")).distinct()
+    lonely_patients = known.join(with_studies, "patient_id", "left_anti").select(
+        F.lit("patient").alias("side"),
+        F.col("patient_id").cast("string").alias("patient_id"),
+        F.lit(None).cast("string").alias("study_id"),
+    )
+    return lonely_studies.unionByName(lonely_patients)

@@ -88,14 +88,17 @@ def rank_within(
     order: Sequence[str],
     out: str,
     hot_group_rows: int = 2_000_000,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by group order by order)`` that survives a hot group.
 
     ``group`` and ``order`` together must be a unique key. Groups of up to
     ``hot_group_rows`` rows are ranked in a task each, larger ones across tasks.
+    ``sizes`` (the group and ``n_rows``) saves counting where counts are at hand.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    hot = hot_groups(sizes, group, F.col("_size") > hot_group_rows)
+    if sizes is None:
+        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"))
+    hot = hot_groups(sizes, group, F.col("n_rows") > hot_group_rows)
     if hot is None:
         return rank_in_task(df, group, order, out)
     plain, large = split_groups(df, hot, group)
@@ -110,6 +113,7 @@ def list_blocks(
     out: str,
     block_rows: int = 1_000,
     hot_group_rows: int = 2_000_000,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Ordered lists per group, in numbered blocks of at most ``block_rows`` entries.
 
@@ -117,7 +121,7 @@ def list_blocks(
     many as it needs, so no task ever holds more than ``block_rows`` entries.
     """
     needed = list(dict.fromkeys([*group, *order, *values]))
-    ranked = rank_within(df.select(*needed), group, order, "_rank", hot_group_rows)
+    ranked = rank_within(df.select(*needed), group, order, "_rank", hot_group_rows, sizes)
     entry = F.struct("_rank", *values)
     item = (lambda x: x[values[0]]) if len(values) == 1 else (lambda x: F.struct(*[x[v].alias(v) for v in values]))
     return (

@@ -17,11 +17,12 @@ def patients_by_description(
 ) -> DataFrame:
     """Distinct patients of every description, over some series and one time point.
 
-    The distinct step runs on (description, patient), so a frequent description is
-    counted by many tasks.
+    Files are reduced before they are joined, and the distinct step runs on
+    (description, patient), so a frequent description is counted by many tasks.
     """
     rows = files if time_point is None else files.where(F.col("time_point") == time_point)
     if only is not None:
+        rows = rows.select("series_id", "description", "patient_id").distinct()
         rows = rows.join(only.select("series_id"), "series_id", "left_semi")
     return rows.groupBy("description").agg(F.count_distinct("patient_id").alias("num"))
 

@@ -202,12 +202,14 @@ def metadata_keys(slices: DataFrame) -> DataFrame:
 
 def representative_values(slices: DataFrame) -> DataFrame:
     """One value per series and tag: the least that is not empty. Zero is a value."""
-    return (
+    values = (
         slices.select("series_id", F.explode("meta").alias("tag", "value"))
         .where(present(F.col("value")).isNotNull())
-        .groupBy("series_id", "tag")
-        .agg(F.min("value").alias("value"), F.count_distinct("value").alias("n_distinct"))
+        .groupBy("series_id", "tag", "value")
+        .agg(F.lit(1).alias("_once"))
     )
+    # Values are text, whose least is found by sorting: so only distinct ones get there.
+    return values.groupBy("series_id", "tag").agg(F.min("value").alias("value"), F.count("_once").alias("n_distinct"))
 
 
 def metadata_map(rows: DataFrame, key: str, json: str) -> DataFrame:

@@ -26,7 +26,7 @@ from cohortweave.schemas import (
     SLICES,
 )
 from cohortweave.sources import files as files_source
-from cohortweave.sources.tables import write_batches
+from cohortweave.sources.tables import write_batches, write_fixed_shards
 from cohortweave.sources.text import read_header_csv, read_positional_csv
 
 COHORT_TABLES = ["patients", "patient_quarantine", "slices", "series", "series_quarantine", "unmatched", "records"]
@@ -93,9 +93,11 @@ def build_cohort(
 
     batched = batching.batched_cohort(series.where("status = 'ok'"), "patient_id", config.batch_size)
     features = sr.feature_dedup(sr.feature_long(sr.series_features(series)))
+    # One row per patient on this side, so the features are joined once only.
     batches = batched.select("patient_id", "batch_id").distinct()
-    records = hierarchy.cohort_join(features.join(batches, "patient_id"), pt.patient_features(patients))
-    write_batches(records.repartition(config.num_shards, "batch_id", "patient_id"), out["records"])
+    own = hierarchy.cohort_join(batches, pt.patient_features(patients))
+    records = hierarchy.cohort_join(features, own)
+    write_batches(records.repartition(config.num_shards, "batch_id", "patient_id", "series_id"), out["records"])
     return out
 
 
@@ -184,3 +186,16 @@ def training_samples(
     labels = patients.select("patient_id", F.col("outcome.pCR").alias("pCR"), F.col("outcome.RCB").alias("RCB"))
     labelled = sm.labelled_only(images.join(labels, "patient_id"))
     return sm.sample_input(sm.resized(labelled, height, width), height, width)
+
+
+def write_simplified(records: DataFrame, path: str, shard_size: int = 8) -> None:
+    """Simplified records in numbered shards of ``shard_size`` patients."""
+    keys = records.select("patient_id").distinct()
+    shards = batching.fixed_size_shards(keys, "patient_id", shard_size).select("patient_id", "shard_id")
+    write_fixed_shards(records.join(shards, "patient_id"), path)
+
+
+def write_samples(samples: DataFrame, path: str, seed: int = 0) -> None:
+    """Samples in a folder per split; a patient is in one split."""
+    split = batching.split_by_key(samples, "patient_id", seed)
+    split.write.mode("overwrite").partitionBy("split").parquet(path)

@@ -16,12 +16,13 @@ def distinct_series(files: DataFrame, only: Sequence | DataFrame | None = None,
     ``only`` keeps some series ids: a short list becomes a pushed-down filter, a
     table becomes a semi join. ``limit`` takes the first pairs in id order.
     """
-    pairs = files.select("study_id", "series_id")
+    # Files are reduced to pairs before the join; a small table is joined earlier still
+    # by the optimizer.
+    pairs = files.select("study_id", "series_id").distinct()
     if isinstance(only, DataFrame):
         pairs = pairs.join(only.select("series_id"), "series_id", "left_semi").select("study_id", "series_id")
     elif only is not None:
         pairs = pairs.where(F.col("series_id").isin(list(only)))
-    pairs = pairs.distinct()
     return pairs if limit is None else pairs.orderBy("study_id", "series_id").limit(limit)
 
 

@@ -181,8 +181,12 @@ def test_cohort_from_files_to_samples(spark, tree, rows):
     simple = jobs.simplified_records(records.select("patient_id", "feature_name", "series_id"), read("patients"), ["time1/T1_LEFT_BREAST/image"])
     assert rows(simple, "patient_id", "series_id", "response_group") == [(1, "s2", 1)]
 
+    jobs.write_simplified(simple, f"{tree.output_path}/simple")
+    assert rows(spark.read.parquet(f"{tree.output_path}/simple"), "patient_id", "shard_id") == [(1, 0)]
+
     features = images.select("patient_id", "feature_name", "series_id")
-    samples = jobs.training_samples(read("slices"), features, read("patients"), height=4, width=4).collect()
+    jobs.write_samples(jobs.training_samples(read("slices"), features, read("patients"), height=4, width=4), f"{tree.output_path}/samples")
+    samples = spark.read.parquet(f"{tree.output_path}/samples").collect()
     got = {r.patient_id: (r.height, r.width, len(r.pixels), r.response_group, list(r.label)) for r in samples}
     assert got == {1: (4, 4, 16, 1, [1.0, 0.0, 0.0]), 2: (4, 4, 16, 3, [0.0, 0.0, 1.0])}
     assert {r.patient_id: r.pixels[0] for r in samples} == {1: 1.0, 2: 1.0}
