@@ -29,7 +29,17 @@ from cohortweave.sources import files as files_source
 from cohortweave.sources.tables import write_batches, write_fixed_shards
 from cohortweave.sources.text import read_header_csv, read_positional_csv
 
-COHORT_TABLES = ["patients", "patient_quarantine", "slices", "series", "series_quarantine", "unmatched", "records"]
+COHORT_TABLES = [
+    "patients",
+    "patient_quarantine",
+    "slices",
+    "series",
+    "series_quarantine",
+    "volumes",
+    "unmatched",
+    "manifest",
+    "records",
+]
 
 
 def build_patients(outcomes: DataFrame, clinical: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +60,8 @@ def build_cohort(
     Series are those with an allowed description, or exactly those of ``subset``.
     Files are filtered by their paths first, then fetched and decoded in the tasks;
     ``decoder(path, content)`` gives the columns of ``schemas.SLICES``. Rows that fail
-    go to quarantine tables. Returns the path of every table.
+    go to quarantine tables. An image feature of the records names the series whose
+    voxels are in the volume table. Returns the path of every table.
     """
     out = {name: f"{config.output_path}/{name}" for name in COHORT_TABLES}
 
@@ -89,15 +100,18 @@ def build_cohort(
     slices = save(sr.check_pixels(tagged), "slices")
     save(sr.series_quarantine(slices), "series_quarantine")
     series = save(sr.series_metadata(slices), "series")
-    save(hierarchy.cohort_unmatched(series, patients), "unmatched")
+    save(sr.volume_blocks(slices, config.max_voxels, config.hot_group_rows), "volumes")
+    valid = series.where("status = 'ok'")
+    save(hierarchy.cohort_unmatched(valid, patients), "unmatched")
+    save(hierarchy.patient_hierarchy(valid, config.block_rows, config.hot_group_rows), "manifest")
 
-    batched = batching.batched_cohort(series.where("status = 'ok'"), "patient_id", config.batch_size)
+    batched = batching.batched_cohort(valid, "patient_id", config.batch_size)
     features = sr.feature_dedup(sr.feature_long(sr.series_features(series)))
     # One row per patient on this side, so the features are joined once only.
     batches = batched.select("patient_id", "batch_id").distinct()
     own = hierarchy.cohort_join(batches, pt.patient_features(patients))
     records = hierarchy.cohort_join(features, own)
-    write_batches(records.repartition(config.num_shards, "batch_id", "patient_id", "series_id"), out["records"])
+    write_batches(records, out["records"], num_shards=config.num_shards, spread="series_id")
     return out
 
 
@@ -188,7 +202,7 @@ def training_samples(
     return sm.sample_input(sm.resized(labelled, height, width), height, width)
 
 
-def write_simplified(records: DataFrame, path: str, shard_size: int = 8) -> None:
+def write_simplified(records: DataFrame, path: str, shard_size: int = EngineConfig.shard_size) -> None:
     """Simplified records in numbered shards of ``shard_size`` patients."""
     keys = records.select("patient_id").distinct()
     shards = batching.fixed_size_shards(keys, "patient_id", shard_size).select("patient_id", "shard_id")

@@ -8,7 +8,7 @@ from cohortweave.functions.values import bucket_of
 from cohortweave.operators import batching as bt
 from cohortweave.operators import hierarchy as hi
 from cohortweave.operators import series as sr
-from cohortweave.operators.shared import new_path
+from cohortweave.operators.shared import new_path, written
 from cohortweave.plans import jobs
 from cohortweave.registry.base import (
     FEATURES_SQL,
@@ -192,20 +192,13 @@ def batch_partitions(spark, sf_dir):
     """Batches written by folder, one of them written again, and read back."""
     path = new_path(spark, "batches")
     batched = bt.batched_cohort(series(spark, sf_dir).select("patient_id", "series_id"), limit=500)
-    tables.write_batches(batched.repartition("batch_id"), path)
+    tables.write_batches(batched, path, num_shards=2, spread="series_id")
     again = spark.read.parquet(path).where(F.col("batch_id") == 0)
-    tables.write_batches(bt_copy(spark, again), path)
+    tables.write_batches(written(again, "batch-again"), path)
     counts = spark.read.parquet(path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_series"))
     return counts.select(F.col("batch_id").cast("bigint").alias("batch_id"), "n_series")
 
 
-def bt_copy(spark, rows):
-    """Rows to write over the folder they came from."""
-    path = new_path(spark, "batch-again")
-    rows.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 @query(
     "fixed_size_shards",
     f"""WITH {FEATURES_SQL}, {PATIENTS_SQL}, valid AS (

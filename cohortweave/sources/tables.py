@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortweave.functions.values import bucket_of
+
 SUFFIX = "*.parquet"
 
 
@@ -51,14 +53,28 @@ def write_sharded(records: DataFrame, path: str, num_shards: int, *keys: str | C
 
 
 def write_fixed_shards(records: DataFrame, path: str, shard: str = "shard_id") -> None:
-    """One folder per numbered shard; a task writes neighbouring shards one by one."""
-    records.repartitionByRange(shard).sortWithinPartitions(shard).write.mode("overwrite").partitionBy(shard).parquet(path)
+    """One folder per numbered shard.
+
+    Rows of a shard meet in one task, many small shards share a task, and the planner
+    splits a shard that a very large patient has made large.
+    """
+    records.hint("rebalance", F.col(shard)).write.mode("overwrite").partitionBy(shard).parquet(path)
 
 
-def write_batches(records: DataFrame, path: str, batch: str = "batch_id") -> None:
-    """Write by batch. A batch that is run again replaces its own folder only."""
+def write_batches(
+    records: DataFrame, path: str, batch: str = "batch_id", num_shards: int = 1, spread: str | None = None
+) -> None:
+    """Write a folder per batch, of ``num_shards`` files that the ``spread`` column decides on.
+
+    A batch that is run again replaces its own folder only. Batches are spread over
+    all tasks, and the planner splits a file that would be much larger than others.
+    """
+    shard = F.lit(0) if spread is None else bucket_of(F.col(spread), num_shards)
     (
-        records.write.mode("overwrite")
+        records.withColumn("_shard", shard)
+        .hint("rebalance", F.col(batch), F.col("_shard"))
+        .drop("_shard")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(batch)
         .parquet(path)

@@ -168,6 +168,10 @@ def test_cohort_from_files_to_samples(spark, tree, rows):
     assert rows(read("slices").groupBy("series_id").count()) == [("s1", 3), ("s2", 3), ("s3", 3), ("s5", 3), ("s6", 1)]
     assert rows(read("series_quarantine"), "series_id", "reason") == [("s6", "failed_slice")]
     assert ("patient", "3", None) in rows(read("unmatched")) and ("study", "77", "D") in rows(read("unmatched"))
+    assert rows(read("volumes"), "series_id", "block_no", "shape") == [(s, 0, [3, 2, 2]) for s in ("s1", "s2", "s3", "s5")]
+    assert {r.patient_id: [m.series_id for m in r.manifest] for r in read("manifest").collect()} == {
+        "001": ["s1", "s2"], "2": ["s3"], "77": ["s5"],
+    }
     records = read("records")
     assert rows(records.select("patient_id", "batch_id").distinct()) == [(1, 0), (2, 1)]
     images = records.where(F.col("feature_name").contains("/image"))

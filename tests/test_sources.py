@@ -143,6 +143,15 @@ def test_a_batch_run_again_replaces_its_folder_only(spark, folder, rows):
     assert rows(spark.read.parquet(f"{folder}/b"), "id", "batch_id") == [(1, 0), (3, 1)]
 
 
+def test_batches_have_their_number_of_files(spark, folder):
+    df = spark.range(4000).selectExpr("id", "id % 3 AS batch_id")
+    tables.write_batches(df, f"{folder}/b", num_shards=4, spread="id")
+    for batch in range(3):
+        names = [n for n in os.listdir(f"{folder}/b/batch_id={batch}") if n.endswith(".parquet")]
+        assert 1 <= len(names) <= 4
+    assert spark.read.parquet(f"{folder}/b").count() == 4000
+
+
 def test_report_lines(spark, folder):
     tables.write_report(spark.createDataFrame([("a, 1",)], "line string"), f"{folder}/r")
     assert spark.read.text(f"{folder}/r").first()[0] == "a, 1"
