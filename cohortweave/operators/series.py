@@ -114,7 +114,9 @@ def slice_order(
     ranked = rank_in_task(_with_sort_key(plain, facts, carry), ["series_id"], order, "_rank")
     if hot is not None:
         large = split_groups(slices, hot, ["series_id"])[1]
-        placed = rank_across_tasks(_with_sort_key(large, facts, ()), ["series_id"], order, "_rank")
+        # The hot series are few, so their facts go to the slices and not the other way.
+        few = split_groups(facts, hot, ["series_id"])[1]
+        placed = rank_across_tasks(_with_sort_key(large, few, ()), ["series_id"], order, "_rank")
         if carry:
             placed = placed.join(large.select("path", *carry), "path")
         ranked = ranked.unionByName(placed)

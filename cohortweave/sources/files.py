@@ -121,7 +121,7 @@ def decode_files(files: DataFrame, decoder: Callable[[str, bytes], dict], schema
             values = decoder(path, content)
             return {"path": path, **{n: values.get(n) for n in names}, "status": "ok", "reason": None}
         except Exception as error:  # the row goes on with its reason
-            status = STATUS_OF_ERROR.get(type(error), "unknown_error")
+            status = next((s for kind, s in STATUS_OF_ERROR.items() if isinstance(error, kind)), "unknown_error")
             return {"path": path, **dict.fromkeys(names), "status": status, "reason": str(error)}
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
