@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import sys
+import tempfile
+import zipfile
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -39,3 +43,26 @@ def build_session(app: str, master: str | None = None, **settings: str) -> Spark
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Send this package to the workers of a session, once, unless their path already has it.
+
+    Needed where the library is neither installed on the workers nor on their PYTHONPATH.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    named = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root in named or "site-packages" in root or getattr(spark.sparkContext, "_cohortweave_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="cohortweave-"), "cohortweave-lib.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, root))
+    imported_from = list(sys.path)
+    spark.sparkContext.addPyFile(path)
+    sys.path[:] = imported_from  # the driver keeps its own copy
+    spark.sparkContext._cohortweave_shipped = True
