@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortweave.llm.ngram_join import OP9_SQL, op9_ngram_jaccard
 from cohortweave.llm.quality_rules import op8_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_ngram_jaccard": OP9_SQL,
+}
