@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortweave.llm.ngram_join import OP9_SQL, op9_ngram_jaccard
+from cohortweave.llm.packing import op5_harmonic_packing
 from cohortweave.llm.quality_rules import op8_quality_rules
+from cohortweave.llm.secrets_scan import op7_secret_scan
+from cohortweave.llm.soft_mixing import op10_soft_mixing
+from cohortweave.llm.token_files import op3_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": op3_token_files,
+    "op5_harmonic_packing": op5_harmonic_packing,
+    "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_soft_mixing": op10_soft_mixing,
 }
 
 ORACLES: dict[str, str] = {
