@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = now.selectExpr("lo AS u", "hi AS v").union(now.selectExpr("hi AS u", "lo AS v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").selectExpr("m AS lo", "v AS hi").where("lo <> hi").distinct()
+        large = both.where("v > u").join(least, "u").selectExpr("m AS lo", "v AS hi").where("lo <> hi").distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").selectExpr("m", "lo AS v").union(down.selectExpr("m", "hi AS v"))
         after = written(small.where("v <> m").selectExpr("m AS lo", "v AS hi").distinct(), "links")
@@ -40,6 +40,19 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(now.selectExpr("lo AS node", "lo AS root").distinct())
 
 
+def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``node, root`` after more edges. Only links between different components are worked on."""
+    if roots is None:
+        return written(components(edges), "roots")
+    left, right = roots.selectExpr("node AS a", "root AS _ra"), roots.selectExpr("node AS b", "root AS _rb")
+    ends = edges.join(left, "a", "left").join(right, "b", "left").selectExpr("coalesce(_ra, a) AS a", "coalesce(_rb, b) AS b")
+    more = written(components(ends), "merges")
+    moved = more.selectExpr("node AS root", "root AS _to")
+    old = roots.join(moved, "root", "left").selectExpr("node", "coalesce(_to, root) AS root")
+    fresh = more.join(roots, "node", "left_anti").select("node", "root")
+    return written(old.unionByName(fresh), "roots")
+
+
 def _state(links: DataFrame) -> tuple:
     """Count and order-free hash: equal when a round changed nothing."""
     return tuple(links.select(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(lo, hi))")).first())

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortweave.llm import wordspans
-from cohortweave.llm.links import components
+from cohortweave.llm.links import merged
 from cohortweave.llm.rowmaps import add_columns, column, free_name, list_array
 from cohortweave.operators.shared import written
 
@@ -214,13 +214,11 @@ def linked_sets(docs: DataFrame, sets: DataFrame, key: str, text: str) -> DataFr
     entries = prefixes.select("set_id", "n", "n_alone", F.posexplode("prefix").alias("_p", "h"))
     entries = written(entries.select("h", "set_id", "n", (F.col("n_alone") + F.col("_p")).alias("at")), "entries")
 
-    edges, roots = None, None
+    roots = None
     for turn in range(STARS + 1):
         labelled = _labelled(entries, roots)
         pairs = _star_pairs(labelled, turn) if turn < STARS else _rest_pairs(labelled, prefixes)
-        found = written(_verified(pairs, full), "verified")
-        edges = found if edges is None else edges.unionByName(found)
-        roots = written(components(edges), "roots")
+        roots = merged(roots, written(_verified(pairs, full), "verified"))
     return roots
 
 
