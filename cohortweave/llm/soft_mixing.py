@@ -192,8 +192,8 @@ def solve(groups: DataFrame, weights: list[float], max_rate: float, anchor: int
             break
         residuals.append([g / n if n else 0.0 for g, n in zip(gaps, available)])
         before, reached = reached, totals(residuals)
-        if max(abs(a - b) for a, b in zip(before, reached)) <= 1e-9 * max(sum(targets), 1.0):
-            break
+        if max(abs(a - b) for a, b in zip(before, reached)) <= tolerance / 10 * max(sum(targets), 1.0):
+            break  # targets out of reach: this is as near as rates come
     return Mix(residuals, available, targets, reached)
 
 
