@@ -9,6 +9,7 @@ depend on it.
 from __future__ import annotations
 
 import os
+import struct
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +17,7 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
-TABLE_PIECES = 300_000
+TABLE_PIECES = 600_000
 
 #: The vocabulary the queries use; a path of another byte-level file may be passed instead.
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -31,28 +32,30 @@ class Encoder:
         self._pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._cut = regex.compile(public_tokenizers.PATTERN).findall
         self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> list[int]:
-        """Ids of a text as the library gives them without special tokens added."""
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as the library gives them without special tokens added, little-endian, 32 bits each."""
         if any(s in text for s in self._special):
-            return self._whole.encode(text, add_special_tokens=False).ids
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         known, pieces = self._known, self._cut(text)
-        fresh = [p for p in set(pieces) if p not in known]
+        fresh = set(pieces).difference(known)
         if fresh:
             if len(known) + len(fresh) > TABLE_PIECES:
                 known.clear()
-                fresh = list(set(pieces))
-            for piece, encoded in zip(fresh, self._pieces.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[piece] = encoded.ids
-        out: list[int] = []
-        for piece in pieces:
-            out += known[piece]
-        return out
+                fresh = set(pieces)
+            words = list(fresh)
+            for piece, encoded in zip(words, self._pieces.encode_batch_fast(words, add_special_tokens=False)):
+                ids = encoded.ids
+                known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(known.__getitem__, pieces))
+
+    def ids(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), dtype="<u4").tolist()
 
     def array(self, text: str | None, end: int) -> np.ndarray:
         """Ids of a text (null: empty) and the end id, as little-endian unsigned 32-bit integers."""
-        return np.array(self.ids(text or "") + [end], dtype="<u4")
+        return np.frombuffer(self.packed(text or "") + struct.pack("<I", end), dtype="<u4")
 
 
 _encoders: dict[str, Encoder] = {}
@@ -66,7 +69,3 @@ def encoder(path: str | None = None) -> Encoder:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
-
-def encoded(texts: pa.Array, end: int, path: str | None = None) -> list[np.ndarray]:
-    tool = encoder(path)
-    return [tool.array(t, end) for t in texts.to_pylist()]
