@@ -1,21 +1,22 @@
 """Token ids of whole texts by the tokenizers library, with a bounded table of pieces already known.
 
 Byte-level BPE merges only inside the pieces its pattern cuts a text into, so equal pieces have
-equal ids. Texts are cut by the same pattern, and the library encodes every piece once per worker
-while the table lasts. The table is emptied when it is full, so its memory is bounded; ids do not
-depend on it.
+equal ids. Texts are cut by the same pattern, and the library's model encodes every piece once per
+worker while the table lasts. The table is emptied when it is full, so its memory is bounded; ids
+do not depend on it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import regex
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 TABLE_PIECES = 600_000
 
@@ -23,17 +24,41 @@ TABLE_PIECES = 600_000
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
 
+#: The pattern of the pieces for the standard library, which is faster. It differs for numbers that are
+#: no decimal digits and for four control characters; texts with these are cut by the first pattern.
+_FAST = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+def _unlike() -> frozenset[str]:
+    """Characters the two patterns do not agree on."""
+    numbers = {c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) in ("No", "Nl")}
+    return frozenset(numbers | set("\x1c\x1d\x1e\x1f"))
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character byte-level vocabularies write for each byte: itself if it shows, else one from 256 on."""
+    shows = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
+    hidden = [b for b in range(256) if b not in shows]
+    return {b: chr(b) for b in shows} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each core a task of its own
         self._whole = Tokenizer.from_file(path)
-        self._pieces = Tokenizer.from_file(path)
-        # Pieces are cut already, so that only their bytes are to be mapped.
-        self._pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self._cut = regex.compile(public_tokenizers.PATTERN).findall
+        self._merged = self._whole.model.tokenize
+        self._slow = regex.compile(public_tokenizers.PATTERN).findall
+        self._unlike, self._bytes = _unlike(), _byte_characters()
         self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
 
+    def _cut(self, text: str) -> list[str]:
+        return _FAST.findall(text) if self._unlike.isdisjoint(text) else self._slow(text)
+
+    def _encoded(self, piece: str) -> bytes:
+        ids = [t.id for t in self._merged(piece.encode().decode("latin-1").translate(self._bytes))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def packed(self, text: str) -> bytes:
         """Ids of a text as the library gives them without special tokens added, little-endian, 32 bits each."""
         if any(s in text for s in self._special):
@@ -44,10 +69,8 @@ class Encoder:
             if len(known) + len(fresh) > TABLE_PIECES:
                 known.clear()
                 fresh = set(pieces)
-            words = list(fresh)
-            for piece, encoded in zip(words, self._pieces.encode_batch_fast(words, add_special_tokens=False)):
-                ids = encoded.ids
-                known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            for piece in fresh:
+                known[piece] = self._encoded(piece)
         return b"".join(map(known.__getitem__, pieces))
 
     def ids(self, text: str) -> list[int]:
