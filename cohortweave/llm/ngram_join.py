@@ -16,9 +16,11 @@ link when ``100 * common >= PERCENT * union``. Sets are compared as 64-bit hashe
    lists of a group), verified, and merged to components. Lists inside one component are done. So
    a group of copies costs as much as it has members, not pairs.
 5. *The rest.* In lists that still hold several components, each set outside the list's largest
-   component is paired with all of other components, once per pair: at the first shingle both
+   component is paired with those of other components, once per pair: at the first shingle both
    prefixes share. Before a pair is made, its prefixes must agree enough (prefix and tail bound)
-   and so must the numbers of its shingles in ``CLASSES`` classes (suffix filter).
+   and so must the numbers of its shingles in ``CLASSES`` classes (suffix filter). First each meets
+   one in ``SOME`` of the others, by hash, which ties most of a group's stragglers to it; what is
+   then still apart meets all the others.
 6. Every pair is verified once, by the intersection of both sets.
 
 What is lost is only a link inside a component that is known already, so components are exact.
@@ -46,7 +48,7 @@ SHINGLE = 5
 PERCENT = 80
 SAMPLE = 0.3  # share of the hash range that step 2 counts
 CLASSES = 16
-STARS = 2  # rounds of step 4
+SOME = 32
 
 _SAMPLE_BELOW = np.uint64(int(SAMPLE * 2**64))
 
@@ -167,22 +169,23 @@ def _labelled(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     return entries.join(known, "set_id", "left").withColumn("label", F.coalesce("_root", "set_id")).drop("_root")
 
 
-def _star_pairs(entries: DataFrame, turn: int) -> DataFrame:
+def _star_pairs(entries: DataFrame) -> DataFrame:
     """Pairs of one set of each list with the others of it, where they are in different components."""
-    first = F.min(F.struct(F.xxhash64("set_id", F.lit(turn)).alias("r"), "set_id", "n", "at", "label"))
+    first = F.min(F.struct(F.xxhash64("set_id").alias("r"), "set_id", "n", "at", "label"))
     lists = entries.groupBy("h").agg(first.alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     open_lists = lists.where("lo <> hi").select("h", "p")
     met = entries.alias("e").join(open_lists.select("h", "p.*").alias("p"), F.expr("e.h = p.h AND e.label <> p.label") & _fits("e", "p"))
     return met.selectExpr("least(e.set_id, p.set_id) AS a", "greatest(e.set_id, p.set_id) AS b").distinct()
 
 
-def _rest_pairs(entries: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """All pairs of different components that no filter rules out, each once."""
+def _rest_pairs(entries: DataFrame, prefixes: DataFrame, of: int) -> DataFrame:
+    """Pairs of different components that no filter rules out, each once; with one set in ``of`` on one side, all for 1."""
     counted = entries.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"))
     lists = counted.groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("k"))
     open_entries = entries.join(lists.where("k > 1").select("h", "main"), "h")
     wide = written(open_entries.join(prefixes.select("set_id", "prefix", "classes", "n_alone"), "set_id"), "open-lists")
-    few, many = wide.where("label <> main").alias("e"), wide.alias("p")
+    some = F.lit(True) if of == 1 else F.pmod(F.xxhash64("set_id", F.lit(of)), F.lit(of)) == 0
+    few, many = wide.where("label <> main").alias("e"), wide.where(some).alias("p")
     earlier = "NOT arrays_overlap(slice(e.prefix, 1, CAST(e.at - e.n_alone AS INT)), slice(p.prefix, 1, CAST(p.at - p.n_alone AS INT)))"
     agreed = "size(array_intersect(e.prefix, p.prefix))"
     tail = f"greatest(e.n - least(e.n, {_prefix_length('e.n')}), p.n - least(p.n, {_prefix_length('p.n')}))"
@@ -191,7 +194,7 @@ def _rest_pairs(entries: DataFrame, prefixes: DataFrame) -> DataFrame:
     return (
         few.join(
             many,
-            F.expr("e.h = p.h AND e.label <> p.label AND (p.label = p.main OR e.set_id < p.set_id)")
+            F.expr("e.h = p.h AND e.label <> p.label" + (" AND (p.label = p.main OR e.set_id < p.set_id)" if of == 1 else ""))
             & _fits("e", "p")
             & F.expr(f"{classes} >= {needed} AND {agreed} + {tail} >= {needed} AND {earlier}"),
         )
@@ -215,9 +218,9 @@ def linked_sets(docs: DataFrame, sets: DataFrame, key: str, text: str) -> DataFr
     entries = written(entries.select("h", "set_id", "n", (F.col("n_alone") + F.col("_p")).alias("at")), "entries")
 
     roots = None
-    for turn in range(STARS + 1):
+    for of in (None, SOME, 1):
         labelled = _labelled(entries, roots)
-        pairs = _star_pairs(labelled, turn) if turn < STARS else _rest_pairs(labelled, prefixes)
+        pairs = _star_pairs(labelled) if of is None else _rest_pairs(labelled, prefixes, of)
         roots = merged(roots, written(_verified(pairs, full), "verified"))
     return roots
 

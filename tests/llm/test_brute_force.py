@@ -339,3 +339,29 @@ def test_op10_reaches_targets_of_known_domains(spark):
         soft_mixing.COMMON = old
     total = sum(found.targets)
     assert all(abs(a - t) < 0.001 * total for a, t in zip(found.reached, found.targets))
+
+
+def test_components_of_paths_stars_and_cycles(spark):
+    from cohortweave.llm.links import components, merged
+
+    rng = np.random.default_rng(9)
+    chain = [(i, i + 1) for i in range(100, 160)]
+    star = [(500, i) for i in range(400, 600) if i != 500]
+    odd = [(int(a), int(b)) for a, b in rng.integers(1000, 1300, (150, 2))] + [(7, 7), (2, 1), (1, 2)]
+    edges = chain + star + odd
+    parent = {n: n for e in edges for n in e}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    wanted = {n: find(n) for n in parent if n != 7 and any(n in e and e[0] != e[1] for e in edges)}
+    table = spark.createDataFrame(edges, "a long, b long")
+    assert {r["node"]: r["root"] for r in components(table).collect()} == wanted
+    half = merged(None, spark.createDataFrame(edges[::2], "a long, b long"))
+    assert {r["node"]: r["root"] for r in merged(half, spark.createDataFrame(edges[1::2], "a long, b long")).collect()} == wanted
+    assert components(table.limit(0)).count() == 0
