@@ -41,7 +41,7 @@ SAMPLE_ROWS = 20_000
 LEAST_GAIN = 15.0  # nats of the whole sample; half the statistic of a G-test, which chance reaches in one of a million words
 LEAST_ODDS = 2.0  # log-odds between domains; weaker words go together (as those of a language do) and would count twice
 COMMON = 0.1  # share of texts a lexicon word may be in; commoner ones tell the length and language of a text
-STEPS = 80
+STEPS = 40
 TOLERANCE = 1e-4  # of the greatest residual against the total
 MILLE = 1000
 
