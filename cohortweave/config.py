@@ -25,8 +25,7 @@ class EngineConfig:
     num_shards: int = 1  # shards of the patient records
     shard_size: int = 8  # valid records per simplified shard
     block_rows: int = 1_000  # entries per block of a long list
-    hot_group_rows: int = 2_000_000  # larger groups are ranked across tasks
-    max_voxels: int = 16_777_216  # voxels per volume block
+    max_voxels: int = 2_097_152  # voxels per volume block
 
 
 def build_session(app: str, master: str | None = None, **settings: str) -> SparkSession:

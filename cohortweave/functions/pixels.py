@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortweave.functions.values import bound
 from cohortweave.schemas import ABSENT_IMAGE_VALUE, CHANNEL_MEANS
 
 
@@ -27,18 +28,18 @@ def _places(count: Column) -> Column:
 
 def transposed(pixels: Column, height: Column, width: Column) -> Column:
     """Image of ``width`` rows and ``height`` columns."""
-    source = lambda p: F.get(pixels, ((p % height) * width + F.floor(p / height)).cast("int"))
-    return F.transform(_places(height * width), source)
+    def turn(image: Column) -> Column:
+        return F.transform(_places(height * width), lambda p: F.get(image, ((p % height) * width + F.floor(p / height)).cast("int")))
+
+    return bound(pixels, turn)
 
 
 def flipped_left_right(pixels: Column, height: Column, width: Column) -> Column:
-    rows = F.transform(_places(height), lambda r: F.reverse(F.slice(pixels, r * width + 1, width)))
-    return F.flatten(rows)
+    return bound(pixels, lambda image: F.flatten(F.transform(_places(height), lambda r: F.reverse(F.slice(image, r * width + 1, width)))))
 
 
 def flipped_up_down(pixels: Column, height: Column, width: Column) -> Column:
-    rows = F.transform(_places(height), lambda r: F.slice(pixels, (height - 1 - r) * width + 1, width))
-    return F.flatten(rows)
+    return bound(pixels, lambda image: F.flatten(F.transform(_places(height), lambda r: F.slice(image, (height - 1 - r) * width + 1, width))))
 
 
 def scaled(pixels: Column) -> Column:
@@ -59,10 +60,14 @@ def clipped(pixels: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 def min_max_normalised(pixels: Column) -> Column:
     """Least value to 0 and greatest to 1; a flat image becomes 0."""
-    low, high = F.array_min(pixels).cast("double"), F.array_max(pixels).cast("double")
-    return F.transform(
-        pixels, lambda x: F.when(high > low, (x.cast("double") - low) / (high - low)).otherwise(0.0).cast("float")
-    )
+    # Both ends are found once per image, not once per pixel.
+    ends = F.struct(F.array_min(pixels).cast("double").alias("low"), F.array_max(pixels).cast("double").alias("high"))
+
+    def stretch(e: Column) -> Column:
+        span = e["high"] - e["low"]
+        return F.transform(pixels, lambda x: F.when(span > 0, (x.cast("double") - e["low"]) / span).otherwise(0.0).cast("float"))
+
+    return bound(ends, stretch)
 
 
 def is_absent_image(pixels: Column) -> Column:

@@ -50,8 +50,8 @@ def feature_name(time: Column, flags: Column, study: Column, series: Column) ->
 
 
 def sibling_feature(name: Column, key: str) -> Column:
-    """Name of another feature of the series that owns an ``…/image`` feature."""
-    return F.replace(name, F.lit("image"), F.lit(key))
+    """Name of another feature of the series that owns an ``…/image`` feature: the last component changes."""
+    return F.regexp_replace(name, F.lit("image$"), F.lit(key.replace("\\", "\\\\").replace("$", "\\$")))
 
 
 def report_text(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def subject_key(text: Column) -> Column:
     return F.coalesce(text.try_cast("bigint").cast("string"), F.trim(text))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def typed_list(texts: Column, type_name: str) -> Column:
     """Multi-value tag with every element converted."""
     return F.transform(texts, lambda x: x.try_cast(type_name))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortweave.functions.values import bucket_of
 from cohortweave.operators.ranking import global_row_number
+from cohortweave.operators.shared import written
 
 
 def _prefix(sizes: np.ndarray) -> np.ndarray:
@@ -38,11 +39,15 @@ def _chunk_outcomes(chunk: int, sizes: np.ndarray, limit: int) -> pd.DataFrame:
     """
     prefix, n = _prefix(sizes), len(sizes)
     after = np.maximum(np.searchsorted(prefix, prefix[:-1] + limit, side="right") - 1, np.arange(1, n + 1))
-    opened, last = np.ones(n, dtype=np.int64), np.arange(n)
-    for i in range(n - 1, -1, -1):
-        if after[i] < n:
-            opened[i] = opened[after[i]] + 1
-            last[i] = last[after[i]]
+    # Pointer doubling: jumps of 1, 2, 4, ... batches at a time.
+    opened, last, jump = np.ones(n + 1, dtype=np.int64), np.arange(n + 1), np.append(after, n)
+    opened[n] = 0
+    while (jump[:n] < n).any():
+        more = jump < n
+        opened += np.where(more, opened[jump], 0)
+        last = np.where(more, last[jump], last)
+        jump = jump[jump]
+    opened, last = opened[:n], last[:n]
     heads = np.arange(_fits_until(prefix, 0, limit - 1) + 1)
     whole = heads == n
     at = np.minimum(heads, n - 1)
@@ -83,12 +88,15 @@ def pack_groups(sizes: DataFrame, key: str, size: str, limit: int = 20, chunk_ro
     has a batch of its own. The result is that of one pass over all groups, but no
     task makes that pass: chunks of ``chunk_rows`` groups first work out their
     outcome for every fill they may meet (at most ``limit`` rows each), these
-    outcomes are chained, and every chunk then numbers its groups by itself.
+    outcomes are chained, and every chunk then numbers its groups by itself. A NULL
+    key names no group and is left out.
     """
-    key_type = sizes.schema[key].dataType.simpleString()
+    known = sizes.where(F.col(key).isNotNull())
     numbered = global_row_number(
-        sizes.select(F.col(key).alias("k"), F.col(size).cast("bigint").alias("n")), ["k"], "at", start=0
-    ).withColumn("chunk", F.floor(F.col("at") / chunk_rows).cast("bigint"))
+        known.select(F.col(key).alias("k"), F.col(size).cast("bigint").alias("n")), ["k"], "at", start=0
+    )
+    numbered = written(numbered.withColumn("chunk", F.floor(F.col("at") / chunk_rows).cast("bigint")), "groups")
+    counted = numbered.select("at", "n", "chunk")  # keys of any type and size stay out of Python
 
     def outcomes(groups: pd.DataFrame) -> pd.DataFrame:
         groups = groups.sort_values("at")
@@ -100,26 +108,25 @@ def pack_groups(sizes: DataFrame, key: str, size: str, limit: int = 20, chunk_ro
     def assign(groups: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         groups = groups.sort_values("at")
         batch = _assign_chunk(groups, int(entry["fill"].iloc[0]), int(entry["opened"].iloc[0]), limit)
-        return pd.DataFrame({"k": groups["k"].to_numpy(), "n": groups["n"].to_numpy(), "batch_id": batch})
+        return pd.DataFrame({"at": groups["at"].to_numpy(), "batch_id": batch})
 
     entries = (
-        numbered.groupBy("chunk")
+        counted.groupBy("chunk")
         .applyInPandas(outcomes, "chunk bigint, head bigint, opened bigint, fill bigint")
         .groupBy()
         .applyInPandas(chain, "chunk bigint, fill bigint, opened bigint")
     )
-    return (
-        numbered.groupBy("chunk")
-        .cogroup(entries.groupBy("chunk"))
-        .applyInPandas(assign, f"k {key_type}, n bigint, batch_id bigint")
-        .select(F.col("k").alias(key), F.col("n").alias(size), "batch_id")
-    )
+    placed = counted.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInPandas(assign, "at bigint, batch_id bigint")
+    return numbered.join(placed, "at").select(F.col("k").alias(key), F.col("n").alias(size), "batch_id")
 
 
 def batched_cohort(series: DataFrame, key: str = "patient_id", limit: int = 20, chunk_rows: int = 100_000) -> DataFrame:
-    """Series with the batch of their patient; every patient is in one batch."""
+    """Series with the batch of their patient; every patient is in one batch.
+
+    Series without a patient keep their rows, with no batch.
+    """
     sizes = series.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return series.join(pack_groups(sizes, key, "n", limit, chunk_rows).select(key, "batch_id"), key)
+    return series.join(pack_groups(sizes, key, "n", limit, chunk_rows).select(key, "batch_id"), key, "left")
 
 
 def _with_number(records: DataFrame, key: str, out: str) -> DataFrame:
@@ -163,6 +170,3 @@ def split_by_position(samples: DataFrame, key: str, train: int = 80, val: int =
     )
     return numbered.withColumn("split", name).drop("_no")
 
-
-def split_counts(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("split").agg(F.count(F.lit(1)).alias("n"))

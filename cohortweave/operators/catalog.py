@@ -51,18 +51,17 @@ def paths_by_patient(
     descriptions: DataFrame,
     wanted: Sequence[str] = tuple(SEGMENTATION_DESCRIPTIONS + IMAGE_DESCRIPTIONS),
     block_rows: int = 1_000,
-    hot_group_rows: int = 2_000_000,
 ) -> DataFrame:
     """Path lists of every patient over the series with a wanted description."""
     ids = descriptions.where(F.col("description").isin(list(wanted))).select("series_id")
     kept = paths.join(ids, "series_id", "left_semi")
-    return list_blocks(kept, ["patient_id"], ["path"], ["path"], "paths", block_rows, hot_group_rows)
+    return list_blocks(kept, ["patient_id"], ["path"], ["path"], "paths", block_rows)
 
 
-def series_by_patient(metadata: DataFrame, block_rows: int = 1_000, hot_group_rows: int = 2_000_000) -> DataFrame:
+def series_by_patient(metadata: DataFrame, block_rows: int = 1_000) -> DataFrame:
     """Series ids of every patient."""
     pairs = metadata.select("patient_id", "series_id").distinct()
-    return list_blocks(pairs, ["patient_id"], ["series_id"], ["series_id"], "series_ids", block_rows, hot_group_rows)
+    return list_blocks(pairs, ["patient_id"], ["series_id"], ["series_id"], "series_ids", block_rows)
 
 
 def series_subset(discovered: DataFrame, subset: DataFrame | Sequence | None) -> DataFrame:

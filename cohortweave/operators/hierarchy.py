@@ -22,9 +22,9 @@ def study_rollup(series: DataFrame) -> DataFrame:
     )
 
 
-def study_series(series: DataFrame, block_rows: int = 1_000, hot_group_rows: int = 2_000_000) -> DataFrame:
+def study_series(series: DataFrame, block_rows: int = 1_000) -> DataFrame:
     """The series of every study as lists in blocks."""
-    return list_blocks(series, ["study_id"], ["series_id"], ["series_id"], "series_ids", block_rows, hot_group_rows)
+    return list_blocks(series, ["study_id"], ["series_id"], ["series_id"], "series_ids", block_rows)
 
 
 def patient_rollup(studies: DataFrame) -> DataFrame:
@@ -36,25 +36,29 @@ def patient_rollup(studies: DataFrame) -> DataFrame:
     )
 
 
-def patient_hierarchy(series: DataFrame, block_rows: int = 1_000, hot_group_rows: int = 2_000_000) -> DataFrame:
-    """Manifests of every patient: (study, series, slices) in order, in blocks."""
-    studies = study_rollup(series)
-    owners = studies.select("study_id", F.col("patient_id").alias("_owner"))
-    owned = (
-        series.select("study_id", "series_id", "n_slices")
-        .join(owners, "study_id")
-        .select(F.col("_owner").alias("patient_id"), "study_id", "series_id", "n_slices")
+def owned_series(series: DataFrame) -> DataFrame:
+    """Series under the patient who owns their study, who is the least it names.
+
+    Everything made of series by patient (batches, features, records, manifests,
+    reports) starts from these, so that a study is never divided.
+    """
+    if "owner_conflict" in series.columns:  # done before
+        return series
+    owners = study_rollup(series).select("study_id", F.col("patient_id").alias("_owner"), F.col("conflict").alias("owner_conflict"))
+    return series.alias("s").join(owners.alias("o"), F.expr("s.study_id <=> o.study_id")).select(
+        *[F.col("_owner").alias(c) if c == "patient_id" else F.col(f"s.`{c}`") for c in series.columns], "owner_conflict"
     )
-    sizes = patient_rollup(studies).select("patient_id", F.col("n_series").alias("n_rows"))
+
+
+def patient_hierarchy(series: DataFrame, block_rows: int = 1_000) -> DataFrame:
+    """Manifests of every patient: (study, series, slices) in order, in blocks."""
     return list_blocks(
-        owned,
+        owned_series(series),
         ["patient_id"],
         ["study_id", "series_id"],
         ["study_id", "series_id", "n_slices"],
         "manifest",
         block_rows,
-        hot_group_rows,
-        sizes,
     )
 
 
@@ -62,6 +66,14 @@ def _numeric_subject(series: DataFrame) -> DataFrame:
     return series.withColumn("patient_id", F.col("patient_id").try_cast("bigint"))
 
 
+def with_subject(series: DataFrame) -> DataFrame:
+    """Patient ids as numbers (``007`` is 7), with the id as it was named in ``subject``.
+
+    An id that is no number is NULL; its series go to the unmatched report by name.
+    """
+    return _numeric_subject(series.withColumn("subject", F.col("patient_id").cast("string")))
+
+
 def cohort_join(series: DataFrame, patients: DataFrame) -> DataFrame:
     """Series (or studies) of known patients, with the patient's data.
 
@@ -74,8 +86,9 @@ def cohort_join(series: DataFrame, patients: DataFrame) -> DataFrame:
 
 def cohort_unmatched(series: DataFrame, patients: DataFrame) -> DataFrame:
     """Both sides without a partner: studies without a patient, patients without a study."""
+    named = F.coalesce(F.col("patient_id").cast("string"), "subject") if "subject" in series.columns else F.col("patient_id")
     studies = series.select(
-        F.col("patient_id").try_cast("bigint").alias("_id"), F.col("patient_id").alias("_named"), "study_id"
+        F.col("patient_id").try_cast("bigint").alias("_id"), named.cast("string").alias("_named"), "study_id"
     ).distinct()
     known = patients.select("patient_id")
     lonely_studies = studies.join(known.withColumnRenamed("patient_id", "_id"), "_id", "left_anti").select(

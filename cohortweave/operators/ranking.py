@@ -48,31 +48,13 @@ def global_row_number(df: DataFrame, order: Sequence[str], out: str, start: int
     )
 
 
-def hot_groups(sizes: DataFrame, group: Sequence[str], too_large: Column) -> DataFrame | None:
-    """Keys of the groups too large for one task, or None where there are none.
+def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``row_number() over (partition by group order by order)`` for groups of any size.
 
-    ``sizes`` has one row per group. With a bound of n rows per group the keys are at
-    most a n-th of the rows.
+    ``group`` and ``order`` together must be a unique key. Rows are numbered over range
+    partitions, which split a large group, and a rank is a row's number less that of
+    its group's first row.
     """
-    hot = sizes.where(too_large).select(*group)
-    return None if hot.isEmpty() else written(hot, "hot-groups")
-
-
-def split_groups(df: DataFrame, hot: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of the other groups, and rows of the hot ones."""
-    rows, keys = df.alias("l"), hot.alias("r")
-    same = _same_group(group)
-    return rows.join(keys, same, "left_anti"), rows.join(keys, same, "left_semi")
-
-
-def rank_in_task(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    """Rank by a window: one group, one task."""
-    window = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(window).cast("bigint"))
-
-
-def rank_across_tasks(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    """Rank by range partitions, which split a group: its row's number less that of its first row."""
     numbered = global_row_number(df, [*group, *order], "_no")
     first = numbered.groupBy(*group).agg(F.min("_no").alias("_first"))
     return (
@@ -82,29 +64,6 @@ def rank_across_tasks(df: DataFrame, group: Sequence[str], order: Sequence[str],
     )
 
 
-def rank_within(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    out: str,
-    hot_group_rows: int = 2_000_000,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """``row_number() over (partition by group order by order)`` that survives a hot group.
-
-    ``group`` and ``order`` together must be a unique key. Groups of up to
-    ``hot_group_rows`` rows are ranked in a task each, larger ones across tasks.
-    ``sizes`` (the group and ``n_rows``) saves counting where counts are at hand.
-    """
-    if sizes is None:
-        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"))
-    hot = hot_groups(sizes, group, F.col("n_rows") > hot_group_rows)
-    if hot is None:
-        return rank_in_task(df, group, order, out)
-    plain, large = split_groups(df, hot, group)
-    return rank_in_task(plain, group, order, out).unionByName(rank_across_tasks(large, group, order, out))
-
-
 def list_blocks(
     df: DataFrame,
     group: Sequence[str],
@@ -112,8 +71,6 @@ def list_blocks(
     values: Sequence[str],
     out: str,
     block_rows: int = 1_000,
-    hot_group_rows: int = 2_000_000,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Ordered lists per group, in numbered blocks of at most ``block_rows`` entries.
 
@@ -121,7 +78,7 @@ def list_blocks(
     many as it needs, so no task ever holds more than ``block_rows`` entries.
     """
     needed = list(dict.fromkeys([*group, *order, *values]))
-    ranked = rank_within(df.select(*needed), group, order, "_rank", hot_group_rows, sizes)
+    ranked = rank_within(df.select(*needed), group, order, "_rank")
     entry = F.struct("_rank", *values)
     item = (lambda x: x[values[0]]) if len(values) == 1 else (lambda x: F.struct(*[x[v].alias(v) for v in values]))
     return (

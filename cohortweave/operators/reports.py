@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.functions.pixels import argmax
@@ -45,24 +47,31 @@ def label_distribution(samples: DataFrame, label: str = "label") -> DataFrame:
     return samples.groupBy(argmax(F.col(label)).alias("class_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bin(value: Column, low: float, high: float, bins: int) -> Column:
-    if high <= low:
-        return F.lit(0).cast("bigint")
-    at = F.floor((value.cast("double") - low) / (high - low) * bins).cast("bigint")
-    return F.greatest(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("bigint")
-
-
 def pixel_histogram(images: DataFrame, pixels: str = "pixels", bins: int = 30) -> DataFrame:
-    """Pixels per equal-width bin between the least and the greatest value of all."""
+    """Pixels per equal-width bin between the least and the greatest value of all.
+
+    Tasks count their images' pixels by numpy, so that no row per pixel is made; both
+    ends come from a subquery of the same plan.
+    """
     ends = images.agg(
         F.min(F.array_min(pixels)).cast("double").alias("low"), F.max(F.array_max(pixels)).cast("double").alias("high")
-    ).first()
-    low, high = (ends["low"], ends["high"]) if ends["low"] is not None else (0.0, 0.0)
-    return (
-        images.select(F.explode(pixels).alias("value"))
-        .groupBy(_bin(F.col("value"), low, high, bins).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
     )
+    rows = images.select(
+        F.col(pixels).alias("v"), ends.select("low").scalar().alias("low"), ends.select("high").scalar().alias("high")
+    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(bins, dtype=np.int64)
+        for batch in batches:
+            values = batch.column(0).flatten().drop_null().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(values):
+                low, high = batch.column(1)[0].as_py(), batch.column(2)[0].as_py()
+                at = np.floor((values - low) / (high - low) * bins) if high > low else np.zeros(len(values))
+                total += np.bincount(np.clip(at, 0, bins - 1).astype(np.int64), minlength=bins)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["bin", "n"])
+
+    return rows.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def metadata_distribution(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

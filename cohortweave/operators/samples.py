@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.functions import pixels as px
-from cohortweave.functions.values import known
+from cohortweave.functions.values import bound, known
+from cohortweave.operators.ranking import global_row_number
 from cohortweave.schemas import (
     MAX_ROTATION,
     NOISE_STDDEV,
@@ -40,10 +41,6 @@ def one_hot(group: Column, depth: int = RESPONSE_GROUPS) -> Column:
     return F.array(*[(group == g).cast("float") for g in range(1, depth + 1)])
 
 
-def group_of(label: Column) -> Column:
-    return px.argmax(label) + 1
-
-
 def has_required_features(
     features: DataFrame, required: Sequence[str] = tuple(REQUIRED_FEATURES), key: str = "patient_id"
 ) -> DataFrame:
@@ -79,11 +76,6 @@ def preferred_series(
     )
 
 
-def present_images(samples: DataFrame) -> DataFrame:
-    """Samples with an image that is there."""
-    return samples.where(F.col("pixels").isNotNull() & ~F.coalesce(px.is_absent_image(F.col("pixels")), F.lit(True)))
-
-
 def sample_fault(height: int, width: int) -> Column:
     """Why a row is no sample; NULL for a good one."""
     return (
@@ -117,8 +109,13 @@ def sample_take(samples: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def sample_shuffle(samples: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """A full shuffle that is the same for the same seed."""
-    return samples.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    """A full shuffle that is the same for the same seed, and each row's place in it.
+
+    Rows are ordered by a digest of key and seed, numbered over range partitions.
+    """
+    drawn = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    numbered = global_row_number(samples.withColumn("_draw", drawn), ["_draw", key], "place", start=0)
+    return numbered.drop("_draw").orderBy("place")
 
 
 def label_names(samples: DataFrame, names: DataFrame, label: str = "label") -> DataFrame:
@@ -167,12 +164,17 @@ def _map_images(samples: DataFrame, apply: Callable, pixels_out: int = 0) -> Dat
     return samples.mapInArrow(run, samples.schema)
 
 
-def resized(samples: DataFrame, height: int = SAMPLE_HEIGHT, width: int = SAMPLE_WIDTH) -> DataFrame:
-    """Images brought to one size; those of that size already stay as they are."""
+def resized(samples: DataFrame, height: int = SAMPLE_HEIGHT, width: int = SAMPLE_WIDTH, swap: bool = False) -> DataFrame:
+    """Images brought to one size; those of that size already stay as they are.
+
+    With ``swap`` rows and columns change places first.
+    """
 
     def apply(images: np.ndarray, part: pa.RecordBatch) -> np.ndarray | None:
+        if swap:
+            images = np.swapaxes(images, 1, 2)
         if images.shape[1:] == (height, width):
-            return None
+            return images if swap else None
         return px.resize_batch(images.astype(np.float64), height, width)
 
     return _map_images(samples, apply, height * width)
@@ -199,8 +201,8 @@ def augmented(samples: DataFrame, key: str = "patient_id", seed: int = 0) -> Dat
 
     height, width = F.col("height"), F.col("width")
     uniform = lambda stream, i: px.unit_hash(F.col(key), seed * 16 + 4 + stream, i)
-    noisy = px.clipped(px.with_noise(F.col("pixels"), NOISE_STDDEV, uniform))
-    tilted = F.when(chance(3) > 0.5, px.flipped_up_down(noisy, height, width)).otherwise(noisy)
+    noise = px.clipped(px.with_noise(F.col("pixels"), NOISE_STDDEV, uniform))
+    tilted = bound(noise, lambda noisy: F.when(chance(3) > 0.5, px.flipped_up_down(noisy, height, width)).otherwise(noisy))
     pixels = turned.withColumn("pixels", F.when(chance(2) > 0.5, tilted).otherwise(F.col("pixels")))
     mirrored = px.flipped_left_right(F.col("pixels"), height, width)
     return pixels.withColumn("pixels", F.when(chance(7) > 0.5, mirrored).otherwise(F.col("pixels")))

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortweave.functions.text import description_flags, dicom_id, feature_name
 from cohortweave.functions.values import present
-from cohortweave.operators.ranking import hot_groups, rank_across_tasks, rank_in_task, split_groups
-from cohortweave.operators.shared import written
+from cohortweave.operators.ranking import rank_within
 from cohortweave.schemas import (
     DEFAULT_ORIENTATION,
     DEFAULT_POSITION,
@@ -42,11 +41,32 @@ def check_pixels(slices: DataFrame) -> DataFrame:
     return slices.withColumn("status", F.when(wrong, "pixel_count").otherwise(F.col("status")))
 
 
-def _fact_aggregates() -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("n_slices"),
+def series_facts(slices: DataFrame) -> DataFrame:
+    """Counts per series from which its order and validity follow; pixels are not read.
+
+    Slices are reduced to paths first, so that a path which comes twice is seen.
+    """
+    numbers = [("rows_min", "min", "rows"), ("rows_max", "max", "rows"), ("cols_min", "min", "cols"), ("cols_max", "max", "cols")]
+    per_path = slices.groupBy("series_id", "path").agg(
+        F.count(F.lit(1)).alias("n"),
         F.count("slice_location").alias("n_locations"),
         F.count(_z()).alias("n_positions"),
+        F.expr("count_if(status <> 'ok')").alias("n_failed"),
+        *[getattr(F, kind)(c).alias(name) for name, kind, c in numbers],
+    )
+    return per_path.groupBy("series_id").agg(
+        F.sum("n").alias("n_slices"),
+        F.sum("n_locations").alias("n_locations"),
+        F.sum("n_positions").alias("n_positions"),
+        *[getattr(F, kind)(name).alias(name) for name, kind, _ in numbers],
+        F.sum("n_failed").alias("n_failed"),
+        F.max("n").alias("n_of_a_path"),
+    )
+
+
+def _metadata_facts() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n_slices"),
         F.min("rows").alias("rows_min"),
         F.max("rows").alias("rows_max"),
         F.min("cols").alias("cols_min"),
@@ -55,15 +75,11 @@ def _fact_aggregates() -> list[Column]:
     ]
 
 
-def series_facts(slices: DataFrame) -> DataFrame:
-    """Counts per series from which its order and validity follow; pixels are not read."""
-    return slices.groupBy("series_id").agg(*_fact_aggregates())
-
-
-def _fault() -> Column:
+def _fault(repeats: str = "n_of_a_path > 1") -> Column:
     return F.expr(
-        """CASE WHEN n_failed > 0 THEN 'failed_slice'
-                WHEN rows_min <> rows_max OR cols_min <> cols_max THEN 'mixed_size' END"""
+        f"""CASE WHEN n_failed > 0 THEN 'failed_slice'
+                 WHEN rows_min <> rows_max OR cols_min <> cols_max THEN 'mixed_size'
+                 WHEN {repeats} THEN 'repeated_path' END"""
     )
 
 
@@ -72,93 +88,56 @@ def series_quarantine(slices: DataFrame) -> DataFrame:
     return series_facts(slices).select("series_id", "n_slices", _fault().alias("reason")).where("reason is not null")
 
 
-def _with_sort_key(slices: DataFrame, facts: DataFrame, carry: Sequence[str]) -> DataFrame:
+def slice_order(slices: DataFrame) -> DataFrame:
+    """Place of every slice in its series, from 0. Only keys are sorted and shuffled.
+
+    Slices sort by location where all slices of the series have one, else by the z
+    position where all have that, else by path; the path also settles ties. A path
+    names one file: a series with a path that comes twice is quarantined, and its
+    equal rows have one place.
+    """
+    facts = series_facts(slices).select("series_id", "n_slices", "n_locations", "n_positions", _fault().alias("reason"))
     by_location = F.col("n_locations") == F.col("n_slices")
     by_position = F.col("n_positions") == F.col("n_slices")
-    rows = slices.select("series_id", "path", "slice_location", _z().alias("_z"), *carry)
-    return rows.join(facts, "series_id").select(
+    keyed = slices.select("series_id", "path", "slice_location", _z().alias("_z")).join(facts, "series_id").select(
         "series_id",
         "path",
         "n_slices",
         "reason",
-        *carry,
         F.when(by_location, "location").when(by_position, "position").otherwise("path").alias("sort_source"),
         F.when(by_location, F.col("slice_location")).when(by_position, F.col("_z")).alias("sort_key"),
     )
-
-
-def slice_order(
-    slices: DataFrame,
-    carry: Sequence[str] = (),
-    hot_group_rows: int = 2_000_000,
-    hot_voxels: int = 268_435_456,
-) -> DataFrame:
-    """Place of every slice in its series, from 0.
-
-    Slices sort by location where all slices of the series have one, else by the z
-    position where all have that, else by path; the path also settles ties.
-
-    ``carry`` names columns to take along, so that slices shuffle once. A series of
-    very many slices, or of very many voxels where columns are carried, is ranked
-    across tasks by its keys, and its columns are joined to the ranks by path.
-    """
-    all_facts = series_facts(slices).withColumn("reason", _fault())
-    too_large = F.col("n_slices") > hot_group_rows
-    if carry:
-        too_large = too_large | (F.col("n_slices") * F.col("rows_max") * F.col("cols_max") > hot_voxels)
-    hot = hot_groups(all_facts, ["series_id"], too_large)
-    facts = all_facts.select("series_id", "n_slices", "n_locations", "n_positions", "reason")
-    order = ["sort_key", "path"]
-
-    plain = slices if hot is None else split_groups(slices, hot, ["series_id"])[0]
-    ranked = rank_in_task(_with_sort_key(plain, facts, carry), ["series_id"], order, "_rank")
-    if hot is not None:
-        large = split_groups(slices, hot, ["series_id"])[1]
-        # The hot series are few, so their facts go to the slices and not the other way.
-        few = split_groups(facts, hot, ["series_id"])[1]
-        placed = rank_across_tasks(_with_sort_key(large, few, ()), ["series_id"], order, "_rank")
-        if carry:
-            placed = placed.join(large.select("path", *carry), "path")
-        ranked = ranked.unionByName(placed)
+    ranked = rank_within(keyed.distinct(), ["series_id"], ["sort_key", "path"], "_rank")
     return ranked.withColumn("z_index", F.col("_rank") - 1).drop("_rank")
 
 
-def middle_slices(slices: DataFrame, hot_group_rows: int = 2_000_000) -> DataFrame:
-    """The slice at place n div 2 of every series. Only keys are sorted."""
-    placed = slice_order(slices, hot_group_rows=hot_group_rows)
+def middle_slices(slices: DataFrame) -> DataFrame:
+    """The slice at place n div 2 of every valid series."""
+    placed = slice_order(slices).where("reason is null")
     return placed.where(F.col("z_index") == F.floor(F.col("n_slices") / 2)).select(
         "series_id", "path", "n_slices", "z_index"
     )
 
 
-def fetch_pixels(selected: DataFrame, slices: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
-    """Pixels of selected slices, found by path.
-
-    The selection is written and counted. Up to ``broadcast_rows`` rows it goes to
-    every task, so the pixel table is scanned but not shuffled; a larger one is
-    joined by whatever way its size allows.
-    """
-    chosen = written(selected, "selected")
-    side = F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen
-    return slices.select("path", "rows", "cols", "pixels").join(side, "path")
+def fetch_pixels(selected: DataFrame, slices: DataFrame) -> DataFrame:
+    """Pixels of selected slices, found by path; the planner chooses the join by the sizes it sees."""
+    return slices.select("path", "rows", "cols", "pixels").join(selected, "path")
 
 
-def volume_blocks(
-    slices: DataFrame,
-    max_voxels: int = 16_777_216,
-    hot_group_rows: int = 2_000_000,
-    hot_voxels: int = 268_435_456,
-) -> DataFrame:
+def volume_blocks(slices: DataFrame, max_voxels: int = 2_097_152) -> DataFrame:
     """Volumes of the valid series, slice after slice in row-major order.
 
     A volume of up to ``max_voxels`` voxels is one row. A larger one has as many
-    rows as it needs, each with whole slices, its first slice and its number.
+    rows as it needs, each with whole slices, its first slice and its number. Slices
+    are ordered by their keys alone; pixels then meet their places and their block,
+    and a block is all that a task gathers.
     """
-    placed = slice_order(slices, ["rows", "cols", "pixels"], hot_group_rows, hot_voxels)
+    placed = slice_order(slices).where("reason is null").select("series_id", "path", "n_slices", "z_index")
     area = F.greatest(F.col("rows") * F.col("cols"), F.lit(1))
     per_block = F.greatest(F.floor(F.lit(max_voxels) / area), F.lit(1))
     return (
-        placed.where("reason is null")
+        slices.select("series_id", "path", "rows", "cols", "pixels")
+        .join(placed, ["series_id", "path"])
         .withColumn("block_no", F.floor(F.col("z_index") / per_block).cast("bigint"))
         .groupBy("series_id", "block_no")
         .agg(
@@ -245,7 +224,7 @@ def series_metadata(slices: DataFrame) -> DataFrame:
     least = {"_time": "time_point", "_description": "description", "_study": "study_id", "_subject": "patient_id"}
     least |= {"_laterality": "laterality", "_modality": "modality"}
     merged = slices.groupBy("series_id").agg(
-        *_fact_aggregates(),
+        *_metadata_facts(),
         *_bound_aggregates(),
         *[F.expr(f"min(nullif({column}, '')) AS {name}") for name, column in least.items()],
         F.min("slice_spacing").alias("_dz"),
@@ -268,7 +247,7 @@ def series_metadata(slices: DataFrame) -> DataFrame:
         _z_bound().alias("z_bound"),
         F.expr("array(CAST(n_slices AS INT), rows_max, cols_max) AS shape"),
         "n_slices",
-        F.coalesce(_fault(), F.lit("ok")).alias("status"),
+        F.coalesce(_fault("false"), F.lit("ok")).alias("status"),
     )
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortweave.config import EngineConfig
-from cohortweave.functions.pixels import transposed
 from cohortweave.functions.values import or_missing
 from cohortweave.operators import batching, catalog, hierarchy
 from cohortweave.operators import patients as pt
@@ -54,10 +53,13 @@ def build_cohort(
     decoder: Callable[[str, bytes], dict],
     subset: DataFrame | Sequence | None = None,
     descriptions: Sequence[str] = tuple(IMAGE_DESCRIPTIONS),
+    paths: DataFrame | None = None,
 ) -> dict[str, str]:
     """Read the patient files and the image tree, and write every table of the cohort.
 
     Series are those with an allowed description, or exactly those of ``subset``.
+    ``paths``, a table with a ``path`` column, takes the place of a listing: then no
+    list of files passes through the driver.
     Files are filtered by their paths first, then fetched and decoded in the tasks;
     ``decoder(path, content)`` gives the columns of ``schemas.SLICES``. Rows that fail
     go to quarantine tables. An image feature of the records names the series whose
@@ -75,7 +77,10 @@ def build_cohort(
     patients = save(good, "patients")
     save(rejected, "patient_quarantine")
 
-    files = files_source.list_files(spark, config.studies_root, config.file_pattern)
+    if paths is None:
+        files = files_source.list_files(spark, config.studies_root, config.file_pattern)
+    else:
+        files = files_source.files_of_paths(paths)
     listed = files_source.series_directories(files).withColumnRenamed("series_path", "path")
     if subset is not None:
         wanted = catalog.series_subset(listed, subset)
@@ -86,10 +91,10 @@ def build_cohort(
     if config.series_limit is not None:
         wanted = wanted.orderBy("study_id", "series_id").limit(config.series_limit)
 
-    paths = files.join(wanted.select("study_id", "series_id"), ["study_id", "series_id"], "left_semi")
+    chosen = files.join(wanted.select("study_id", "series_id"), ["study_id", "series_id"], "left_semi")
     # Paths are tiny and decoding is not: spread them without regard to their bytes.
     tasks = config.decode_tasks or spark.sparkContext.defaultParallelism * 4
-    decoded = files_source.fetch_and_decode(paths.select("path").repartition(tasks, "path"), decoder, SLICES)
+    decoded = files_source.fetch_and_decode(chosen.select("path").repartition(tasks, "path"), decoder, SLICES)
     parts = F.split("path", "/")
     tagged = sr.tag_columns(decoded).withColumns(
         {
@@ -98,20 +103,22 @@ def build_cohort(
         }
     )
     slices = save(sr.check_pixels(tagged), "slices")
-    save(sr.series_quarantine(slices), "series_quarantine")
     series = save(sr.series_metadata(slices), "series")
-    save(sr.volume_blocks(slices, config.max_voxels, config.hot_group_rows), "volumes")
-    valid = series.where("status = 'ok'")
-    save(hierarchy.cohort_unmatched(valid, patients), "unmatched")
-    save(hierarchy.patient_hierarchy(valid, config.block_rows, config.hot_group_rows), "manifest")
-
-    batched = batching.batched_cohort(valid, "patient_id", config.batch_size)
-    features = sr.feature_dedup(sr.feature_long(sr.series_features(series)))
+    save(sr.volume_blocks(slices, config.max_voxels), "volumes")
+    # Ids are numbers and studies have one owner before anything is made by patient.
+    faulty = save(sr.series_quarantine(slices), "series_quarantine").select("series_id")
+    valid = series.where("status = 'ok'").join(faulty, "series_id", "left_anti")
+    owned = written(hierarchy.owned_series(hierarchy.with_subject(valid)), "owned-series")
+    save(hierarchy.cohort_unmatched(owned, patients), "unmatched")
+    save(hierarchy.patient_hierarchy(owned, config.block_rows), "manifest")
+
+    batched = batching.batched_cohort(owned, "patient_id", config.batch_size)
+    features = sr.feature_dedup(sr.feature_long(sr.series_features(owned)))
     # One row per patient on this side, so the features are joined once only.
     batches = batched.select("patient_id", "batch_id").distinct()
     own = hierarchy.cohort_join(batches, pt.patient_features(patients))
     records = hierarchy.cohort_join(features, own)
-    write_batches(records, out["records"], num_shards=config.num_shards, spread="series_id")
+    write_batches(records, out["records"], num_shards=config.num_shards, spread="series_id", whole=True)
     return out
 
 
@@ -152,12 +159,6 @@ def cohort_manifest(slices: DataFrame, series: DataFrame, patients: DataFrame) -
     return hierarchy.cohort_join(per_patient, known)
 
 
-def patient_records(features: DataFrame, patients: DataFrame) -> DataFrame:
-    """Long records: the features of every patient's series, names made unique, with the patient's own."""
-    own = pt.patient_features(patients).select("patient_id", F.struct("pCR", "RCB", "age").alias("patient"))
-    return hierarchy.cohort_join(sr.feature_dedup(features), own)
-
-
 def wide_records(features: DataFrame, names: Sequence[str]) -> DataFrame:
     """A column per named feature, for few names that are known beforehand."""
     return features.groupBy("patient_id").pivot("feature_name", list(names)).agg(F.first("value"))
@@ -192,14 +193,14 @@ def training_samples(
     middle = sr.middle_slices(own).select("series_id", "path").join(chosen, "series_id")
     images = sr.fetch_pixels(middle, slices).select(
         F.col("patient_id").try_cast("bigint").alias("patient_id"),
-        # Slices lie (row, column); samples lie (column, row).
-        transposed(F.col("pixels"), F.col("rows"), F.col("cols")).alias("pixels"),
-        F.col("cols").alias("height"),
-        F.col("rows").alias("width"),
+        "pixels",
+        F.col("rows").alias("height"),
+        F.col("cols").alias("width"),
     )
     labels = patients.select("patient_id", F.col("outcome.pCR").alias("pCR"), F.col("outcome.RCB").alias("RCB"))
     labelled = sm.labelled_only(images.join(labels, "patient_id"))
-    return sm.sample_input(sm.resized(labelled, height, width), height, width)
+    # Slices lie (row, column); samples lie (column, row).
+    return sm.sample_input(sm.resized(labelled, height, width, swap=True), height, width)
 
 
 def write_simplified(records: DataFrame, path: str, shard_size: int = EngineConfig.shard_size) -> None:

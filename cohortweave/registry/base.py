@@ -60,10 +60,15 @@ series AS (
 # --- slices --------------------------------------------------------------------
 
 
+# Line numbers repeat within an order; with these columns a path names one line.
+SLICE_PATH = """concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE), CAST(l_quantity AS INT),
+  CAST(round(100 * l_extendedprice) AS BIGINT))"""
+
+
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     tall = "l_tax = 0.08D AND l_returnflag = 'R'"
     return table(spark, sf_dir, "lineitem").selectExpr(
-        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS path",
+        f"{SLICE_PATH} AS path",
         "l_orderkey AS series_id",
         "concat('T', quarter(l_shipdate)) AS time_point",
         "CASE WHEN l_linestatus = 'F' THEN 'SEG' ELSE 'MR' END AS modality",
@@ -96,7 +101,7 @@ def tagged_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SLICES_SQL = """
 slices AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS path, l_orderkey AS series_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE), CAST(l_quantity AS INTEGER), CAST(round(100 * l_extendedprice) AS BIGINT)) AS path, l_orderkey AS series_id,
          CASE WHEN l_discount <> 0 THEN CAST(l_linenumber AS DOUBLE) END AS slice_location,
          CASE WHEN l_tax <> 0 THEN l_quantity END AS z,
          CASE WHEN l_tax <> 0 THEN [l_discount, l_tax, l_quantity] END AS position,

@@ -158,6 +158,26 @@ def cohort_manifest(spark, sf_dir):
     return jobs.cohort_manifest(slices(spark, sf_dir), series(spark, sf_dir), patients(spark, sf_dir))
 
 
+_TEXT_IDS = "CASE WHEN o_orderkey % 3 = 0 THEN lpad(CAST(o_custkey AS STRING), 9, '0') WHEN o_orderkey % 97 = 0 THEN 'unnamed' ELSE CAST(o_custkey AS STRING) END"
+
+
+@query(
+    "subject_owner",
+    f"""WITH named AS (
+      SELECT o_orderkey AS series_id, concat(o_custkey // 2, '-', year(o_orderdate)) AS study_id,
+             TRY_CAST({_TEXT_IDS.replace('AS STRING', 'AS VARCHAR')} AS BIGINT) AS patient FROM orders),
+    owners AS (SELECT study_id, min(patient) AS patient_id, coalesce(min(patient) <> max(patient), false) AS conflict FROM named GROUP BY study_id)
+    SELECT series_id, study_id, patient_id, conflict FROM named JOIN owners USING (study_id)""",
+)
+def subject_owner(spark, sf_dir):
+    """Ids with leading zeros and studies of two patients: numbers first, then one owner."""
+    named = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS series_id", "concat_ws('-', o_custkey div 2, year(o_orderdate)) AS study_id", f"{_TEXT_IDS} AS patient_id", "1L AS n_slices"
+    )
+    owned = hi.owned_series(hi.with_subject(named))
+    return owned.select("series_id", "study_id", "patient_id", F.coalesce("owner_conflict", F.lit(False)).alias("conflict"))
+
+
 # --- batching and sinks ------------------------------------------------------------
 
 
@@ -174,7 +194,7 @@ def cohort_manifest(spark, sf_dir):
 )
 def batched_cohort(spark, sf_dir):
     rows = series(spark, sf_dir).select("patient_id", "series_id")
-    return bt.batched_cohort(rows, limit=20, chunk_rows=500)
+    return bt.batched_cohort(rows, limit=20)
 
 
 @query(
@@ -231,20 +251,20 @@ def patient_shards(spark, sf_dir):
 
 @query(
     "shard_counts",
-    """SELECT CAST(c_nationkey AS INT) AS shard_id, count(*) AS n_records FROM customer GROUP BY c_nationkey""",
+    """SELECT c_nationkey % 4 AS shard_no, count(*) AS n_records FROM customer GROUP BY c_nationkey % 4""",
 )
 def shard_counts(spark, sf_dir):
-    """Customers in a shard per nation, counted by file."""
+    """Customers in four shard files, counted by file; the first customer of a file names its shard."""
     path = new_path(spark, "shards")
-    rows = table(spark, sf_dir, "customer").withColumn("shard_id", F.col("c_nationkey"))
-    tables.write_fixed_shards(rows, path)
-    files = (
-        spark.read.parquet(path)
-        .select("shard_id", F.input_file_name().alias("shard_file"))
-        .groupBy("shard_id", "shard_file")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return files.groupBy("shard_id").agg(F.sum("n").cast("bigint").alias("n_records"))
+    rows = table(spark, sf_dir, "customer").withColumn("shard_no", F.col("c_nationkey") % 4)
+    tables.write_sharded(rows.where("shard_no = 0"), f"{path}/0", 1)
+    for shard in range(1, 4):
+        tables.write_sharded(rows.where(F.col("shard_no") == shard), f"{path}/{shard}", 1)
+    counted = [tables.shard_counts(spark, f"{path}/{shard}").select(F.lit(shard).alias("shard_no"), "n_records") for shard in range(4)]
+    out = counted[0]
+    for more in counted[1:]:
+        out = out.unionByName(more)
+    return out.groupBy(F.col("shard_no").cast("bigint").alias("shard_no")).agg(F.sum("n_records").alias("n_records"))
 
 
 @query(

@@ -150,7 +150,11 @@ def sample_take(spark, sf_dir):
     return sm.sample_take(table(spark, sf_dir, "embeddings").select("vec_id", "label"), 2, "vec_id")
 
 
-@query("sample_shuffle", "SELECT vec_id, label FROM embeddings")
+@query(
+    "sample_shuffle",
+    """SELECT vec_id, label, row_number() OVER (ORDER BY md5(concat(CAST(vec_id AS VARCHAR), ':3')), vec_id) - 1 AS place
+    FROM embeddings""",
+)
 def sample_shuffle(spark, sf_dir):
     return sm.sample_shuffle(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", seed=3)
 
@@ -166,8 +170,8 @@ def label_names(spark, sf_dir):
 
 
 _SIMPLIFIED_SQL = f"""WITH {FEATURES_SQL}, {PATIENTS_SQL}, wanted AS (
-  SELECT * FROM features WHERE feature_name IN {tuple(REQUIRED[:2])}),
-whole AS (SELECT patient_id FROM wanted GROUP BY patient_id HAVING count(DISTINCT feature_name) = 2)
+  SELECT * FROM features WHERE feature_name IN {tuple(REQUIRED)}),
+whole AS (SELECT patient_id FROM wanted GROUP BY patient_id HAVING count(DISTINCT feature_name) = {len(REQUIRED)})
 SELECT w.patient_id, study_id, series_id, feature_name, pcr, CAST(rcb AS INT) AS rcb,
        CASE WHEN pcr = 1 THEN 1 WHEN rcb <= 2 THEN 2 ELSE 3 END AS response_group
 FROM wanted w JOIN whole USING (patient_id) JOIN patients USING (patient_id) WHERE pcr IS NOT NULL AND rcb IS NOT NULL"""
@@ -176,7 +180,7 @@ FROM wanted w JOIN whole USING (patient_id) JOIN patients USING (patient_id) WHE
 @query("simplified_records", _SIMPLIFIED_SQL)
 def simplified_records(spark, sf_dir):
     patients, _ = jobs.build_patients(*patient_sides(spark, sf_dir))
-    rows = jobs.simplified_records(image_features(spark, sf_dir), patients, REQUIRED[:2])
+    rows = jobs.simplified_records(image_features(spark, sf_dir), patients, REQUIRED)
     return rows.withColumnsRenamed({"pCR": "pcr", "RCB": "rcb"})
 
 
@@ -189,7 +193,7 @@ chosen AS (
   QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY priority, series_id) = 1),
 middle AS (
   SELECT patient_id, n_rows, list_transform(pixels, lambda x: CAST(x AS DOUBLE)) AS px
-  FROM placed JOIN chosen USING (series_id) WHERE z_index = n_slices // 2),
+  FROM placed JOIN chosen USING (series_id) WHERE z_index = n_slices // 2 AND reason IS NULL),
 shaped AS (
   SELECT patient_id, CASE WHEN n_rows = 2 THEN [px[1], px[3], px[2], px[4]]
     ELSE [px[1] * 0.5 + px[2] * 0.5, px[3] * 0.5 + px[4] * 0.5, px[1] * 0.5 + px[2] * 0.5, px[3] * 0.5 + px[4] * 0.5] END

@@ -23,7 +23,7 @@ def slice_order(spark, sf_dir):
 
 @query(
     "middle_slice",
-    f"WITH {SLICES_SQL} SELECT series_id, path, n_slices, z_index FROM placed WHERE z_index = n_slices // 2",
+    f"WITH {SLICES_SQL} SELECT series_id, path, n_slices, z_index FROM placed WHERE z_index = n_slices // 2 AND reason IS NULL",
 )
 def middle_slice(spark, sf_dir):
     return sr.middle_slices(slices(spark, sf_dir))
@@ -36,7 +36,8 @@ def middle_slice(spark, sf_dir):
     FROM cells""",
 )
 def stack_volume(spark, sf_dir):
-    blocks = sr.volume_blocks(slices(spark, sf_dir))
+    # Blocks so small that most volumes have several.
+    blocks = sr.volume_blocks(slices(spark, sf_dir), max_voxels=8)
     first = F.col("z_start") * F.get("shape", F.lit(1)) * F.get("shape", F.lit(2))
     return blocks.select("series_id", first.alias("_first"), F.posexplode("voxels").alias("_at", "_value")).select(
         "series_id", (F.col("_first") + F.col("_at")).cast("bigint").alias("voxel"), F.col("_value").cast("double").alias("value")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortweave.functions.text import path_file, path_parent
 
@@ -44,16 +45,25 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> Da
     with every file source; beyond some millions of files start from a table of
     paths instead (:func:`fetch_and_decode`).
     """
+    return _placed(_files(spark, root, pattern), "length")
+
+
+def _placed(files: DataFrame, *more: str) -> DataFrame:
     path = F.col("path")
-    return _files(spark, root, pattern).select(
+    return files.select(
         "path",
-        F.element_at(F.split(path, "/"), -3).alias("study_id"),
+        F.try_element_at(F.split(path, "/"), F.lit(-3)).alias("study_id"),
         path_parent(path).alias("series_id"),
         path_file(path).alias("file_name"),
-        "length",
+        *more,
     )
 
 
+def files_of_paths(paths: DataFrame) -> DataFrame:
+    """The same rows for a table of paths ``…/study/series/file``; nothing is listed or opened."""
+    return _placed(paths.select(F.col("path").cast("string").alias("path")).where("path IS NOT NULL").distinct())
+
+
 def series_directories(files: DataFrame) -> DataFrame:
     """The series a listing holds, each with its files counted.
 
@@ -114,22 +124,45 @@ def decode_files(files: DataFrame, decoder: Callable[[str, bytes], dict], schema
         .add("reason", T.StringType())
     )
 
-    def one(path: str, content: bytes) -> dict:
+    arrow = to_arrow_schema(out)
+    value_types = [arrow.field(n).type for n in names]
+
+    def failed(path: str, error: Exception) -> list:
+        status = next((s for kind, s in STATUS_OF_ERROR.items() if isinstance(error, kind)), "unknown_error")
+        return [path, *[None] * len(names), status, str(error)]
+
+    def one(path: str, content: bytes) -> list:
+        """A row of one-element arrays; pixels go from the decoder's numpy array to Arrow as they are."""
         try:
             if content is None:
                 raise AccessError("no content")
             values = decoder(path, content)
-            return {"path": path, **{n: values.get(n) for n in names}, "status": "ok", "reason": None}
+            return [path, *[_arrow_value(values.get(n), kind) for n, kind in zip(names, value_types)], "ok", None]
         except Exception as error:  # the row goes on with its reason
-            status = next((s for kind, s in STATUS_OF_ERROR.items() if isinstance(error, kind)), "unknown_error")
-            return {"path": path, **dict.fromkeys(names), "status": status, "reason": str(error)}
+            return failed(path, error)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # A few files at a time: decoded pixels are far larger than their files.
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
-                rows = [one(p, c) for p, c in zip(part["path"], part["content"])]
-                yield pd.DataFrame(rows, columns=out.names, dtype=object)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows = [one(p, c) for p, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                columns = [_arrow_column([r[i] for r in rows], arrow.field(i).type) for i in range(len(arrow))]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(decode, out)
+
+
+def _arrow_value(value: object, kind: pa.DataType) -> pa.Array | None:
+    if value is None:
+        return None
+    if pa.types.is_map(kind) and isinstance(value, dict):
+        value = list(value.items())
+    return pa.array([value], type=kind)
+
 
-    return files.select("path", "content").mapInPandas(decode, out)
+def _arrow_column(values: list, kind: pa.DataType) -> pa.Array:
+    """One array of plain values, or of one-element arrays and None."""
+    if not any(isinstance(v, pa.Array) for v in values):
+        return pa.array(values, type=kind)
+    return pa.concat_arrays([pa.nulls(1, kind) if v is None else v for v in values])

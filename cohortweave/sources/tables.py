@@ -62,12 +62,14 @@ def write_fixed_shards(records: DataFrame, path: str, shard: str = "shard_id") -
 
 
 def write_batches(
-    records: DataFrame, path: str, batch: str = "batch_id", num_shards: int = 1, spread: str | None = None
+    records: DataFrame, path: str, batch: str = "batch_id", num_shards: int = 1, spread: str | None = None, whole: bool = False
 ) -> None:
     """Write a folder per batch, of ``num_shards`` files that the ``spread`` column decides on.
 
-    A batch that is run again replaces its own folder only. Batches are spread over
-    all tasks, and the planner splits a file that would be much larger than others.
+    A batch that is run again replaces its own folder only; a ``whole`` cohort
+    replaces all that was there, so that no batch of an earlier run stays. Batches are
+    spread over all tasks, and the planner splits a file that would be much larger
+    than others.
     """
     shard = F.lit(0) if spread is None else bucket_of(F.col(spread), num_shards)
     (
@@ -75,7 +77,7 @@ def write_batches(
         .hint("rebalance", F.col(batch), F.col("_shard"))
         .drop("_shard")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy(batch)
         .parquet(path)
     )

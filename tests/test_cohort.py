@@ -170,7 +170,7 @@ def test_cohort_from_files_to_samples(spark, tree, rows):
     assert ("patient", "3", None) in rows(read("unmatched")) and ("study", "77", "D") in rows(read("unmatched"))
     assert rows(read("volumes"), "series_id", "block_no", "shape") == [(s, 0, [3, 2, 2]) for s in ("s1", "s2", "s3", "s5")]
     assert {r.patient_id: [m.series_id for m in r.manifest] for r in read("manifest").collect()} == {
-        "001": ["s1", "s2"], "2": ["s3"], "77": ["s5"],
+        1: ["s1", "s2"], 2: ["s3"], 77: ["s5"],
     }
     records = read("records")
     assert rows(records.select("patient_id", "batch_id").distinct()) == [(1, 0), (2, 1)]
@@ -196,6 +196,29 @@ def test_cohort_from_files_to_samples(spark, tree, rows):
     assert {r.patient_id: r.pixels[0] for r in samples} == {1: 1.0, 2: 1.0}
 
 
+def test_a_smaller_run_leaves_no_batch_of_an_earlier_one(spark, tree, rows):
+    """Started from a table of paths, so nothing is listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(tree.studies_root).select("path")
+    paths = spark.createDataFrame([tuple(r) for r in files.collect()], "path string")
+    out = jobs.build_cohort(spark, tree, json_decoder, paths=paths)
+    assert rows(spark.read.parquet(out["records"]).select("batch_id").distinct()) == [(0,), (1,)]
+    few = paths.where("path LIKE '%/s3/%'")
+    out = jobs.build_cohort(spark, tree, json_decoder, paths=few)
+    assert rows(spark.read.parquet(out["records"]).select("batch_id").distinct()) == [(0,)]
+
+
+def test_ids_compare_as_numbers_and_a_study_has_one_owner(spark, rows):
+    from cohortweave.operators import hierarchy as hi
+
+    data = [("a", "A", "007"), ("b", "A", "7"), ("c", "B", "10"), ("d", "B", "9"), ("e", "C", "nobody")]
+    owned = hi.owned_series(hi.with_subject(spark.createDataFrame(data, "series_id string, study_id string, patient_id string").selectExpr("*", "1L AS n_slices")))
+    assert rows(owned, "series_id", "patient_id", "owner_conflict") == [
+        ("a", 7, False), ("b", 7, False), ("c", 9, True), ("d", 9, True), ("e", None, None),
+    ]
+    known = spark.createDataFrame([(7,), (9,)], "patient_id long")
+    assert rows(hi.cohort_unmatched(owned, known)) == [("study", "nobody", "C")]
+
+
 def test_a_subset_stands_in_place_of_the_allow_list(spark, tree, rows):
     out = jobs.build_cohort(spark, tree, json_decoder, subset=["s4"])
     assert rows(spark.read.parquet(out["series"]), "series_id") == [("s4",)]

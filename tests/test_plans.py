@@ -47,11 +47,12 @@ def test_filters_reach_the_scan(spark, slices_table):
     assert "In(p_name" in plan(sm.required_series(features.withColumn("series_id", F.col("p_brand")), ["red bolt", "old bolt"]))
 
 
-def test_window_and_join_share_one_partitioning(spark, slices_table):
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert plan(sr.slice_order(slices_table)).count("Exchange hashpartitioning") == 2
-        assert plan(sr.volume_blocks(slices_table)).count("Exchange hashpartitioning") == 2
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+def test_a_group_is_never_ranked_in_one_task(slices_table):
+    """Row numbers over range partitions, at every size; the one window is over the partitions."""
+    for df in (sr.slice_order(slices_table), sr.middle_slices(slices_table), sr.volume_blocks(slices_table)):
+        assert "row_number" not in plan(df)
+
+
+def test_places_are_found_without_pixels(slices_table):
+    assert "pixels" not in plan(sr.slice_order(slices_table))
+    assert "pixels" not in plan(sr.middle_slices(slices_table))

@@ -32,19 +32,17 @@ THREE_SERIES = [
 ]
 
 
-@pytest.mark.parametrize("hot", [2_000_000, 2, 1])
-def test_order_falls_back_from_location_to_position_to_path(spark, hot):
-    placed = sr.slice_order(frame(spark, THREE_SERIES), hot_group_rows=hot).collect()
+def test_order_falls_back_from_location_to_position_to_path(spark):
+    placed = sr.slice_order(frame(spark, THREE_SERIES)).collect()
     got = {s: [r.path for r in sorted((r for r in placed if r.series_id == s), key=lambda r: r.z_index)] for s in ("loc", "pos", "path")}
     assert got == {"loc": ["b", "c", "a"], "pos": ["c2", "b2", "a2"], "path": ["a3", "b3", "c3"]}
     assert {(r.series_id, r.sort_source) for r in placed} == {("loc", "location"), ("pos", "position"), ("path", "path")}
     assert all(r.z_index in (0, 1, 2) for r in placed)
 
 
-@pytest.mark.parametrize("hot", [2_000_000, 2])
-def test_one_middle_slice_per_series(spark, hot):
+def test_one_middle_slice_per_series(spark):
     data = [slice_row(f"s{n}", f"{n}-{i}", float(i)) for n in (1, 2, 3, 4, 5) for i in range(n)]
-    middle = sr.middle_slices(frame(spark, data), hot_group_rows=hot).collect()
+    middle = sr.middle_slices(frame(spark, data)).collect()
     assert {(r.series_id, r.path) for r in middle} == {(f"s{n}", f"{n}-{n // 2}") for n in (1, 2, 3, 4, 5)}
 
 
@@ -55,19 +53,26 @@ def volumes(blocks):
     return out
 
 
-@pytest.mark.parametrize("hot_voxels", [268_435_456, 3])
-def test_volume_is_whole_in_one_block_or_in_many(spark, hot_voxels):
+def test_volume_is_whole_in_one_block_or_in_many(spark):
     data = [slice_row("s", f"p{i}", float(i), pixels=[float(i), i + 0.5]) for i in range(5)]
     data += [slice_row("one", "q", 4.0, pixels=[1.0, 2.0])]
     df = frame(spark, data)
-    whole = volumes(sr.volume_blocks(df, hot_voxels=hot_voxels))
+    whole = volumes(sr.volume_blocks(df))
     flat = list(itertools.chain.from_iterable((float(i), i + 0.5) for i in range(5)))
     assert whole == {"s": [(0, flat, [5, 1, 2])], "one": [(0, [1.0, 2.0], [1, 1, 2])]}
-    split = volumes(sr.volume_blocks(df, max_voxels=4, hot_voxels=hot_voxels))["s"]
+    split = volumes(sr.volume_blocks(df, max_voxels=4))["s"]
     assert [b[0] for b in split] == [0, 2, 4]
     assert list(itertools.chain.from_iterable(b[1] for b in split)) == flat
 
 
+def test_a_repeated_path_is_quarantined_whatever_the_block_size(spark, rows):
+    data = [slice_row("s", "a", 1.0), slice_row("s", "a", 2.0), slice_row("s", "b", 3.0), slice_row("good", "c", 1.0)]
+    df = frame(spark, data)
+    assert rows(sr.series_quarantine(df), "series_id", "reason") == [("s", "repeated_path")]
+    assert set(volumes(sr.volume_blocks(df))) == set(volumes(sr.volume_blocks(df, max_voxels=2))) == {"good"}
+    assert [r.series_id for r in sr.middle_slices(df).collect()] == ["good"]
+
+
 def test_mixed_sizes_and_failed_slices_are_quarantined(spark, rows):
     data = [
         slice_row("mixed", "a", rows=2), slice_row("mixed", "b", rows=2, cols=3),
@@ -138,8 +143,12 @@ def test_features_are_named_and_unique(spark, rows):
     assert kept.where("feature_name = 'time1/X/shape'").select(F.col("value.i")).first()[0] == [1, 1, 2]
 
 
-def test_pixels_are_fetched_with_and_without_broadcast(spark, rows):
+def test_pixels_are_fetched_by_path(spark, rows):
     df = frame(spark, THREE_SERIES)
     middle = sr.middle_slices(df).select("path")
-    for limit in (100, 1):
-        assert rows(sr.fetch_pixels(middle, df, limit), "path") == [("b2",), ("b3",), ("c",)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        found = rows(sr.fetch_pixels(middle, df), "path")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert found == [("b2",), ("b3",), ("c",)]

@@ -56,6 +56,7 @@ def test_feature_name(spark, time, flags, name):
 
 def test_sibling_feature_and_report_text(spark):
     assert value(spark, "time1/A/image", lambda c: tx.sibling_feature(c, "shape")) == "time1/A/shape"
+    assert value(spark, "time1/image_2/image", lambda c: tx.sibling_feature(c, "dx")) == "time1/image_2/dx"
     assert value(spark, "a,b,c", tx.report_text) == "a b c"
 
 
