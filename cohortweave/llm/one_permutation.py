@@ -11,9 +11,9 @@ Only DataFrame functions are used. Shingles, bins and probes are arrays inside a
 exploded, and texts move only where the next document's head is needed.
 
 *Next document*: that of the next greater id. Ids are numbered over range partitions, so no window
-covers the table; the head is fetched by a join of ids. Of several rows with one id the next id
-takes the least text, and each of them has the same next document. Rows with a null id have no
-next document, and nothing replaces their tail.
+covers the table; the head is fetched by a join of ids. Of several rows with one id the head is that
+of the least text and the likeness is to the least fingerprint; each of them has the same next
+document. Rows with a null id have no next document, and nothing replaces their tail.
 
 Edge cases: null and empty texts, and texts without words, have the fingerprint of 0 digits; two of
 these are alike (1), one and another text are not (0). Texts under five words have one shingle,
@@ -50,16 +50,16 @@ def _probe(bin_no: int, attempt: int) -> int:
 
 
 def shingle_hashes(text: Column) -> Column:
-    """Hashes from 0 to 2**63 - 1 of the text's shingles, repeated ones included."""
-    words = F.filter(F.split(F.translate(text, _UPPER, _LOWER), _SPACE), lambda w: w != "")
+    """Even hashes from 0 to 2**63 - 2 of the text's shingles, repeated ones included."""
+    trimmed = F.btrim(F.translate(text, _UPPER, _LOWER), F.lit(" \t\n\x0b\f\r"))
 
-    def of(ws: Column) -> Column:
-        n = F.size(ws)
-        at = lambda i: F.bitwise_not(F.lit(-(1 << 63))).bitwiseAND(F.xxhash64(*[F.get(ws, i + k) for k in range(SHINGLE)]))
-        whole = F.array(F.bitwise_not(F.lit(-(1 << 63))).bitwiseAND(F.xxhash64(ws)))
-        return F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), at)).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    def of(words: Column) -> Column:
+        hashed = lambda part: F.xxhash64(part).bitwiseAND(F.lit((1 << 63) - 2))
+        # A text under five words has one slice, the whole.
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1)))
+        return F.transform(starts, lambda i: hashed(F.slice(words, i, F.lit(SHINGLE))))
 
-    return _let(words, of)
+    return F.when(trimmed != "", _let(F.split(trimmed, _SPACE), of)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _let(value: Column, body) -> Column:
@@ -69,13 +69,13 @@ def _let(value: Column, body) -> Column:
 
 def bin_minima(hashes: Column) -> Column:
     """The least hash of every bin, in the order of bins; the greatest value of the bin where it is empty."""
-    sentinels = F.array(*[F.lit((b << _SHIFT) | _LOW) for b in range(BINS)])
+    # Each bin's greatest value, which is odd and so no hash, closes the bin in the sorted array.
+    closing = F.array(*[F.lit((b << _SHIFT) | _LOW) for b in range(BINS)])
 
     def leaders(ordered: Column) -> Column:
-        bin_of = lambda x: F.shiftright(x, _SHIFT)
-        return F.filter(ordered, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(ordered, i - 1))))
+        return F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1).bitwiseAND(F.lit(_LOW)) == _LOW))
 
-    return _let(F.sort_array(F.concat(hashes, sentinels)), leaders)
+    return _let(F.sort_array(F.concat(hashes, closing)), leaders)
 
 
 def densified(minima: Column) -> Column:
@@ -100,16 +100,23 @@ def densified(minima: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """``BINS`` hex digits, or the empty string for a text without words."""
     hashes = shingle_hashes(F.coalesce(text, F.lit("")))
-    # A hex digit is taken from a text of all of them, which is cheaper than formatting a number.
-    digit = lambda x: F.substring(F.lit("0123456789abcdef"), (x.bitwiseAND(F.lit((1 << BITS) - 1)) + 1).cast("int"), F.lit(1))
+    digits = F.array(*[F.lit(f"{d:x}") for d in range(1 << BITS)])
+    # The lowest bit is the same in all hashes.
+    digit = lambda x: F.get(digits, F.shiftright(x, 1).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
     return _let(hashes, lambda h: F.when(F.size(h) > 0, F.array_join(F.transform(densified(bin_minima(h)), digit), "")).otherwise(F.lit("")))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of common shingles of two fingerprints, from 0 to 1."""
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(BINS)), F.lit(0), lambda n, i: n + F.when(F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1)), 1).otherwise(0))
+    other = F.lit(0)
+    for at in range(1, BINS, 16):  # sixteen digits are one number
+        number = lambda c: F.conv(F.substring(c, at, 16), 16, -10).cast("bigint")
+        x = number(a).bitwiseXOR(number(b))
+        both = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        both = both.bitwiseOR(F.shiftrightunsigned(both, 2))
+        other = other + F.bit_count(both.bitwiseAND(F.lit(0x1111111111111111)))
     chance = 1.0 / (1 << BITS)
-    estimate = F.greatest((same / F.lit(float(BINS)) - chance) / (1.0 - chance), F.lit(0.0))
+    estimate = F.greatest(((F.lit(BINS) - other) / F.lit(float(BINS)) - chance) / (1.0 - chance), F.lit(0.0))
     return F.when((a == "") & (b == ""), F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(estimate)
 
 
@@ -127,28 +134,34 @@ def next_ids(docs: DataFrame, key: str) -> DataFrame:
     return numbered.join(after, "_no").select("_key", "_next")
 
 
-def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: its text, the next document's head that replaces its last quarter, and both fingerprints."""
+def edited_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row ``_key, _text``, its ``_next`` id, and ``_edited``: its last quarter replaced by the next document's head."""
     rows = docs.select(column(key).alias("_key"), F.coalesce(column(text).cast("string"), F.lit("")).alias("_text"))
     order = written(next_ids(docs, key), "next-ids")
     one = rows.where("_key IS NOT NULL").groupBy("_key").agg(F.min("_text").alias("_text"), F.max(F.length("_text")).alias("_n"))
     # Each id sends its text's head, as long as the one before it can use, to the id before it.
     before = order.join(one.select(F.col("_key"), F.col("_n").alias("_asked")), "_key").select(F.col("_next").alias("_key"), F.col("_key").alias("_to"), F.floor(F.col("_asked") / 4).cast("int").alias("_take"))
-    heads = one.join(before, "_key").select(F.col("_to").alias("_key"), F.substring("_text", F.lit(1), F.col("_take")).alias("_head"), fingerprint(F.col("_text")).alias("_next_print"))
+    heads = one.join(before, "_key").select(F.col("_to").alias("_key"), F.col("_key").alias("_next"), F.substring("_text", F.lit(1), F.col("_take")).alias("_head"))
     joined = rows.join(heads, "_key", "left")
     quarter = F.floor(F.length("_text") / 4).cast("int")
     head = F.substring(F.coalesce("_head", F.lit("")), F.lit(1), quarter)
-    return joined.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), F.length("_text") - quarter), head))
+    return joined.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), F.length("_text") - quarter), head)).drop("_head")
 
 
-def op6_one_permutation(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = edited_pairs(docs).select(
-        "_key", F.length("_text").cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("_text")).alias("fingerprint"), fingerprint(F.col("_edited")).alias("edited_fingerprint"), "_next_print",
+def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row the fingerprints of the text, its edited text and the next document, and how like they are."""
+    made = edited_texts(docs, key, text).select(
+        "_key", "_next", F.length("_text").cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint(F.col("_text")).alias("fingerprint"), fingerprint(F.col("_edited")).alias("edited_fingerprint"),
     )
-    return rows.select(
-        F.col("_key").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    made = written(made, "fingerprints")
+    after = made.groupBy(F.col("_key").alias("_next")).agg(F.min("fingerprint").alias("_next_print"))
+    return made.join(after, "_next", "left").select(
+        F.col("_key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         F.when(F.col("_next_print").isNotNull(), likeness(F.col("fingerprint"), F.col("_next_print"))).alias("near_next"),
     )
+
+
+def op6_one_permutation(spark, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -63,12 +63,14 @@ def test_packing_keeps_every_id(odd_docs, no_docs):
 
 
 def test_fingerprint_of_next_document(odd_docs, no_docs):
-    rows = one_permutation.edited_pairs(odd_docs).select("_key", "_text", "_edited", "_next_print").collect()
+    rows = one_permutation.edited_texts(odd_docs).collect()
     assert len(rows) == N
     by_id = {r["_key"]: r for r in rows}
     assert by_id[10]["_edited"] == by_id[10]["_text"][: -(len(by_id[10]["_text"]) // 4)] + by_id[1]["_text"][: len(by_id[10]["_text"]) // 4]
-    assert by_id[None]["_next_print"] is None
-    assert one_permutation.edited_pairs(no_docs).count() == 0
+    made = {r["doc_id"]: r for r in one_permutation.edited_fingerprints(odd_docs).collect()}
+    assert made[None]["near_next"] is None and made[2]["near_next"] == 1.0 and made[1]["near_next"] == 0.0
+    assert made[5]["fingerprint"] == made[6]["fingerprint"] and made[3]["fingerprint"] == ""
+    assert one_permutation.edited_fingerprints(no_docs).count() == 0
 
 
 def test_jaccard_values(odd_docs):
