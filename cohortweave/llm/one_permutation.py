@@ -1,6 +1,6 @@
 """Document fingerprints by one-permutation MinHash (operator 6).
 
-Every shingle of five words (A-Z in lower case) is hashed once. The top bits of the hash name one of
+Every shingle of five words (in lower case) is hashed once. The top bits of the hash name one of
 ``BINS`` bins, which keeps its least hash. A bin that no shingle fell into takes the value of
 another by optimal densification: its probes, hashes of the bin's number and the attempt, are
 followed to the first bin that is not empty. The ``BITS`` low-order bits of each value, packed as hex digits, are the
@@ -34,30 +34,24 @@ BINS = 256
 BITS = 4  # one hex digit a bin
 PROBES = 6  # tried before all bins are walked through
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = r"[\x09-\x0D\x20]+"
 _SHIFT = 63 - BINS.bit_length() + 1  # a hash without its sign has 63 bits
 _LOW = (1 << _SHIFT) - 1
-_MASK = (1 << 64) - 1
 
 
-def _probe(bin_no: int, attempt: int) -> int:
+def _probe(bin_no: Column, attempt: int) -> Column:
     """A fixed hash of a bin and an attempt: where an empty bin looks."""
-    h = (bin_no * 0x9E3779B97F4A7C15 + attempt * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9) & _MASK
-    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-        h = ((h ^ (h >> 31)) * factor) & _MASK
-    return (h >> 32) % BINS
+    return F.pmod(F.xxhash64(bin_no, F.lit(attempt)), F.lit(BINS)).cast("int")
 
 
 def shingle_hashes(text: Column) -> Column:
     """Even hashes from 0 to 2**63 - 2 of the text's shingles, repeated ones included."""
-    trimmed = F.btrim(F.translate(text, _UPPER, _LOWER), F.lit(" \t\n\x0b\f\r"))
+    trimmed = F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r"))
 
     def of(words: Column) -> Column:
-        hashed = lambda part: F.xxhash64(part).bitwiseAND(F.lit((1 << 63) - 2))
-        # A text under five words has one slice, the whole.
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1)))
-        return F.transform(starts, lambda i: hashed(F.slice(words, i, F.lit(SHINGLE))))
+        hashed = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]).bitwiseAND(F.lit((1 << 63) - 2))
+        # A text under five words has one shingle, the whole; words that are not there leave a hash as it is.
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))), hashed)
 
     return F.when(trimmed != "", _let(F.split(trimmed, _SPACE), of)).otherwise(F.array().cast("array<bigint>"))
 
@@ -80,14 +74,12 @@ def bin_minima(hashes: Column) -> Column:
 
 def densified(minima: Column) -> Column:
     """Values of all bins, empty ones filled; needs one bin that is not empty."""
-    probes = [F.array(*[F.lit(_probe(b, k)) for b in range(BINS)]) for k in range(PROBES)]
-
     def fill(values: Column) -> Column:
         low = lambda x: x.bitwiseAND(F.lit(_LOW))
         used = lambda x: F.when(low(x) != _LOW, x)
 
         def value(x: Column, b: Column) -> Column:
-            tries = [used(F.get(values, F.get(p, b))) for p in probes]
+            tries = [used(F.get(values, _probe(b, k))) for k in range(PROBES)]
             # Every bin in a fixed order from here on; rare but for very short texts.
             rest = F.filter(F.transform(F.sequence(F.lit(1), F.lit(BINS)), lambda k: F.get(values, F.pmod(b + k * 101, F.lit(BINS)))), lambda v: low(v) != _LOW)
             return F.coalesce(used(x), *tries, F.get(rest, F.lit(0)))
@@ -100,23 +92,16 @@ def densified(minima: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """``BINS`` hex digits, or the empty string for a text without words."""
     hashes = shingle_hashes(F.coalesce(text, F.lit("")))
-    digits = F.array(*[F.lit(f"{d:x}") for d in range(1 << BITS)])
     # The lowest bit is the same in all hashes.
-    digit = lambda x: F.get(digits, F.shiftright(x, 1).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
+    digit = lambda x: F.substring(F.lit("0123456789abcdef"), (F.shiftright(x, 1).bitwiseAND(F.lit((1 << BITS) - 1)) + 1).cast("int"), F.lit(1))
     return _let(hashes, lambda h: F.when(F.size(h) > 0, F.array_join(F.transform(densified(bin_minima(h)), digit), "")).otherwise(F.lit("")))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of common shingles of two fingerprints, from 0 to 1."""
-    other = F.lit(0)
-    for at in range(1, BINS, 16):  # sixteen digits are one number
-        number = lambda c: F.conv(F.substring(c, at, 16), 16, -10).cast("bigint")
-        x = number(a).bitwiseXOR(number(b))
-        both = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        both = both.bitwiseOR(F.shiftrightunsigned(both, 2))
-        other = other + F.bit_count(both.bitwiseAND(F.lit(0x1111111111111111)))
+    same = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y), lambda e: e))
     chance = 1.0 / (1 << BITS)
-    estimate = F.greatest(((F.lit(BINS) - other) / F.lit(float(BINS)) - chance) / (1.0 - chance), F.lit(0.0))
+    estimate = F.greatest((same / F.lit(float(BINS)) - chance) / (1.0 - chance), F.lit(0.0))
     return F.when((a == "") & (b == ""), F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(estimate)
 
 
