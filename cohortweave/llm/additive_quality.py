@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from cohortweave.llm import wordspans
 from cohortweave.llm.backoff_scoring import held_out
 from cohortweave.llm.quality_rules import agreed_labels, count_texts
-from cohortweave.llm.rowmaps import add_columns, column
+from cohortweave.llm.rowmaps import add_columns, bounded_sample, column
 from cohortweave.operators.shared import written
 
 BINS = 32
@@ -195,7 +195,7 @@ def with_features(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 def fit(features: DataFrame, labels: DataFrame, key: str, label: str, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
     """The model from a table of features and a table of labels; at most ``sample_rows`` reach the driver."""
     known = features.where(column(key).isNotNull()).select(column(key).alias("_id"), "_features").join(agreed_labels(labels, key, label), "_id")
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).select("_features", "_good").toPandas()
+    sample = bounded_sample(known, "_id", sample_rows).select("_features", "_good").toPandas()
     x = np.array(sample["_features"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return fit_tables(x, sample["_good"].to_numpy(dtype=np.float64))
 

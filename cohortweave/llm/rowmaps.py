@@ -57,3 +57,15 @@ def list_array(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows, or of more than ``most`` about that many, and no more: those of the least hash of their key.
+
+    Rows above the share that is wanted are dropped where they are, so that what the limit
+    then gathers does not grow with the table.
+    """
+    total = rows.count()
+    drawn = F.pmod(F.xxhash64(column(key)), F.lit(1 << 30))
+    below = int(min(1.0, most / max(total, 1)) * (1 << 30))
+    return rows.where(drawn < below).orderBy(drawn, column(key)).limit(most)

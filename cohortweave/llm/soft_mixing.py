@@ -33,7 +33,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.llm.rowmaps import column, free_name
+from cohortweave.llm.rowmaps import bounded_sample, column, free_name
 from cohortweave.operators.shared import written
 
 LEXICON = 96
@@ -83,7 +83,7 @@ def fit_domains(
     """The classifier from a table of ids and domains."""
     known = labelled.where(column(domain).isin(domains) & column(key).isNotNull()).groupBy(column(key).alias("_id"))
     known = known.agg(F.min(column(domain)).alias("_domain"), F.max(column(domain)).alias("_other")).where("_domain = _other")
-    sample = known.select("_id", "_domain").orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    sample = bounded_sample(known.select("_id", "_domain"), "_id", sample_rows)
     rows = docs.select(column(key).alias("_id"), _text(text).alias("_text")).join(F.broadcast(sample), "_id")  # bounded by sample_rows
     rows = rows.select("_domain", F.array_distinct(_words(F.col("_text"))).alias("_words"), *[_shape(F.col("_text"), s).alias(s) for s in _SHAPES])
     rows = written(rows, "mix-sample")

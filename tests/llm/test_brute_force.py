@@ -365,3 +365,12 @@ def test_components_of_paths_stars_and_cycles(spark):
     half = merged(None, spark.createDataFrame(edges[::2], "a long, b long"))
     assert {r["node"]: r["root"] for r in merged(half, spark.createDataFrame(edges[1::2], "a long, b long")).collect()} == wanted
     assert components(table.limit(0)).count() == 0
+
+
+def test_bounded_sample(spark):
+    from cohortweave.llm.rowmaps import bounded_sample
+
+    rows = spark.range(5_000)
+    some = [r["id"] for r in bounded_sample(rows, "id", 500).collect()]
+    assert 400 < len(some) <= 500 and some == [r["id"] for r in bounded_sample(rows.repartition(7), "id", 500).collect()]
+    assert bounded_sample(rows, "id", 6_000).count() == 5_000
