@@ -53,7 +53,9 @@ _SIEVES = (
 _DIGEST = re.compile(r"[0-9a-fA-F]+")
 _DIGEST_SIZES = {32, 40, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_NAME = re.compile(r"(([a-z]*|[A-Z]*|[A-Z][a-z]*)[0-9]*[_/=+-]+)+([a-z]*|[A-Z]*|[A-Z][a-z]*)[0-9]*|[0-9]+")
+_BETWEEN = re.compile(r"[_/=+-]+")
+_PART = re.compile(r"([a-z]*|[A-Z]*|[A-Z][a-z]*)[0-9]*")
+_NUMBER = re.compile(r"[0-9]+")
 
 _vocabularies: dict[str, tiktoken.Encoding] = {}
 
@@ -68,11 +70,17 @@ def vocabulary(path: str | None = None) -> tiktoken.Encoding:
     return _vocabularies[path]
 
 
+def is_name(run: str) -> bool:
+    """Whether a run is a number, or parts of one case between separators; linear in its length."""
+    parts = _BETWEEN.split(run)
+    return bool(_NUMBER.fullmatch(run)) or (len(parts) > 1 and all(_PART.fullmatch(p) for p in parts))
+
+
 def excluded(run: str, digests: frozenset[str] = frozenset()) -> bool:
     """Whether a run is a known digest or an identifier."""
     if len(run) in _DIGEST_SIZES and _DIGEST.fullmatch(run):
         return True
-    return run.lower() in digests or bool(_UUID.fullmatch(run) or _NAME.fullmatch(run))
+    return run.lower() in digests or bool(_UUID.fullmatch(run)) or is_name(run)
 
 
 def spans_of(text: str, tool: tiktoken.Encoding, digests: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:

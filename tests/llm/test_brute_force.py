@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -230,6 +232,16 @@ def test_op7_random_strings_only():
     assert kinds("DA39A3EE5E6B4B0D3255BFEF95601890AFD80709") == []  # a digest in capitals
 
 
+def test_op7_names_take_linear_time():
+    code = "from cohortweave.llm import secrets_scan as s; t = s.vocabulary(); [s.spans_of(c * 1000 + w, t) for c in '-=/_+' for w in ('McDonald', 'iPhone', 'aB')]"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60)  # a pattern that backtracks never ends
+    old = re.compile(r"(([a-z]*|[A-Z]*|[A-Z][a-z]*)[0-9]*[_/=+-]+)+([a-z]*|[A-Z]*|[A-Z][a-z]*)[0-9]*|[0-9]+")
+    rng = np.random.default_rng(2)
+    for _ in range(5_000):
+        run = "".join(rng.choice(list("abAB01_-/"), int(rng.integers(1, 9))))
+        assert secrets_scan.is_name(run) == bool(old.fullmatch(run)), run
+
+
 def _repeated(words):
     found = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     cover = set()
