@@ -1,12 +1,19 @@
 """Secrets in texts: three patterns, and a token-efficiency test for random strings (operator 7).
 
-A vocabulary learned from text spends few tokens on words and many on noise. A run of at least
-``MIN_RUN`` characters of the alphabets secrets are written in counts as random where it has at
-most ``MAX_RATIO`` characters per token of a tiktoken vocabulary. Random strings of letters and
-digits have 1.1 to 1.7; even invented words have 1.9 and more. Excluded are
+A vocabulary learned from text spends few tokens on words and many on noise. A string counts as
+random where it has at most ``MAX_RATIO`` characters per token of a tiktoken vocabulary. Random strings
+of letters and digits have 1.1 to 1.7; even invented words have 1.9 and more. Runs of at least
+``LEAST_PART`` characters of the alphabets secrets are written in are tested
 
-* digests that are known for what they are: whole runs of 32, 40, 56, 64, 96 or 128 hexadecimal
-  digits, and those the caller lists,
+* as a whole (from ``MIN_RUN`` characters on), and where that is not random,
+* in windows of ``LEAST_PART`` to ``MIN_RUN + 4`` characters, so words that are tied to a secret do not dilute it;
+  windows that meet make one find, which is widened to the whole parts (between ``_ - / = +``) it
+  is in, and narrowed by words at its ends.
+
+Excluded, as runs, parts or windows, are
+
+* digests that are known for what they are: those the caller lists, those of the empty text, and 32, 40, 56, 64, 96 or
+  128 hexadecimal digits after a word that names them (``sha256:``, ``commit``, ``md5=``),
 * identifiers: UUIDs, numbers, and names whose parts between ``_ - / . = +`` are letters in one case
   followed by digits at most (``part_0012``, ``model-v2``).
 
@@ -20,6 +27,7 @@ redaction merges them. Rows with equal ids are scanned one by one.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -35,24 +43,31 @@ from cohortweave.llm.rowmaps import add_columns
 
 KINDS = ("assign", "access", "hex", "random")  # in the order of their listing
 MIN_RUN = 20
+LEAST_PART = 16
 MAX_RATIO = 1.75
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of 24 or more
-_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
+_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_PART},}}")
 
 #: Where none of these matches, no pattern above can; the linear-time engine of Arrow looks for them.
 _SIEVES = (
     r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]""",
     r"AKIA[A-Z0-9]{16}",
-    rf"[A-Za-z0-9+/_=-]{{{MIN_RUN}}}",  # holds the runs of 24 hexadecimal digits too
+    rf"[A-Za-z0-9+/_=-]{{{LEAST_PART}}}",  # holds the runs of 24 hexadecimal digits too
 )
 
 _DIGEST = re.compile(r"[0-9a-fA-F]+")
 _DIGEST_SIZES = {32, 40, 56, 64, 96, 128}
+_EMPTY_DIGESTS = frozenset(hashlib.new(name).hexdigest() for name in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"))
+#: What stands before a digest that is named as one.
+_NAMED = re.compile(r"""(?ai:\b(md5|sha-?(1|224|256|384|512)?|digest|checksum|commit|etag)(sums?)?)["']?\x20*[:=/_-]?\x20*["']?\Z""")
+_BEFORE = 24  # characters looked at for such a name
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_UUID_INSIDE = re.compile(rf"(?<![A-Za-z0-9]){_UUID.pattern}(?![A-Za-z0-9])")
+_SOLID = re.compile(r"[A-Za-z0-9]+")
 _BETWEEN = re.compile(r"[_/=+-]+")
 _PART = re.compile(r"([a-z]*|[A-Z]*|[A-Z][a-z]*)[0-9]*")
 _NUMBER = re.compile(r"[0-9]+")
@@ -76,22 +91,80 @@ def is_name(run: str) -> bool:
     return bool(_NUMBER.fullmatch(run)) or (len(parts) > 1 and all(_PART.fullmatch(p) for p in parts))
 
 
-def excluded(run: str, digests: frozenset[str] = frozenset()) -> bool:
-    """Whether a run is a known digest or an identifier."""
-    if len(run) in _DIGEST_SIZES and _DIGEST.fullmatch(run):
+def excluded(run: str, digests: frozenset[str] = frozenset(), before: str = "") -> bool:
+    """Whether a run is a known digest, by itself or by the text before it, or an identifier."""
+    if len(run) in _DIGEST_SIZES and _DIGEST.fullmatch(run) and (run.lower() in _EMPTY_DIGESTS or _NAMED.search(before)):
         return True
     return run.lower() in digests or bool(_UUID.fullmatch(run)) or is_name(run)
 
 
+def _stretches(run: str, before: str, digests: frozenset[str]) -> Iterator[tuple[int, int]]:
+    """What is left of a run between its UUIDs and the parts that are known digests."""
+    at = 0
+    known = [m.span() for m in _UUID_INSIDE.finditer(run)]
+    for m in _SOLID.finditer(run):
+        part = m[0]
+        if part.lower() in digests or (len(part) in _DIGEST_SIZES and excluded(part, digests, (before + run[: m.start()])[-_BEFORE:])):
+            known.append(m.span())
+    for start, end in sorted(known):
+        if start >= at:
+            yield at, start
+            at = end
+    yield at, len(run)
+
+
+def random_parts(run: str, tool: tiktoken.Encoding, digests: frozenset[str] = frozenset(), before: str = "") -> list[tuple[int, int]]:
+    """Places of the random strings in a run; ``before`` is the text in front of it."""
+
+    def noise(piece: str) -> bool:
+        return not is_name(piece) and len(piece) <= MAX_RATIO * len(tool.encode_ordinary(piece))
+
+    if excluded(run, digests, before):
+        return []
+    stretches = list(_stretches(run, before, digests))
+    if len(run) >= MIN_RUN and stretches == [(0, len(run))] and noise(run):
+        return [(0, len(run))]
+    parts = [m.span() for m in _SOLID.finditer(run)]
+    out: list[list[int]] = []
+    for low, high in stretches:
+        # Parts by themselves, then windows of a few sizes at every place.
+        hits = [(a, b) for a, b in parts if low <= a and b <= high and b - a >= LEAST_PART and noise(run[a:b])]
+        for size in range(LEAST_PART, MIN_RUN + 5, 4):
+            hits += [(a, a + size) for a in range(low, high - size + 1) if noise(run[a : a + size])]
+        for start, end in _met(hits):
+            inside = [(max(a, low), min(b, high)) for a, b in parts if a < end and b > start]
+            # Words at the ends, of which a window took a piece, do not belong to it.
+            while len(inside) > 1 and _is_word(run[slice(*inside[0])], tool):
+                inside.pop(0)
+            while len(inside) > 1 and _is_word(run[slice(*inside[-1])], tool):
+                inside.pop()
+            out.append([inside[0][0], inside[-1][1]])
+    return _met(out)
+
+
+def _is_word(part: str, tool: tiktoken.Encoding) -> bool:
+    return len(part) >= 4 and bool(_PART.fullmatch(part)) and len(part) > MAX_RATIO * len(tool.encode_ordinary(part))
+
+
+def _met(spans) -> list[tuple[int, int]]:
+    """Spans that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(map(tuple, spans)):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def spans_of(text: str, tool: tiktoken.Encoding, digests: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of all spans, by start and then kind."""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     for m in _RUN.finditer(text):
-        run = m[0]
-        if not excluded(run, digests) and len(run) <= MAX_RATIO * len(tool.encode_ordinary(run)):
-            found.append((m.start(), 3, m.end()))
+        before = text[max(0, m.start() - _BEFORE) : m.start()]
+        found += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(m[0], tool, digests, before)]
     return sorted(found)
 
 

@@ -242,6 +242,23 @@ def test_op7_names_take_linear_time():
         assert secrets_scan.is_name(run) == bool(old.fullmatch(run)), run
 
 
+def test_op7_secrets_tied_to_words():
+    tool, rng = secrets_scan.vocabulary(), np.random.default_rng(4)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    for before in ("", "/repository/documents/", "//storage/company/production/backup/", "session=", "config"):
+        for size in (16, 18, 24, 40):
+            covered = 0
+            for _ in range(50):
+                text = f"a {before}{''.join(rng.choice(letters, size))} b"
+                covered += any(k == 3 and a <= 2 + len(before) and b == len(text) - 2 for a, k, b in secrets_scan.spans_of(text, tool))
+            assert covered >= 45, (before, size)
+    key = "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B"
+    found = lambda text: any(k == 3 for _, k, _ in secrets_scan.spans_of(text, tool))
+    assert found(f"the key {key} opens") and found(f"/home/{key}")
+    for clean in (f"sha1: {key}", f"commit {key}", f"/sha1/{key}", "/files/550e8400-e29b-41d4-a716-446655440000/page", "getElementsByTagNameAndClassName", "XMLHttpRequestEventTarget/addEventListener"):
+        assert not found(clean), clean
+
+
 def _repeated(words):
     found = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     cover = set()
