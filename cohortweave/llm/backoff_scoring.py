@@ -1,24 +1,22 @@
 """Language-model scores by a weighted backoff automaton (operator 4).
 
-Tokens are words (A-Z in lower case) and one end per text. Counts cover every training text:
-
-1. Words are counted by hash, summed before they shuffle. Words with at least ``KEEP`` of all training
-   tokens are *frequent*: there can be no more than ``1 / KEEP`` of them, whatever the input.
-2. Order by order, the n-grams are counted whose first and last n - 1 tokens are both kept; those with at
-   least ``KEEP`` of all tokens (and ``LEAST`` occurrences) are kept. Again at most ``1 / KEEP``.
-3. Kept n-grams become states. An arc takes a state and a word to the state of the longer n-gram and
-   has a smoothed log-probability (absolute discounting, the discount from the counts of counts). Where
-   a state has no arc for a word, its failure arc leads to the state without the first token and
+Tokens are words (A-Z in lower case) and one end per text, each text led by a start. Counts cover every
+training text:
+
+1. Words are counted by hash, all of them kept. N-grams of every order are counted as pairs of a context (the
+   hash of its tokens) and a word; those seen ``LEAST`` times are kept, the same at every size of the corpus.
+2. Kept n-grams are states, one row each. An arc takes a state and a word to the state of the longer
+   n-gram and has a smoothed log-probability (absolute discounting, the discount from the counts of counts).
+   Where a state has no arc for a word, its failure arc leads to the state without the first token and
    carries the backoff weight, which makes each state's probabilities add up to one. The root's
-   arcs are words with add-one probabilities, rare words included.
+   arcs are words with add-one probabilities. Arcs and weights are made by joins; the model is as large as the corpus asks.
+3. The score of a token is a sum over the n-grams that end at it or just before it: the root arc of the word, the backoff
+   weight of every kept context, and for every kept n-gram its *gain*, its arc less what
+   the weight of its context and its suffix's score would give. So a text's score is a sum over its n-grams, each looked up by its hash.
 
-The automaton is a few sorted arrays of proven size (``order / KEEP`` entries), sent to all tasks. A text
-is scored by one pass from left to right that carries the state of the longest known suffix; numpy
-takes this step for all texts of a chunk at once, order by order, as the state after a token only depends on
-that token and the states before it.
-
-Counts of rare words do not fit into any bound, so they are joined: the pass leaves each text's
-rare words, and their root arcs are added from the table of all words.
+The n-grams and words with at least ``KEEP`` of all tokens are sent to all tasks as a cache of proven size
+(``1 / KEEP`` entries per order); it decides where a value is looked up, never what it is. The n-grams and
+words of a text that are not in it are joined with the tables.
 
 Edge cases: a null or empty text is its end alone. Without training texts all scores are 0. Rows
 with equal ids are scored one by one and are all training texts or none; a null id counts as the text ''
@@ -40,25 +38,62 @@ from cohortweave.llm.rowmaps import column, list_array
 from cohortweave.operators.shared import written
 
 ORDER = 3
-KEEP = 5e-7
-LEAST = 2
+KEEP = 5e-7  # of all tokens: what the cache holds
+LEAST = 2  # occurrences of an n-gram in the model
+
+
+_START, _END = np.uint64(0x5374617274A5C3E1), np.uint64(0x456E640F1E2D3C4B)  # in place of words' hashes
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_FLUSH = 1 << 22  # n-grams counted in memory before they are passed on
+
+
+def _signed(value: np.uint64) -> int:
+    return int(np.array(value).view(np.int64))
+
+
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of their contexts and words."""
+    return wordspans.mix(context * _STEP + word)
+
+
+def grams(hashes: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order from 2 its number, the places where an n-gram ends, and the hashes of the contexts there."""
+    inside = hashes != _START
+    keys, ends = hashes, np.ones(len(hashes), dtype=bool)
+    for n in range(2, order + 1):
+        at = np.flatnonzero(ends[:-1] & inside[1:]) + 1
+        yield n, at, keys[at - 1]
+        longest = np.zeros(len(hashes), dtype=np.uint64)
+        longest[at] = longer(keys[at - 1], hashes[at])
+        ends = np.zeros(len(hashes), dtype=bool)
+        ends[at] = True
+        keys = longest
+
+
+def token_hashes(found: wordspans.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, each led by the start and closed by the end; borders."""
+    n = len(found.before) - 1
+    bounds = found.before + 2 * np.arange(n + 1)
+    hashes = np.empty(int(bounds[-1]), dtype=np.uint64)
+    hashes[bounds[:-1]] = _START
+    hashes[bounds[1:] - 1] = _END
+    hashes[np.arange(len(found.hashes)) + 2 * found.owner() + 1] = found.hashes
+    return hashes, bounds
 
 
 @dataclass
 class Automaton:
-    """States of order 1 are numbers of frequent words (sorted by hash), then the end and the start.
-
-    States of order n > 1 are numbers of the sorted keys ``state of n - 1 << 32 | word``.
-    """
+    """The part of the model that all tasks hold."""
 
     hashes: np.ndarray  # of frequent words, sorted
-    word_counts: np.ndarray  # with the end (and 0 for the start) after the words
+    word_counts: np.ndarray  # with the end and the start after the words
+    word_failures: np.ndarray  # log10 backoff weights of the same
     total: int  # N
     distinct: int  # V
-    keys: list[np.ndarray]  # of orders 2, 3, ...
-    counts: list[np.ndarray]
-    arcs: list[np.ndarray]  # log10 of orders 1, 2, ...
-    failures: list[np.ndarray]  # log10 backoff weights of states of order 1, 2, ...
+    keys: list[np.ndarray]  # sorted hashes of frequent n-grams of orders 2, 3, ...
+    gains: list[np.ndarray]  # log10
+    failures: list[np.ndarray]  # log10
+    whole: list[bool]  # whether an order has no other n-grams
 
     @property
     def end(self) -> int:
@@ -74,79 +109,38 @@ class Automaton:
 
     def tokens(self, found: wordspans.Words) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts, each led by the start and closed by the end, -1 for rare words; borders."""
-        n = len(found.before) - 1
-        bounds = found.before + 2 * np.arange(n + 1)
-        ids = np.full(int(bounds[-1]), -1, dtype=np.int64)
-        ids[bounds[:-1]] = self.start
-        ids[bounds[1:] - 1] = self.end
-        at = np.arange(len(found.hashes)) + 2 * found.owner() + 1
-        ids[at] = _places(self.hashes, found.hashes)
-        return ids, bounds
-
-    def states(self, ids: np.ndarray, upto: int) -> list[np.ndarray]:
-        """For each order up to ``upto`` the state of the last tokens at every place, -1 where there is none."""
-        out = [ids]
-        for order in range(2, upto + 1):
-            out.append(_places(self.keys[order - 2], self.candidates(out, order)))
-        return out
-
-    def candidates(self, states: list[np.ndarray], order: int) -> np.ndarray:
-        """Keys of the n-grams that end at each place, -1 where a part of it is not kept."""
-        ids, last = states[0], states[order - 2]
-        keys = np.full(len(ids), -1, dtype=np.int64)
-        whole = (last[:-1] >= 0) & (last[1:] >= 0) & (ids[1:] != self.start)
-        keys[1:][whole] = (last[:-1][whole] << 32) | ids[1:][whole]
-        return keys
-
-    def add_order(self, keys: np.ndarray, counts: np.ndarray, discount: float) -> None:
-        """Arcs of one more order, and the backoff weights of the states they leave from."""
-        order = len(self.keys) + 2
-        sort = np.argsort(keys)
-        keys, counts = keys[sort], counts[sort].astype(np.float64)
-        context, word = keys >> 32, keys & 0xFFFFFFFF
-        seen = self.word_counts if order == 2 else self.counts[-1]
-        arcs = np.log10(np.maximum(counts - discount, 1e-12) / seen[context])
-        # The same word after the context without its first token, which is kept as well.
-        if order == 2:
-            lower = self.arcs[0][word]
-        else:
-            shorter = self.keys[-1][context] & 0xFFFFFFFF if order == 3 else self._suffix(order - 1, context)
-            lower = self.arcs[-1][_places(self.keys[-1], (shorter << 32) | word)]
-        n = len(seen)
-        left = 1.0 - np.bincount(context, 10.0**arcs, n)
-        below = 1.0 - np.bincount(context, 10.0**lower, n)
-        self.failures.append(np.log10(np.clip(left, 1e-9, None) / np.clip(below, 1e-9, None)))
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.arcs.append(arcs)
-
-    def _suffix(self, order: int, states: np.ndarray) -> np.ndarray:
-        """States of order n - 1 without the first token of states of order n."""
-        keys = self.keys[order - 2][states]
-        if order == 2:
-            return keys & 0xFFFFFFFF
-        shorter = self._suffix(order - 1, keys >> 32)
-        return _places(self.keys[order - 3], (shorter << 32) | (keys & 0xFFFFFFFF))
+        hashes, bounds = token_hashes(found)
+        return self.numbers(hashes), bounds
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        ids = _places(self.hashes, hashes)
+        ids[hashes == _START] = self.start
+        ids[hashes == _END] = self.end
+        return ids
 
     def score(self, ids: np.ndarray) -> np.ndarray:
-        """Log-probability of every token given the state before it; of rare words the failure arcs only."""
-        orders = len(self.arcs)
-        states = self.states(ids, orders)
-        out = np.zeros(len(ids))
-        waiting = ids != self.start
-        waiting[:1] = False
-        for order in range(orders, 1, -1):
-            hit = waiting & (states[order - 1] >= 0)
-            out[hit] += self.arcs[order - 1][states[order - 1][hit]]
-            waiting &= ~hit
-            # Those left take the failure arc of the state of this length, if they are in one.
-            at = np.flatnonzero(waiting)
-            before = states[order - 2][at - 1]
-            at, before = at[before >= 0], before[before >= 0]
-            out[at] += self.failures[order - 2][before]
-        last = waiting & (ids >= 0)
-        out[last] += self.arcs[0][ids[last]]
-        return out
+        """Log-probability of every token as far as the cache knows; of rare words the failure arcs only."""
+        known = np.concatenate([self.hashes, [_END, _START], np.zeros(1, np.uint64)])
+        return self.looked_up(known[ids], ids)[0]
+
+    def looked_up(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the cache gives to every token; hashes and ends of the n-grams to look for in the tables."""
+        inside = ids != self.start
+        roots = self.root(self.word_counts)
+        out = np.where(inside & (ids >= 0), roots[ids], 0.0)
+        weights = np.where(ids >= 0, self.word_failures[ids], 0.0)  # of the contexts that end here
+        missing, ends = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for n, at, context in grams(hashes, len(self.keys) + 1):
+            keys = longer(context, hashes[at])
+            place = _places(self.keys[n - 2], keys)
+            hit = place >= 0
+            out[at[hit]] += self.gains[n - 2][place[hit]]
+            weights[at[hit]] += self.failures[n - 2][place[hit]]
+            if not self.whole[n - 2]:
+                missing.append(keys[~hit])
+                ends.append(at[~hit])
+        out[1:] += np.where(inside[1:], weights[:-1], 0.0)
+        return out, np.concatenate(missing), np.concatenate(ends)
 
 
 def _places(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -178,54 +172,118 @@ def word_counts(training: DataFrame, text: str) -> DataFrame:
     return written(rows.groupBy("k").agg(F.sum("n").alias("n")), "word-counts")
 
 
-def fit(training: DataFrame, text: str = "text", order: int = ORDER, keep: float = KEEP, least: int = LEAST) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the counts of all words.
+def _count_grams(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in range(2, order + 1)}
+        held = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for n, pairs in parts.items():
+                if pairs:
+                    context, word = (np.concatenate(x) for x in zip(*pairs))
+                    _, first, times = np.unique(longer(context, word), return_index=True, return_counts=True)
+                    arrays = [np.full(len(first), n, np.int32), context[first].view(np.int64), word[first].view(np.int64), times.astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["o", "c", "w", "n"])
+                    pairs.clear()
+
+        for batch in batches:
+            for _, chunk in wordspans.chunks(wordspans.of_array(batch.column(0))):
+                hashes, _ = token_hashes(wordspans.words(chunk.lowered()))
+                for n, at, context in grams(hashes, order):
+                    parts[n].append((context, hashes[at]))
+                held += len(hashes)
+                if held * (order - 1) > _FLUSH:
+                    yield from flushed()
+                    held = 0
+        yield from flushed()
+
+    return run
+
+
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        c, w = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(longer(c, w).view(np.int64)), *batch.columns], ["k", "c", "w", "n"])
+
+
+@dataclass
+class Tables:
+    """The whole model: ``k, n, f`` of all words, ``k, v`` of the n-grams that the cache does not hold."""
+
+    words: DataFrame
+    rest: DataFrame
+
+
+def fit(training: DataFrame, text: str = "text", order: int = ORDER, keep: float = KEEP, least: int = LEAST) -> tuple[Automaton, Tables]:
+    """The cache and the tables.
 
     The driver takes at most ``1 / keep`` words and as many n-grams of each order.
     """
+    spark = training.sparkSession
     words = word_counts(training, text)
     n_texts = training.count()
     sums = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     total, distinct = (sums[0] or 0) + n_texts, sums[1] + (n_texts > 0)
     bound = max(least, int(np.ceil(keep * total)))
-
-    frequent = words.where(F.col("n") >= bound).toPandas()
-    hashes = frequent["k"].to_numpy(np.int64).view(np.uint64)
-    sort = np.argsort(hashes)
-    # The start is a context of every text, and never comes after anything.
-    seen = np.concatenate([frequent["n"].to_numpy(np.int64)[sort], [n_texts, n_texts]]).astype(np.float64)
-    model = Automaton(hashes[sort], seen, total, distinct, [], [], [], [])
-    first = model.root(seen)
-    first[model.start] = -np.inf
-    model.arcs.append(first)
-
-    spark = training.sparkSession
+    start, end = _signed(_START), _signed(_END)
+
+    counted = _texts(training, text).mapInArrow(_count_grams(order), "o int, c long, w long, n long").groupBy("o", "c", "w").agg(F.sum("n").alias("n"))
+    few = counted.where("n <= 2").groupBy("o", "n").agg(F.count(F.lit(1)).alias("met"))
+    both = written(few.selectExpr("o", "CAST(NULL AS BIGINT) c", "CAST(NULL AS BIGINT) w", "n", "met")
+                   .unionByName(counted.where(F.col("n") >= least).selectExpr("o", "c", "w", "n", "CAST(NULL AS BIGINT) met")), "grams")
+    met = {(r["o"], r["n"]): r["met"] for r in both.where("met IS NOT NULL").collect()}  # two rows per order
+
+    root = F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1)))
+    ends = spark.createDataFrame([(start, n_texts), (end, n_texts)], "k long, n long")
+    shorter = words.unionByName(ends).select("k", "n", root.alias("arc"))  # states of one order less
+    weights: list[DataFrame] = []  # backoff weights of the states of orders 1, 2, ...
+    made: list[DataFrame] = []
     for n in range(2, order + 1):
-        sent = spark.sparkContext.broadcast(model)
-
-        def count(batches: Iterator[pa.RecordBatch], sent=sent, n=n) -> Iterator[pa.RecordBatch]:
-            known = sent.value
-            for batch in batches:
-                parts = []
-                for _, chunk in wordspans.chunks(wordspans.of_array(batch.column(0))):
-                    ids, _ = known.tokens(wordspans.words(chunk.lowered()))
-                    keys = known.candidates(known.states(ids, n - 1), n)
-                    parts.append(keys[keys >= 0])
-                yield _counted(parts)
-
-        grams = _texts(training, text).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-        grams = written(grams.where("n <= 2").groupBy("n").agg(F.count(F.lit(1)).alias("k"), F.lit(True).alias("_met")).selectExpr("k", "n", "_met")
-                        .unionByName(grams.where(F.col("n") >= bound).select("k", "n", F.lit(False).alias("_met"))), f"grams-{n}")
-        met = {r["n"]: r["k"] for r in grams.where("_met").collect()}  # two rows
-        kept = grams.where("NOT _met").toPandas()
-        once, twice = met.get(1, 0), met.get(2, 0)
+        once, twice = met.get((n, 1), 0), met.get((n, 2), 0)
         discount = once / (once + 2.0 * twice) if once and twice else 0.5
-        model = Automaton(model.hashes, model.word_counts, total, distinct, model.keys[:], model.counts[:], model.arcs[:], model.failures[:])
-        model.add_order(kept["k"].to_numpy(np.int64), kept["n"].to_numpy(np.int64), discount)
-    return model, words
+        rows = both.where((F.col("o") == n) & F.col("met").isNull()).select("c", "w", "n").mapInArrow(_with_key, "k long, c long, w long, n long")
+        if n == 2:
+            rows = rows.join(shorter.select(F.col("k").alias("c"), F.col("n").alias("cn")), "c").withColumn("s", F.col("w"))
+            rows = rows.join(shorter.select(F.col("k").alias("w"), F.col("arc").alias("low")), "w")
+        else:
+            # The same word after the context without its first token; it is kept, as it is seen as often.
+            rows = rows.join(shorter.select(F.col("k").alias("c"), F.col("n").alias("cn"), F.col("s").alias("cs")), "c")
+            rows = rows.join(shorter.select(F.col("c").alias("cs"), "w", F.col("k").alias("s"), F.col("arc").alias("low")), ["cs", "w"])
+        arc = F.log10(F.greatest(F.col("n") - discount, F.lit(1e-12)) / F.col("cn"))
+        rows = written(rows.select("k", "c", "w", "s", "n", arc.alias("arc"), "low"), f"states-{n}")
+        left, below = (F.greatest(1.0 - F.sum(F.pow(F.lit(10.0), x)), F.lit(1e-9)) for x in ("arc", "low"))
+        weights.append(written(rows.groupBy("c").agg(F.log10(left / below).alias("f")), f"weights-{n - 1}"))
+        made.append(rows.join(weights[-1], "c").select("k", "n", (F.col("arc") - F.col("f") - F.col("low")).alias("d")))
+        shorter = rows
+
+    def weighed(states: DataFrame, n: int, name: str) -> DataFrame:
+        """States with their own backoff weights; those without arcs have none."""
+        if n > len(weights):
+            return written(states.withColumn("f", F.lit(0.0)), name)
+        return written(states.join(weights[n - 1].withColumnRenamed("c", "k"), "k", "left").na.fill(0.0, ["f"]), name)
+
+    words = weighed(words, 1, "word-table")
+    tables = [weighed(rows, n, f"gram-table-{n}") for n, rows in enumerate(made, 2)]
+    frequent = words.where(F.col("n") >= bound).toPandas().sort_values("k", key=lambda k: k.astype(np.int64).to_numpy().view(np.uint64))
+    # The start is a context of every text, and never comes after anything.
+    first = weights[0].where(F.col("c") == start).first() if weights else None
+    seen = np.concatenate([frequent["n"].to_numpy(np.int64), [n_texts, n_texts]]).astype(np.float64)
+    fails = np.concatenate([frequent["f"].to_numpy(np.float64), [0.0, first["f"] if first else 0.0]])
+    model = Automaton(frequent["k"].to_numpy(np.int64).view(np.uint64), seen, fails, total, distinct, [], [], [], [])
+    rest = spark.createDataFrame([], "k long, v double")
+    for table in tables:
+        hot = table.where(F.col("n") >= bound).toPandas()
+        keys = hot["k"].to_numpy(np.int64).view(np.uint64)
+        sort = np.argsort(keys)
+        model.keys.append(keys[sort])
+        model.gains.append(hot["d"].to_numpy(np.float64)[sort])
+        model.failures.append(hot["f"].to_numpy(np.float64)[sort])
+        model.whole.append(table.where(F.col("n") < bound).isEmpty())
+        rest = rest.unionByName(table.where(F.col("n") < bound).select("k", (F.col("d") + F.col("f")).alias("v")))
+    return model, Tables(words, rest)
 
 
-def score(docs: DataFrame, model: Automaton, words: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Automaton, tables: Tables, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per row: the key, the columns kept, ``n_tokens, n_known, base_score, score``."""
     kept = [key, *(keep or [])]
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -235,43 +293,54 @@ def score(docs: DataFrame, model: Automaton, words: DataFrame, key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        root = known.arcs[0]
+        root = known.root(known.word_counts)
         for batch in batches:
             columns: list[list[np.ndarray]] = [[], [], [], []]
-            rare, rare_counts = [], []
+            rare, rare_counts, cold, cold_counts = [], [], [], []
             for _, chunk in wordspans.chunks(wordspans.of_array(batch.column(0))):
                 found = wordspans.words(chunk.lowered())
-                ids, bounds = known.tokens(found)
+                hashes, bounds = token_hashes(found)
+                ids = known.numbers(hashes)
                 inside = (ids >= 0) & (ids != known.start)
                 base = np.where(inside, root[ids], 0.0)
-                each = np.array([np.add.reduceat(v, bounds[:-1]) for v in (base, known.score(ids))])
+                scores, keys, ends = known.looked_up(hashes, ids)
+                each = np.array([np.add.reduceat(v, bounds[:-1]) for v in (base, scores)])
                 columns[0].append(np.diff(bounds) - 1)
                 columns[1].append(np.add.reduceat((inside & (known.word_counts[ids] > 0)).astype(np.int64), bounds[:-1]))
                 columns[2].append(each[0])
                 columns[3].append(each[1])
-                missing = _places(known.hashes, found.hashes) < 0
-                rare.append(found.hashes[missing].view(np.int64))
-                rare_counts.append(wordspans.per_text(missing, found.before))
+                missing = ids[hashes != _START] < 0
+                rare.append(hashes[hashes != _START][missing].view(np.int64))
+                rare_counts.append(np.add.reduceat((ids < 0).astype(np.int64), bounds[:-1]))
+                owner = np.searchsorted(bounds, ends, side="right") - 1
+                sort = np.argsort(owner, kind="stable")
+                cold.append(keys[sort].view(np.int64))
+                cold_counts.append(np.bincount(owner, minlength=len(bounds) - 1))
             joined = [np.concatenate(c or [np.empty(0)]) for c in columns]
-            borders = np.concatenate([[0], np.cumsum(np.concatenate(rare_counts or [np.empty(0, np.int64)]))])
             arrays = [*batch.columns[1:], pa.array(joined[0].astype(np.int64)), pa.array(joined[1].astype(np.int64)), pa.array(joined[2]), pa.array(joined[3])]
-            arrays.append(list_array(np.concatenate(rare or [np.empty(0, np.int64)]), borders))
-            yield pa.RecordBatch.from_arrays(arrays, [f"_k{i}" for i in range(len(kept))] + made + ["_rare"])
+            for values, counts in ((rare, rare_counts), (cold, cold_counts)):
+                borders = np.concatenate([[0], np.cumsum(np.concatenate(counts or [np.empty(0, np.int64)]))])
+                arrays.append(list_array(np.concatenate(values or [np.empty(0, np.int64)]), borders))
+            yield pa.RecordBatch.from_arrays(arrays, [f"_k{i}" for i in range(len(kept))] + made + ["_rare", "_cold"])
 
-    passed = source.mapInArrow(run, f"{types}, n_tokens long, n_known long, base_score double, score double, _rare array<long>")
+    passed = source.mapInArrow(run, f"{types}, n_tokens long, n_known long, base_score double, score double, _rare array<long>, _cold array<long>")
     passed = written(passed.withColumn("_row", F.monotonically_increasing_id()), "scored")
     # Rare words of a text, each once with its number; their counts come by a join.
     rare = passed.select("_row", F.explode("_rare").alias("k")).groupBy("_row", "k").agg(F.count(F.lit(1)).alias("times"))
-    counts = rare.join(words, "k", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+    counts = rare.join(tables.words, "k", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     root: Column = F.log10((F.col("c") + 1) / F.lit(float(model.total + model.distinct + 1)))
-    added = counts.groupBy("_row").agg(F.sum(root * F.col("times")).alias("_root"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("_known"))
+    added = counts.groupBy("_row").agg(
+        F.sum(root * F.col("times")).alias("_root"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("_known"), F.sum(F.coalesce("f", F.lit(0.0)) * F.col("times")).alias("_more")
+    )
+    # N-grams that the cache does not hold; those that are not in the model either add nothing.
+    longer_ones = passed.select("_row", F.explode("_cold").alias("k")).join(tables.rest, "k").groupBy("_row").agg(F.sum("v").alias("_grams"))
     more = F.coalesce("_root", F.lit(0.0))
-    return passed.join(added, "_row", "left").select(
+    return passed.join(added, "_row", "left").join(longer_ones, "_row", "left").select(
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)],
         "n_tokens",
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("score") + more + F.coalesce("_more", F.lit(0.0)) + F.coalesce("_grams", F.lit(0.0))).alias("score"),
     )
 
 
@@ -283,6 +352,6 @@ def held_out(key: Column, parts: int, chosen: int) -> Column:
 def op4_backoff_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
-    model, words = fit(docs.where(~F.col("held_out")))
-    scored = score(docs, model, words, keep=["held_out"])
+    model, tables = fit(docs.where(~F.col("held_out")))
+    scored = score(docs, model, tables, keep=["held_out"])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

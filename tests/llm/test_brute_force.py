@@ -158,6 +158,43 @@ def test_op4_probabilities_add_up(spark):
         assert 1 - 20 * unseen <= mass <= 1 + 1e-9
 
 
+def _plain_scores(texts, least, order=3):
+    """Backoff scores by plain dictionaries, all n-grams seen ``least`` times kept."""
+    lines = [["<s>", *WORD.findall(t.translate(LOWER)), None] for t in texts]
+    counts = {n: Counter(tuple(x[i : i + n]) for x in lines for i in range(len(x) - n + 1)) for n in range(1, order + 1)}
+    roots = {g[0]: c for g, c in counts[1].items() if g != ("<s>",)}
+    total, distinct = sum(roots.values()), len(roots)
+    arcs, fails = {1: {(w,): math.log10((c + 1) / (total + distinct + 1)) for w, c in roots.items()}}, {}
+    for n in range(2, order + 1):
+        met = Counter(counts[n].values())
+        discount = met[1] / (met[1] + 2 * met[2]) if met[1] and met[2] else 0.5
+        arcs[n] = {g: math.log10((c - discount) / counts[n - 1][g[:-1]]) for g, c in counts[n].items() if c >= least}
+        left, below = Counter(), Counter()
+        for g, a in arcs[n].items():
+            left[g[:-1]] += 10**a
+            below[g[:-1]] += 10 ** arcs[n - 1][g[1:]]
+        fails |= {h: math.log10(max(1 - left[h], 1e-9) / max(1 - below[h], 1e-9)) for h in left}
+
+    def p(g):
+        if g in arcs[len(g)]:
+            return arcs[len(g)][g]
+        return math.log10(1 / (total + distinct + 1)) if len(g) == 1 else fails.get(g[:-1], 0.0) + p(g[1:])
+
+    return [sum(p(tuple(x[max(0, i - order + 1) : i + 1])) for i in range(1, len(x))) for x in lines]
+
+
+def test_op4_scores_do_not_depend_on_the_cache(spark, docs):
+    from cohortweave.llm import backoff_scoring
+
+    texts = [t for t in list(docs.values())[:150]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = _plain_scores(texts, backoff_scoring.LEAST)
+    for keep in (5e-7, 1e-3, 0.5):  # a corpus so large that this share is many occurrences
+        model, tables = backoff_scoring.fit(table, keep=keep)
+        rows = {r["doc_id"]: r["score"] for r in backoff_scoring.score(table, model, tables).collect()}
+        assert [rows[i] for i in range(len(texts))] == pytest.approx(wanted, rel=1e-6, abs=1e-6)
+
+
 def test_op5_pieces(docs, result):
     tool = bpe.encoder()
     rows = result("op5_harmonic_packing").sort_values(["doc_id", "start"])
