@@ -18,7 +18,7 @@ Only DataFrame functions are used. What reaches the driver is bounded by paramet
 (``LEXICON`` words), the class tables, and one number per domain and step. The classifier is
 fitted on at most ``SAMPLE_ROWS`` labelled rows, those of the least hash of their id; all else
 covers every document. Features: the presence of lexicon words (those with most information on the
-domain), and two shares in classes (symbols, capitals).
+domain; how common they may be is chosen by a fifth of the sample held out), and two shares in classes (symbols, capitals).
 
 Edge cases: a null or empty text has 0 tokens and the posterior its emptiness suggests. Without
 labels all posteriors are uniform. Ids labelled with two domains are ignored. Targets of domains
@@ -40,7 +40,9 @@ LEXICON = 96
 SAMPLE_ROWS = 20_000
 LEAST_GAIN = 15.0  # nats of the whole sample; half the statistic of a G-test, which chance reaches in one of a million words
 LEAST_ODDS = 2.0  # log-odds between domains; weaker words go together (as those of a language do) and would count twice
-COMMON = 0.1  # share of texts a lexicon word may be in; commoner ones tell the length and language of a text
+COMMON = 0.1  # share of texts a lexicon word may be in; commoner ones often tell the length and language of a text
+WIDER = (0.2, 0.4, 1.0)  # shares tried as well; the one that tells held-out labelled texts best is taken
+FOLDS = 5
 STEPS = 40
 TOLERANCE = 1e-4  # of the greatest residual against the total
 MILLE = 1000
@@ -85,9 +87,27 @@ def fit_domains(
     known = known.agg(F.min(column(domain)).alias("_domain"), F.max(column(domain)).alias("_other")).where("_domain = _other")
     sample = bounded_sample(known.select("_id", "_domain"), "_id", sample_rows)
     rows = docs.select(column(key).alias("_id"), _text(text).alias("_text")).join(F.broadcast(sample), "_id")  # bounded by sample_rows
-    rows = rows.select("_domain", F.array_distinct(_words(F.col("_text"))).alias("_words"), *[_shape(F.col("_text"), s).alias(s) for s in _SHAPES])
+    fold = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(FOLDS)).alias("_fold")
+    rows = rows.select("_domain", fold, F.array_distinct(_words(F.col("_text"))).alias("_words"), *[_shape(F.col("_text"), s).alias(s) for s in _SHAPES])
     rows = written(rows, "mix-sample")
+    shares = [COMMON, *[c for c in WIDER if c > COMMON]]
+    tried = [_fitted(rows.where("_fold > 0"), domains, lexicon, share) for share in shares]
+    aside = rows.where("_fold = 0")
+    told = [F.avg(F.exp(_told(model, domains))) for model in tried]  # the share that mixing would put where it belongs
+    told = [v for v in aside.agg(*told).first() if v is not None] if all(m.shapes for m in tried) else []
+    best = max(range(len(told)), key=lambda i: (told[i], -i)) if told else 0
+    return _fitted(rows, domains, lexicon, shares[best])
 
+
+def _told(model: DomainModel, domains: list[str]) -> Column:
+    """Log-probability of a sample row's own domain."""
+    log = _logs(model, F.col("_words"), {s: F.col(s) for s in _SHAPES})
+    own = F.element_at(F.create_map(*[F.lit(x) for i, d in enumerate(domains) for x in (d, i)]), F.col("_domain"))
+    return F.transform(F.array(log), lambda l: F.get(l, own) - F.array_max(l) - F.log(F.aggregate(F.transform(l, lambda v: F.exp(v - F.array_max(l))), F.lit(0.0), lambda a, b: a + b)))[0]
+
+
+def _fitted(rows: DataFrame, domains: list[str], lexicon: int, common: float) -> DomainModel:
+    """The classifier of sample rows, with words that are in at most a share ``common`` of them."""
     sizes = {r["_domain"]: r["count"] for r in rows.groupBy("_domain").count().collect()}  # a row per domain
     total = sum(sizes.values())
     k = len(domains)
@@ -107,7 +127,7 @@ def fit_domains(
     o = F.expr(f"array({', '.join(f'{x} - {mean}' for x in odds)})")
     less = F.expr(f"array({', '.join(without)})")
     telling = (F.col("gain") >= LEAST_GAIN) & (F.array_max("o") - F.array_min("o") >= LEAST_ODDS)
-    best = by_word.withColumn("gain", F.expr(gain)).withColumn("o", o).withColumn("less", less).where(telling & (F.col("df") <= COMMON * total)).orderBy(F.desc("gain"), "w").limit(lexicon)
+    best = by_word.withColumn("gain", F.expr(gain)).withColumn("o", o).withColumn("less", less).where(telling & (F.col("df") <= common * total)).orderBy(F.desc("gain"), "w").limit(lexicon)
     chosen = best.select("w", "o", "less").collect()  # at most ``lexicon`` rows
     words = {r["w"]: [a - b for a, b in zip(r["o"], r["less"])] for r in chosen}
     absent = [sum(r["less"][i] for r in chosen) for i in range(k)]
@@ -123,20 +143,26 @@ def _doubles(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def posterior(model: DomainModel, text: Column) -> Column:
-    """Posteriors of a text in per mille, an int per domain; the last one takes what is left of 1000."""
+def _logs(model: DomainModel, words: Column, shapes: dict[str, Column]) -> Column:
+    """Log-probabilities by domain, up to a constant."""
     parts = [_doubles(model.priors)]
     for s, rows in model.shapes.items():
-        parts.append(F.element_at(F.array(*[_doubles(r) for r in rows]), _shape(text, s) + 1))
+        parts.append(F.element_at(F.array(*[_doubles(r) for r in rows]), shapes[s] + 1))
     if model.words:
         lexicon = F.array(*[F.lit(w) for w in model.words])
         weights = F.create_map(*[x for w, o in model.words.items() for x in (F.lit(w), _doubles(o))])
-        found = F.array_intersect(_words(text), lexicon)
+        found = F.array_intersect(words, lexicon)
         parts.append(_doubles(model.absent))
         parts.append(F.aggregate(found, _doubles([0.0] * len(model.domains)), lambda s, w: F.zip_with(s, F.element_at(weights, w), lambda a, b: a + b)))
     log = parts[0]
     for part in parts[1:]:
         log = F.zip_with(log, part, lambda a, b: a + b)
+    return log
+
+
+def posterior(model: DomainModel, text: Column) -> Column:
+    """Posteriors of a text in per mille, an int per domain; the last one takes what is left of 1000."""
+    log = _logs(model, _words(text), {s: _shape(text, s) for s in _SHAPES})
     weight = F.transform(F.array(log), lambda l: F.transform(l, lambda v: F.exp(v - F.array_max(l))))[0]
     mille = F.transform(
         F.array(weight), lambda w: F.transform(w, lambda v: F.floor(F.lit(MILLE) * v / F.aggregate(w, F.lit(0.0), lambda a, b: a + b)).cast("int"))

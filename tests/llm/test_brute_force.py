@@ -407,6 +407,20 @@ def test_op10_reaches_targets_of_known_domains(spark):
     assert all(abs(a - t) < 0.001 * total for a, t in zip(found.reached, found.targets))
 
 
+def test_op10_words_of_a_large_domain(spark):
+    from cohortweave.llm import soft_mixing
+
+    words = {"good": "fine solid", "poor": "junk spam", "toxic": "vile nasty"}
+    rng = np.random.default_rng(5)
+    labels = [(i, ["good", "poor", "toxic"][int(rng.integers(0, 3))]) for i in range(600)]
+    rows = [(i, " ".join(rng.choice(words[d].split() + ["x"] * 3, 30))) for i, d in labels]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, domain string")
+    mixed, _, found = soft_mixing.mixed(docs, known, {"good": 0.7, "poor": 0.2, "toxic": 0.1})
+    own = dict(labels)
+    assert all(r["mille"][list(words).index(own[r["doc_id"]])] > 900 for r in mixed.collect())
+    assert all(abs(a - t) < 0.001 * sum(found.targets) for a, t in zip(found.reached, found.targets))
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     from cohortweave.llm.links import components, merged
 
