@@ -28,6 +28,7 @@ nobody has are 0 in effect. Repeated rows count as often as they occur; empty ta
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -43,7 +44,7 @@ LEAST_ODDS = 2.0  # log-odds between domains; weaker words go together (as those
 COMMON = 0.1  # share of texts a lexicon word may be in; commoner ones often tell the length and language of a text
 WIDER = (0.2, 0.4, 1.0)  # shares tried as well; the one that tells held-out labelled texts best is taken
 FOLDS = 5
-STEPS = 40
+STEPS = 400  # a limit; steps end at the targets or at the optimum, and a warning says where they do not
 TOLERANCE = 1e-4  # of the greatest residual against the total
 MILLE = 1000
 
@@ -178,9 +179,9 @@ def described(docs: DataFrame, model: DomainModel, text: str, tokens: str, mille
     return docs.withColumns({tokens: F.size(_words(_text(text))).cast("long"), mille: posterior(model, _text(text))})
 
 
-def _after(mille: Column, residuals: list[list[float]], max_rate: float) -> Column:
-    """``r`` (the rate after the steps) and ``y`` (where the next gradient is taken) of a posterior."""
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+def _after(mille: Column, residuals: list[list[float]], max_rate: float, anchor: int | None = None) -> Column:
+    """``r`` (the rate after the steps), ``y`` (where the next gradient is taken) and ``d`` (how far the last step went from there) of a posterior."""
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"), F.lit(0.0).alias("d"))
     if not residuals:
         return start
     steps = F.array(*[F.struct(_doubles(r).alias("g"), F.lit(t / (t + 3.0)).alias("m")) for t, r in enumerate(residuals)])
@@ -188,14 +189,18 @@ def _after(mille: Column, residuals: list[list[float]], max_rate: float) -> Colu
     def step(s: Column, x: Column) -> Column:
         slope = F.aggregate(F.zip_with(mille, x["g"], lambda p, g: p * g), F.lit(0.0), lambda a, b: a + b) / MILLE
         r = F.least(F.greatest(s["y"] - slope, F.lit(0.0)), F.lit(float(max_rate)))
-        return F.struct(r.alias("r"), (r + x["m"] * (r - s["r"])).alias("y"))
+        return F.struct(r.alias("r"), (r + x["m"] * (r - s["r"])).alias("y"), F.abs(r - s["y"]).alias("d"))
 
-    return F.aggregate(steps, start, step)
+    moved = F.aggregate(steps, start, step)
+    return moved if anchor is None else F.when(F.get(mille, F.lit(anchor)) >= F.array_max(mille), start).otherwise(moved)
 
 
-def rate(mille: Column, residuals: list[list[float]], max_rate: float) -> Column:
-    """The rate of a posterior after the steps taken so far: a step and a projection per residual."""
-    return _after(mille, residuals, max_rate)["r"]
+def rate(mille: Column, residuals: list[list[float]], max_rate: float, anchor: int | None = None) -> Column:
+    """The rate of a posterior after the steps taken so far: a step and a projection per residual.
+
+    Posteriors whose likeliest domain is the anchor keep rate 1.
+    """
+    return _after(mille, residuals, max_rate, anchor)["r"]
 
 
 @dataclass(frozen=True)
@@ -204,37 +209,41 @@ class Mix:
     available: list[float]
     targets: list[float]
     reached: list[float]
+    moved: float = 0.0  # mean way of the last step, 0 at the optimum (the KKT condition)
+    met: bool = True  # whether the targets or the optimum were reached within the tolerance
 
 
 def solve(groups: DataFrame, weights: list[float], max_rate: float, anchor: int | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> Mix:
     """Residuals of the steps; ``groups``: ``mille, tokens``, written and of one row per posterior.
 
     Targets are ``weights`` (in proportion) of all tokens, or, with an ``anchor``, of so many that
-    the anchor domain's target is what it has.
+    the anchor domain's target is what it has; documents likeliest of the anchor then stay at rate 1.
     """
     k = len(weights)
 
-    def totals(residuals: list[list[float]]) -> tuple[list[float], list[float]]:
-        """Domain totals at the rates, and at the points of the next gradient."""
-        placed = groups.select("mille", "tokens", _after(F.col("mille"), residuals, max_rate).alias("_s"))
+    def totals(residuals: list[list[float]]) -> tuple[list[float], list[float], float]:
+        """Domain totals at the rates, and at the points of the next gradient; the mean way of the last step."""
+        placed = groups.select("mille", "tokens", _after(F.col("mille"), residuals, max_rate, anchor).alias("_s"))
         sums = [F.sum(F.col(f"_s.{at}") * F.col("tokens") * F.col("mille")[i] / MILLE) for at in ("r", "y") for i in range(k)]
-        row = [float(v or 0.0) for v in placed.agg(*sums).first()]
-        return row[:k], row[k:]
+        way = F.sum(F.col("_s.d") * F.col("tokens")) / F.greatest(F.sum("tokens"), F.lit(1))
+        row = [float(v or 0.0) for v in placed.agg(*sums, way).first()]
+        return row[:k], row[k : 2 * k], row[-1]
 
-    available, ahead = totals([])
+    available, ahead, moved = totals([])
     scale = sum(available) if anchor is None else available[anchor] * sum(weights) / weights[anchor]
     targets = [scale * w / sum(weights) for w in weights]
     residuals: list[list[float]] = []
     reached = available
-    for _ in range(steps):
-        if max(abs(a - t) for a, t in zip(reached, targets)) <= tolerance * max(sum(targets), 1.0):
-            break
+    near = lambda: max(abs(a - t) for a, t in zip(reached, targets)) <= tolerance * max(sum(targets), 1.0)
+    met = near()
+    while not met and len(residuals) < steps:
         residuals.append([(a - t) / n if n else 0.0 for a, t, n in zip(ahead, targets, available)])
-        before = reached
-        reached, ahead = totals(residuals)
-        if len(residuals) > 5 and max(abs(a - b) for a, b in zip(before, reached)) <= tolerance / 10 * max(sum(targets), 1.0):
-            break  # targets out of reach: this is as near as rates come
-    return Mix(residuals, available, targets, reached)
+        reached, ahead, moved = totals(residuals)
+        # A gradient step that goes nowhere: targets are out of reach, and this is as near as rates come.
+        met = near() or moved <= tolerance
+    if not met:
+        warnings.warn(f"rates are not at their optimum after {steps} steps: the last went {moved:.2g}", stacklevel=2)
+    return Mix(residuals, available, targets, reached, moved, met)
 
 
 def mixed(
@@ -247,8 +256,9 @@ def mixed(
     narrow = docs.select(column(key).alias("_key"), column(text).alias("_text"))
     rows = written(described(narrow, model, "_text", "n_tokens", "mille").drop("_text"), "mix-posteriors")
     groups = written(rows.groupBy("mille").agg(F.sum("n_tokens").alias("tokens")), "mix-groups")
-    found = solve(groups, list(weights.values()), max_rate, domains.index(anchor) if anchor else None)
-    return rows.withColumn("rate", rate(F.col("mille"), found.residuals, max_rate)).withColumnRenamed("_key", key), model, found
+    held = domains.index(anchor) if anchor else None
+    found = solve(groups, list(weights.values()), max_rate, held)
+    return rows.withColumn("rate", rate(F.col("mille"), found.residuals, max_rate, held)).withColumnRenamed("_key", key), model, found
 
 
 def thinned(
@@ -263,7 +273,7 @@ def thinned(
     mille = free_name(docs, "_mille")
     drawn = F.pmod(F.xxhash64(column(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     judged = docs.withColumn(mille, posterior(model, _text(text)))
-    return judged.where(drawn < rate(F.col(mille), found.residuals, 1.0)).drop(mille)
+    return judged.where(drawn < rate(F.col(mille), found.residuals, 1.0, list(weights).index(anchor))).drop(mille)
 
 
 DOMAIN_WEIGHTS = {"good": 0.95, "poor": 0.03, "toxic": 0.02}

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortweave.llm import bpe, license_scan, packing, quality_rules, secrets_scan, token_files, wordspans
@@ -421,6 +422,19 @@ def test_op10_words_of_a_large_domain(spark):
     assert all(abs(a - t) < 0.001 * sum(found.targets) for a, t in zip(found.reached, found.targets))
 
 
+def test_op10_anchor_keeps_its_documents(spark):
+    from cohortweave.llm import soft_mixing
+
+    rng = np.random.default_rng(8)
+    soft = np.concatenate([rng.dirichlet(a, 200) for a in ((6, 0.3, 0.3), (0.3, 6, 0.3), (0.3, 0.3, 6))])
+    mille = [[1000 - p - t, p, t] for p, t in (soft[:, 1:] * 1000).astype(int).tolist()]
+    groups = spark.createDataFrame([(m, 100) for m in mille], "mille array<int>, tokens long").coalesce(1)
+    found = soft_mixing.solve(groups, [0.97, 0.02, 0.01], 1.0, 0)
+    rates = groups.select("mille", soft_mixing.rate(F.col("mille"), found.residuals, 1.0, 0).alias("r")).collect()
+    assert all(r["r"] == 1.0 for r in rates if r["mille"][0] == max(r["mille"]))
+    assert found.met and np.mean([r["r"] for r in rates if r["mille"][0] < max(r["mille"])]) < 0.5
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     from cohortweave.llm.links import components, merged
 
