@@ -1,8 +1,8 @@
 """License texts in documents by an exact set-similarity join with templates (operator 1).
 
 Templates and texts are sequences of words (A-Z in lower case; letters, digits and non-ASCII).
-A *block* is a run of as many words as a template has different ones (fewer in a shorter text).
-The join finds every block that contains at least ``THRESHOLD`` of a template's words:
+A *block* is a run of as many words as a template has, repeated ones included (fewer in a shorter text).
+The join finds every block that contains at least ``THRESHOLD`` of a template's different words:
 
 * Tokens are ordered by the number of documents they are in, the rarest first. A block that holds
   ``need = ceil(threshold * size)`` of a template's words holds one of its first ``size - need + 1``
@@ -101,11 +101,10 @@ def _starts(words: Column, size: Column, phrase: list[str]) -> Column:
     return F.transform(at, lambda i: (i - 1).cast("long"))
 
 
-def _best_containment(words: Column, size: Column, tokens: list[str], need: int) -> Column:
+def _best_containment(words: Column, size: Column, tokens: list[str], need: int, width: int) -> Column:
     """The most of the template's tokens in any block that holds a prefix token; tokens rarest first."""
     prefix = tokens[: len(tokens) - need + 1]
     places = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.array_contains(_array(prefix), F.get(words, i)))
-    width = len(tokens)
     last = F.greatest(size - width, F.lit(0))  # where the last block begins
     starts = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(p - width + 1, F.lit(0)), F.least(p, last)))))
 
@@ -126,9 +125,8 @@ def scan(
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
     lines = docs.select(column(key).alias("_key"), spaced(column(text)).alias("_line"))
-    sets = [(label, list(dict.fromkeys(template_words(content)))) for label, content in templates]
-    sets = [(label, words) for label, words in sets if words]
-    often = word_frequencies(lines, sorted({w for _, words in sets for w in words}))
+    sets = [(label, list(dict.fromkeys(words)), len(words)) for label, words in ((label, template_words(content)) for label, content in templates) if words]
+    often = word_frequencies(lines, sorted({w for _, words, _ in sets for w in words}))
 
     size = (F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) - 1).cast("int")
     rows = lines.withColumn("_size", size)
@@ -136,13 +134,13 @@ def scan(
 
     # Templates are tried only where one of their prefix words is, whole texts only where any is.
     plans = []
-    for label, words in sets:
+    for label, words, width in sets:
         need = math.ceil(threshold * len(words) - 1e-9)
         tokens = sorted(words, key=lambda w: (often[w], w))
-        plans.append((label, tokens, need, tokens[: len(tokens) - need + 1]))
+        plans.append((label, tokens, need, tokens[: len(tokens) - need + 1], width))
     holds = lambda w: F.contains("_line", F.lit(f" {w} "))
     maybe = F.lit(False)
-    for _, _, need, prefix in plans:
+    for _, _, need, prefix, _ in plans:
         here = F.lit(False)
         for w in prefix:
             here = here | holds(w)
@@ -155,7 +153,7 @@ def scan(
 
     found = [(label, template_words(phrase)) for phrase, label in phrases.items()]
     base = F.array_sort(F.flatten(F.array(*[F.transform(_starts(F.col("_words"), F.col("_size"), ws), _named(label)) for label, ws in found])))
-    hits = F.array(*[F.struct(F.lit(label).alias("label"), (_best_containment(F.col("_words"), F.col("_size"), tokens, need) / F.lit(float(len(tokens)))).alias("c"), F.lit(need / len(tokens)).alias("t")) for label, tokens, need, _ in plans])
+    hits = F.array(*[F.struct(F.lit(label).alias("label"), (_best_containment(F.col("_words"), F.col("_size"), tokens, need, width) / F.lit(float(len(tokens)))).alias("c"), F.lit(need / len(tokens)).alias("t")) for label, tokens, need, _, width in plans])
     rows = rows.withColumn("_base", F.when(F.col("_maybe"), base)).withColumn("_hits", F.when(F.col("_maybe"), hits))
     matched = F.filter("_hits", lambda h: h["c"] >= h["t"] - 1e-12)
     base_labels = F.array_sort(F.array_distinct(F.transform("_base", lambda b: b["l"])))

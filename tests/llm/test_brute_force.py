@@ -79,6 +79,13 @@ def test_op1_finds_every_block(docs, result):
         assert row.labels == ",".join(sorted(labels))
 
 
+def test_op1_copy_of_a_template_with_repeated_words(spark):
+    text = " ".join(f"the w{i} of the v{i} and" for i in range(12))  # 72 words, 27 different
+    docs = spark.createDataFrame([(1, f"some words before {text} and after"), (2, "the of and w1")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in license_scan.scan(docs, templates=[("x", text)]).collect()}
+    assert (rows[1]["labels"], rows[1]["score"], rows[2]["labels"]) == ("x", 1.0, "")
+
+
 def test_op2_separates_held_out(result):
     labels = pd.read_parquet(f"{SF_SMALL}/labels.parquet")
     rows = result("op2_additive_quality")
