@@ -8,9 +8,7 @@ The join finds every block that contains at least ``THRESHOLD`` of a template's
   ``need = ceil(threshold * size)`` of a template's words holds one of its first ``size - need + 1``
   (prefix filter). Texts without such a word are not looked at again.
 * Blocks are made only where a prefix word stands: those that cover its place.
-* A prefix word of rank r leaves at most ``size - r`` words that a block can share if it holds none of
-  lower rank, so a block is tied to the first of its prefix words (positional filter), and a text
-  with fewer than ``need`` words has no block (length filter).
+* A text with fewer than ``need`` words has no block (length filter). There is no positional filter: no rank enters a bound.
 * What is left is verified by intersection, once per block and template.
 
 Overlapping blocks that match are one find: the score of a text is the best containment of any of
