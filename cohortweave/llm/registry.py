@@ -12,6 +12,8 @@ from cohortweave.llm.license_scan import op1_license_scan
 from cohortweave.llm.ngram_join import OP9_SQL, op9_ngram_jaccard
 from cohortweave.llm.one_permutation import op6_one_permutation
 from cohortweave.llm.packing import op5_harmonic_packing
+from cohortweave.llm.periodic_runs import op13_periodic_runs
+from cohortweave.llm.phrase_mining import OP12_SQL, op12_phrase_mining
 from cohortweave.llm.quality_rules import op8_quality_rules
 from cohortweave.llm.secrets_scan import op7_secret_scan
 from cohortweave.llm.soft_mixing import op10_soft_mixing
@@ -28,8 +30,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_soft_mixing": op10_soft_mixing,
+    "op12_phrase_mining": op12_phrase_mining,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op9_ngram_jaccard": OP9_SQL,
+    "op12_phrase_mining": OP12_SQL,
 }
