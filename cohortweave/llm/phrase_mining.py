@@ -147,7 +147,7 @@ def _reached(parts: list[DataFrame], words: int, least: int, known: np.ndarray,
     total = total.where(F.col("words") == words).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     slot = F.col("key").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) + 1
     bits = total.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    for row in bits.toLocalIterator():  # at most 2 ** SLOT_BITS bits in all
+    for row in bits.collect():  # at most 2 ** SLOT_BITS bits in all
         low = (row["bucket"] - 1) << 15
         here = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(row["bits"]), dtype=np.uint8), bitorder="little")) + low
         known[here] = np.minimum(known[here], step)
