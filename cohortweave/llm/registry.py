@@ -17,6 +17,7 @@ from cohortweave.llm.phrase_mining import OP12_SQL, op12_phrase_mining
 from cohortweave.llm.quality_rules import op8_quality_rules
 from cohortweave.llm.secrets_scan import op7_secret_scan
 from cohortweave.llm.soft_mixing import op10_soft_mixing
+from cohortweave.llm.suffix_dedup import op11_suffix_dedup
 from cohortweave.llm.token_files import op3_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_soft_mixing": op10_soft_mixing,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_phrase_mining": op12_phrase_mining,
     "op13_periodic_runs": op13_periodic_runs,
 }
