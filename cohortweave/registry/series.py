@@ -9,7 +9,9 @@ from cohortweave.functions import pixels as px
 from cohortweave.functions.text import description_flags
 from cohortweave.functions.values import typed_list
 from cohortweave.operators import series as sr
+from cohortweave.operators import tags as tg
 from cohortweave.registry.base import MERGED_SQL, SERIES_SQL, SLICES_SQL, query, slice_tags, slices, table, tagged_slices
+from cohortweave.schemas import TAG_TYPES
 from cohortweave.sources.files import MetadataError, decode_files
 
 
@@ -94,6 +96,57 @@ def metadata_map(spark, sf_dir):
     )
 
 
+def _nested_tags(spark, sf_dir):
+    """Events as sets of tags: text and numbers mixed, lists, sequences in sequences, a tag that is no number."""
+    json = F.concat(
+        F.lit('{"Instance Number":"'), "event_id", F.lit('","Slice Location":'), "user_id", F.lit('.5,"Pixel Data":"AA==","Note":null,"Props":'),
+        "props", F.lit(',"Rows":'), F.when(F.col("event_id") % 10 == 0, '"none"').otherwise((F.col("event_id") % 7).cast("string")),
+        F.lit(',"Referenced Series Sequence":[{"Series Instance UID":'), "user_id", F.lit(',"Frames":[1,"2",'), F.col("event_id") % 5,
+        F.lit(']},{"Item":{"Deep":[{"Image Position (Patient)":["0.5",'), F.col("event_id") % 3, F.lit(",2]}]}}"),
+        F.when(F.col("event_id") % 4 == 0, ",7").otherwise(""), F.lit("]}"),
+    )
+    return table(spark, sf_dir, "events").select("event_id", json.alias("tags"))
+
+
+_NESTED_TYPES = TAG_TYPES | {"Frames": "bigint"}
+
+
+@query(
+    "typed_tags",
+    """SELECT event_id, 'Instance Number' AS path, 'Instance Number' AS tag, FALSE AS is_list, CAST(event_id AS VARCHAR) AS i,
+             NULL::VARCHAR AS halves, NULL::VARCHAR AS s FROM events UNION ALL
+    SELECT event_id, 'Slice Location', 'Slice Location', FALSE, NULL, CAST(user_id * 2 + 1 AS VARCHAR), NULL FROM events UNION ALL
+    SELECT event_id, concat('Props/', u.tag), u.tag, FALSE, json_extract_string(props, '$.' || u.tag), NULL, NULL
+      FROM events, (SELECT unnest(json_keys(props))) AS u(tag) UNION ALL
+    SELECT event_id, 'Rows', 'Rows', FALSE, CAST(event_id % 7 AS VARCHAR), NULL, NULL FROM events WHERE event_id % 10 <> 0 UNION ALL
+    SELECT event_id, 'Referenced Series Sequence[0]/Series Instance UID', 'Series Instance UID', FALSE, NULL, NULL, CAST(user_id AS VARCHAR)
+      FROM events UNION ALL
+    SELECT event_id, 'Referenced Series Sequence[0]/Frames', 'Frames', TRUE, concat('1,2,', event_id % 5), NULL, NULL FROM events UNION ALL
+    SELECT event_id, 'Referenced Series Sequence[1]/Item/Deep[0]/Image Position (Patient)', 'Image Position (Patient)', TRUE, NULL,
+      concat('1,', event_id % 3 * 2, ',4'), NULL FROM events""",
+)
+def typed_tags(spark, sf_dir):
+    tags = tg.typed_tags(_nested_tags(spark, sf_dir), "event_id", "tags", _NESTED_TYPES)
+    return tags.select(
+        "event_id",
+        "path",
+        "tag",
+        "is_list",
+        F.array_join(F.col("value.i").cast("array<string>"), ",").alias("i"),
+        F.array_join(F.transform("value.f", lambda x: (x * 2).cast("bigint").cast("string")), ",").alias("halves"),
+        F.array_join("value.s", ",").alias("s"),
+    )
+
+
+@query(
+    "tag_faults",
+    """SELECT event_id, 'Rows' AS path, 'Rows' AS tag, 'not_bigint' AS reason FROM events WHERE event_id % 10 = 0 UNION ALL
+    SELECT event_id, 'Referenced Series Sequence[2]', 'Referenced Series Sequence', 'not_tags' FROM events WHERE event_id % 4 = 0""",
+)
+def tag_faults(spark, sf_dir):
+    return tg.tag_faults(_nested_tags(spark, sf_dir), "event_id", "tags", _NESTED_TYPES)
+
+
 @query(
     "representative_values",
     f"""WITH {SLICES_SQL}, tags AS (

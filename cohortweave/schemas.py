@@ -113,6 +113,24 @@ TAG_LATERALITY = "Laterality"
 TAG_MODALITY = "Modality"
 TAG_PIXELS = "Pixel Data"
 
+# Types of tags whose values are numbers, or ids made of digits.
+TAG_TYPES = {
+    "Slice Location": "double",
+    "Spacing Between Slices": "double",
+    "Slice Thickness": "double",
+    "Pixel Spacing": "double",
+    "Image Position (Patient)": "double",
+    "Image Orientation (Patient)": "double",
+    "Instance Number": "bigint",
+    "Series Number": "bigint",
+    "Rows": "bigint",
+    "Columns": "bigint",
+    "Study Instance UID": "string",
+    "Series Instance UID": "string",
+    "Clinical Trial Subject ID": "string",
+    "Clinical Trial Time Point ID": "string",
+}
+
 # Defaults of absent values in the outputs.
 MISSING = -1
 DEFAULT_TIME = "t-1"
