@@ -36,6 +36,7 @@ from cohortweave.operators.shared import written
 SLOT_BITS = 24
 NEVER = 255
 FLUSH = 4_000_000  # keys a task holds before it sums them
+SPELL_BYTES = 7 << 19  # bytes of texts whose phrases are spelled out and counted together
 
 _PIECE_ENDS = np.zeros(256, dtype=bool)
 _PIECE_ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -195,7 +196,7 @@ def _spelled(ready: list):
         for batch in batches:
             codes, names = _lang_numbers(batch.column(0))
             hashed = np.array([_lang_hash(n) for n in names] or [0], dtype=np.int64)
-            for at, chunk in ws.chunks(ws.of_array(batch.column(1))):
+            for at, chunk in ws.chunks(ws.of_array(batch.column(1)), SPELL_BYTES):
                 mine = codes[at : at + len(chunk)]
                 found = _Words(chunk, hashed[mine])
                 if not len(found.keys):

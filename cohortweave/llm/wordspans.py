@@ -107,11 +107,11 @@ def of_array(texts: pa.Array) -> Texts:
     return Texts(body[bounds[0] : bounds[-1]], bounds - bounds[0])
 
 
-def chunks(texts: Texts) -> Iterator[tuple[int, Texts]]:
-    """Consecutive texts of about ``CHUNK_BYTES`` together, each with the number of its first."""
+def chunks(texts: Texts, size: int = CHUNK_BYTES) -> Iterator[tuple[int, Texts]]:
+    """Consecutive texts of about ``size`` bytes together, each with the number of its first."""
     at, n = 0, len(texts)
     while at < n:
-        upto = int(np.searchsorted(texts.bounds, texts.bounds[at] + CHUNK_BYTES, side="right")) - 1
+        upto = int(np.searchsorted(texts.bounds, texts.bounds[at] + size, side="right")) - 1
         upto = min(max(upto, at + 1), n)
         low, high = texts.bounds[at], texts.bounds[upto]
         yield at, Texts(texts.data[low:high], texts.bounds[at : upto + 1] - low)
