@@ -34,8 +34,8 @@ from cohortweave.llm.rowmaps import column, read_table
 
 SIZE = 50  # bytes of a string
 GRAM = 24
-BLOCK_BYTES = 16 << 20
-PIECE = 1 << 18  # strings looked at at once
+BLOCK_BYTES = 4 << 20
+PIECE = 1 << 15  # strings looked at at once
 COMMON = 4_000  # stretches of one hash above which its strings travel one by one
 _SEPARATOR = 0xFF  # in no UTF-8 text
 
@@ -142,7 +142,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, text: str = "text", key: s
         raise ValueError(f"size is {GRAM} or more")
     total = docs.agg(F.sum(F.octet_length(column(text).cast("string")))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    range_bits = max(1, (blocks - 1).bit_length() - 2)  # a range hears about four blocks' share
+    range_bits = max(1, (blocks - 1).bit_length() - 4)  # a range hears about sixteen blocks' share
     bits = min(64, range_bits + 32)
     shards = 4 * blocks
 
