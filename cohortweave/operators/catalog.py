@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.functions.text import path_parent, series_path
-from cohortweave.operators.ranking import list_blocks
+from cohortweave.operators.ranking import least_values, list_blocks
 from cohortweave.schemas import IMAGE_DESCRIPTIONS, SEGMENTATION_DESCRIPTIONS
 
 
@@ -25,11 +25,7 @@ def series_paths(metadata: DataFrame, studies: DataFrame, root: str = "") -> Dat
 
 def first_descriptions(metadata: DataFrame) -> DataFrame:
     """One description per series; of several, the least. Series without one drop."""
-    return (
-        metadata.where(F.col("description").isNotNull())
-        .groupBy("series_id")
-        .agg(F.min("description").alias("description"))
-    )
+    return least_values(metadata, ["series_id"], "description").select("series_id", "description")
 
 
 def keep_described(

@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortweave.functions import pixels as px
 from cohortweave.functions.values import bound, known
-from cohortweave.operators.ranking import global_row_number
+from cohortweave.operators.ranking import global_row_number, joined_to, least_values
 from cohortweave.schemas import (
     MAX_ROTATION,
     NOISE_STDDEV,
@@ -62,18 +63,20 @@ def required_series(
 def preferred_series(
     features: DataFrame, preferred: Sequence[str] = tuple(PREFERRED_FEATURES), key: str = "patient_id"
 ) -> DataFrame:
-    """The first feature of the list that a key has, with its series."""
+    """The first feature of the list that a key has, with its series; of several series, the least.
+
+    Keys find their least place in the list, a number; the series of that place alone are compared.
+    """
     places = F.create_map(*[F.lit(v) for pair in ((n, i) for i, n in enumerate(preferred)) for v in pair])
-    return (
-        features.where(F.col("feature_name").isin(list(preferred)))
-        .withColumn("priority", places[F.col("feature_name")])
-        .groupBy(key)
-        .agg(
-            F.min("priority").alias("priority"),
-            F.min_by("feature_name", "priority").alias("feature_name"),
-            F.min(F.struct("priority", "series_id")).getField("series_id").alias("series_id"),
-        )
-    )
+    listed = features.where(F.col("feature_name").isin(list(preferred))).select(key, "series_id", places[F.col("feature_name")].alias("priority"))
+    first = listed.groupBy(key).agg(F.min("priority").alias("priority"))
+    of_first = joined_to(listed, first, [key, "priority"])
+    if isinstance(features.schema["series_id"].dataType, T.NumericType):
+        least = of_first.groupBy(key, "priority").agg(F.min("series_id").alias("series_id"))
+    else:
+        least = least_values(of_first, [key, "priority"], "series_id")
+    names = F.array(*[F.lit(n) for n in preferred])
+    return least.select(key, "priority", F.get(names, F.col("priority")).alias("feature_name"), "series_id")
 
 
 def sample_fault(height: int, width: int) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortweave.functions.text import description_flags, dicom_id, feature_name
 from cohortweave.functions.values import present
-from cohortweave.operators.ranking import rank_within
+from cohortweave.operators.ranking import joined_to, least_values, rank_within, value_codes
+from cohortweave.operators.shared import written
 from cohortweave.schemas import (
     DEFAULT_ORIENTATION,
     DEFAULT_POSITION,
@@ -41,29 +45,39 @@ def check_pixels(slices: DataFrame) -> DataFrame:
     return slices.withColumn("status", F.when(wrong, "pixel_count").otherwise(F.col("status")))
 
 
-def series_facts(slices: DataFrame) -> DataFrame:
-    """Counts per series from which its order and validity follow; pixels are not read.
+_NUMBERS = [("rows_min", "min", "rows"), ("rows_max", "max", "rows"), ("cols_min", "min", "cols"), ("cols_max", "max", "cols")]
 
-    Slices are reduced to paths first, so that a path which comes twice is seen.
-    """
-    numbers = [("rows_min", "min", "rows"), ("rows_max", "max", "rows"), ("cols_min", "min", "cols"), ("cols_max", "max", "cols")]
-    per_path = slices.groupBy("series_id", "path").agg(
+
+def _paths(slices: DataFrame) -> DataFrame:
+    """One narrow row per path, so that a path which comes twice is seen; pixels are not read."""
+    return slices.groupBy("series_id", "path").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("slice_location").alias("n_locations"),
         F.count(_z()).alias("n_positions"),
+        F.min("slice_location").alias("location"),
+        F.min(_z()).alias("z"),
         F.expr("count_if(status <> 'ok')").alias("n_failed"),
-        *[getattr(F, kind)(c).alias(name) for name, kind, c in numbers],
+        *[getattr(F, kind)(c).alias(name) for name, kind, c in _NUMBERS],
     )
-    return per_path.groupBy("series_id").agg(
+
+
+def _facts(paths: DataFrame) -> DataFrame:
+    return paths.groupBy("series_id").agg(
         F.sum("n").alias("n_slices"),
         F.sum("n_locations").alias("n_locations"),
         F.sum("n_positions").alias("n_positions"),
-        *[getattr(F, kind)(name).alias(name) for name, kind, _ in numbers],
+        *[getattr(F, kind)(name).alias(name) for name, kind, _ in _NUMBERS],
         F.sum("n_failed").alias("n_failed"),
         F.max("n").alias("n_of_a_path"),
+        *[getattr(F, kind)(c).alias(f"{c}_{kind}") for c in ("location", "z") for kind in ("min", "max")],
     )
 
 
+def series_facts(slices: DataFrame) -> DataFrame:
+    """Counts per series from which its order and validity follow; pixels are not read."""
+    return _facts(_paths(slices))
+
+
 def _metadata_facts() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("n_slices"),
@@ -88,35 +102,67 @@ def series_quarantine(slices: DataFrame) -> DataFrame:
     return series_facts(slices).select("series_id", "n_slices", _fault().alias("reason")).where("reason is not null")
 
 
+def _source() -> Column:
+    by_location, by_position = F.col("n_locations") == F.col("n_slices"), F.col("n_positions") == F.col("n_slices")
+    return F.when(by_location, "location").when(by_position, "position").otherwise("path")
+
+
+def _of_source(location: str, z: str) -> Column:
+    return F.when(F.col("sort_source") == "location", F.col(location)).when(F.col("sort_source") == "position", F.col(z))
+
+
 def slice_order(slices: DataFrame) -> DataFrame:
     """Place of every slice in its series, from 0. Only keys are sorted and shuffled.
 
     Slices sort by location where all slices of the series have one, else by the z
     position where all have that, else by path; the path also settles ties. A path
     names one file: a series with a path that comes twice is quarantined, and its
-    equal rows have one place.
+    rows of one path have one place, that of the least key.
+
+    The slices are read once, to one narrow row per path; facts and order come from those.
     """
-    facts = series_facts(slices).select("series_id", "n_slices", "n_locations", "n_positions", _fault().alias("reason"))
-    by_location = F.col("n_locations") == F.col("n_slices")
-    by_position = F.col("n_positions") == F.col("n_slices")
-    keyed = slices.select("series_id", "path", "slice_location", _z().alias("_z")).join(facts, "series_id").select(
-        "series_id",
-        "path",
-        "n_slices",
-        "reason",
-        F.when(by_location, "location").when(by_position, "position").otherwise("path").alias("sort_source"),
-        F.when(by_location, F.col("slice_location")).when(by_position, F.col("_z")).alias("sort_key"),
+    paths = written(_paths(slices).select("series_id", "path", *_KEPT_OF_PATHS), "paths")
+    facts = _facts(paths).select("series_id", "n_slices", _fault().alias("reason"), _source().alias("sort_source"))
+    keyed = paths.select("series_id", "path", "location", "z").join(facts, "series_id").select(
+        "series_id", "path", "n_slices", "reason", "sort_source", _of_source("location", "z").alias("sort_key")
     )
-    ranked = rank_within(keyed.distinct(), ["series_id"], ["sort_key", "path"], "_rank")
+    ranked = rank_within(keyed, ["series_id"], ["sort_key", "path"], "_rank")
     return ranked.withColumn("z_index", F.col("_rank") - 1).drop("_rank")
 
 
+_KEPT_OF_PATHS = ["n", "n_locations", "n_positions", "location", "z", "n_failed", *[name for name, _, _ in _NUMBERS]]
+
+_RANGE_SLICES, _MOST_RANGES = 256, 4_096  # slices a range of keys is meant to hold; ranges of one series
+
+
 def middle_slices(slices: DataFrame) -> DataFrame:
-    """The slice at place n div 2 of every valid series."""
-    placed = slice_order(slices).where("reason is null")
-    return placed.where(F.col("z_index") == F.floor(F.col("n_slices") / 2)).select(
-        "series_id", "path", "n_slices", "z_index"
+    """The slice at place n div 2 of every valid series, without ordering the others.
+
+    The keys of a series are counted in equal ranges between the least and the greatest; the counts tell
+    which range has the middle and how many slices come before it. Only slices of that range are ranked. Where
+    all keys fall into one range (equal keys, or an order by path) that is the whole series, with the same result.
+    """
+    paths = written(_paths(slices).select("series_id", "path", *_KEPT_OF_PATHS), "paths")
+    facts = _facts(paths).withColumn("sort_source", _source()).where(_fault().isNull()).select(
+        "series_id",
+        "n_slices",
+        "sort_source",
+        F.expr("n_slices div 2").alias("middle"),
+        F.least(F.ceil(F.col("n_slices") / _RANGE_SLICES), F.lit(_MOST_RANGES)).alias("ranges"),
+        _of_source("location_min", "z_min").alias("low"),
+        _of_source("location_max", "z_max").alias("high"),
     )
+    wide = F.col("high") - F.col("low")
+    share = (F.col("sort_key") - F.col("low")) / wide * F.col("ranges")
+    ranged = F.when((wide > 0) & (wide < float("inf")), F.least(F.floor(share), F.col("ranges") - 1)).otherwise(0)
+    keyed = paths.select("series_id", "path", "location", "z").join(facts, "series_id")
+    keyed = keyed.withColumn("sort_key", _of_source("location", "z")).withColumn("range", F.coalesce(ranged, F.lit(0)))
+    upto = Window.partitionBy("series_id").orderBy("range")  # at most _MOST_RANGES rows of a series
+    counts = keyed.groupBy("series_id", "middle", "range").agg(F.count(F.lit(1)).alias("n"))
+    met = counts.withColumn("before", F.sum("n").over(upto) - F.col("n")).where("before <= middle AND middle < before + n")
+    near = written(keyed.join(met.select("series_id", "range", "before"), ["series_id", "range"]), "near-middle")
+    ranked = rank_within(near.select("series_id", "path", "n_slices", "middle", "before", "sort_key"), ["series_id"], ["sort_key", "path"], "_rank")
+    return ranked.where(F.col("before") + F.col("_rank") - 1 == F.col("middle")).select("series_id", "path", "n_slices", F.col("middle").alias("z_index"))
 
 
 def fetch_pixels(selected: DataFrame, slices: DataFrame) -> DataFrame:
@@ -129,32 +175,71 @@ def volume_blocks(slices: DataFrame, max_voxels: int = 2_097_152) -> DataFrame:
 
     A volume of up to ``max_voxels`` voxels is one row. A larger one has as many
     rows as it needs, each with whole slices, its first slice and its number. Slices
-    are ordered by their keys alone; pixels then meet their places and their block,
-    and a block is all that a task gathers.
+    are ordered by their keys alone; pixels then meet their places, and go sorted to the task
+    that joins their block. There they stream by, so a task holds one block at a time.
     """
     placed = slice_order(slices).where("reason is null").select("series_id", "path", "n_slices", "z_index")
     area = F.greatest(F.col("rows") * F.col("cols"), F.lit(1))
     per_block = F.greatest(F.floor(F.lit(max_voxels) / area), F.lit(1))
-    return (
+    cut = (
         slices.select("series_id", "path", "rows", "cols", "pixels")
         .join(placed, ["series_id", "path"])
-        .withColumn("block_no", F.floor(F.col("z_index") / per_block).cast("bigint"))
-        .groupBy("series_id", "block_no")
-        .agg(
-            F.max("n_slices").alias("n_slices"),
-            F.max("rows").alias("rows"),
-            F.max("cols").alias("cols"),
-            F.min("z_index").alias("z_start"),
-            F.array_sort(F.collect_list(F.struct("z_index", "pixels"))).alias("_stack"),
-        )
         .select(
             "series_id",
-            "block_no",
-            "z_start",
+            F.floor(F.col("z_index") / per_block).cast("bigint").alias("block_no"),
+            F.col("z_index").cast("bigint").alias("z_start"),
             F.array(F.col("n_slices").cast("int"), "rows", "cols").alias("shape"),
-            F.flatten(F.transform("_stack", lambda s: s["pixels"])).alias("voxels"),
+            F.col("pixels").alias("voxels"),
         )
     )
+    key = ["series_id", "block_no"]
+    return _joined_blocks(cut.repartition(*key).sortWithinPartitions(*key, "z_start"))
+
+
+_BLOCK_ROWS = 64  # blocks handed on together, if they are small
+
+
+def _joined_blocks(slices: DataFrame) -> DataFrame:
+    """Sorted slices to blocks: the voxels of rows with one series and block, one after another."""
+    arrow = to_arrow_schema(slices.schema)
+    kind = arrow.field("voxels").type.value_type
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[pa.RecordBatch, list[pa.Array] | None]] = []
+        head: pa.RecordBatch | None = None
+        parts: list[pa.Array] | None = []
+
+        def made() -> pa.RecordBatch:
+            voxels = [None if p is None else pa.concat_arrays(p) for _, p in done]
+            border = np.cumsum([0, *[0 if v is None else len(v) for v in voxels]], dtype=np.int32)
+            flat = pa.concat_arrays([v for v in voxels if v is not None] or [pa.array([], kind)])
+            empty = pa.array([v is None for v in voxels])
+            lists = pa.ListArray.from_arrays(pa.array(border), flat, mask=empty)
+            first = [pa.concat_arrays([h.column(i) for h, _ in done]) for i in range(4)]
+            return pa.RecordBatch.from_arrays([*first, lists.cast(arrow.field("voxels").type)], schema=arrow)
+
+        size = 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                if head is None or row.column(0) != head.column(0) or row.column(1) != head.column(1):
+                    if head is not None:
+                        done.append((head, parts))
+                        if len(done) >= _BLOCK_ROWS or size > 1 << 20:
+                            yield made()
+                            done, size = [], 0
+                    head, parts = row.select(range(4)), []
+                own = row.column(4)
+                if own.null_count:
+                    parts = None
+                elif parts is not None:
+                    parts.append(own.flatten())
+                    size += len(parts[-1])
+        if head is not None:
+            done.append((head, parts))
+            yield made()
+
+    return slices.mapInArrow(join, slices.schema)
 
 
 def z_bounds(slices: DataFrame) -> DataFrame:
@@ -183,14 +268,8 @@ def metadata_keys(slices: DataFrame) -> DataFrame:
 
 def representative_values(slices: DataFrame) -> DataFrame:
     """One value per series and tag: the least that is not empty. Zero is a value."""
-    values = (
-        slices.select("series_id", F.explode("meta").alias("tag", "value"))
-        .where(present(F.col("value")).isNotNull())
-        .groupBy("series_id", "tag", "value")
-        .agg(F.lit(1).alias("_once"))
-    )
-    # Values are text, whose least is found by sorting: so only distinct ones get there.
-    return values.groupBy("series_id", "tag").agg(F.min("value").alias("value"), F.count("_once").alias("n_distinct"))
+    values = slices.select("series_id", F.explode("meta").alias("tag", "value"))
+    return least_values(values.withColumn("value", present(F.col("value"))), ["series_id", "tag"], "value")
 
 
 def metadata_map(rows: DataFrame, key: str, json: str) -> DataFrame:
@@ -311,9 +390,10 @@ def image_features(features: DataFrame) -> DataFrame:
 def feature_dedup(features: DataFrame) -> DataFrame:
     """One value per patient and feature name: that of the greatest (study, series).
 
-    ``n_collisions`` counts the values that gave way.
+    ``n_collisions`` counts the values that gave way. Rows that are alike in all columns count, and give one value.
     """
-    return features.groupBy("patient_id", "feature_name").agg(
-        F.max_by(F.struct("study_id", "series_id", "value"), F.struct("study_id", "series_id")).alias("kept"),
-        (F.count(F.lit(1)) - 1).alias("n_collisions"),
-    ).select("patient_id", "feature_name", "kept.study_id", "kept.series_id", "kept.value", "n_collisions")
+    source, name = ["study_id", "series_id"], ["patient_id", "feature_name"]
+    coded = joined_to(features.select(*name, *source, "value"), value_codes(features, source), source)
+    best = coded.groupBy(*name).agg(F.max("_code").alias("_code"), (F.count(F.lit(1)) - 1).alias("n_collisions"))
+    kept = joined_to(coded, best, [*name, "_code"])
+    return kept.select(*name, *source, "value", "n_collisions").distinct()

@@ -56,3 +56,20 @@ def test_a_group_is_never_ranked_in_one_task(slices_table):
 def test_places_are_found_without_pixels(slices_table):
     assert "pixels" not in plan(sr.slice_order(slices_table))
     assert "pixels" not in plan(sr.middle_slices(slices_table))
+
+
+@pytest.mark.parametrize("name", ["representative_values", "feature_dedup", "preferred_series", "series_allowlist"])
+def test_least_values_are_found_without_sorting(spark, name):
+    assert "SortAggregate" not in plan(driver.queries()[name](spark, SF_SMALL))
+
+
+def test_a_volume_is_never_collected(slices_table):
+    blocks = plan(sr.volume_blocks(slices_table))
+    assert not re.search("collect_list|ObjectHashAggregate", blocks)
+    assert len(re.findall("Exchange hashpartitioning", blocks)) <= 3  # slices and their places, then blocks
+
+
+def test_slices_are_read_once_for_their_order(spark, slices_table):
+    """What comes after reads the narrow table of paths."""
+    for df in (sr.slice_order(slices_table), sr.middle_slices(slices_table)):
+        assert "slices-for-plans" not in plan(df)

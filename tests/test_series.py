@@ -152,3 +152,62 @@ def test_pixels_are_fetched_by_path(spark, rows):
         found = rows(sr.fetch_pixels(middle, df), "path")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         assert found == [("b2",), ("b3",), ("c",)]
+
+
+def _long_series(spark):
+    """Series of many slices: skewed keys, ties, no keys, one key, an endless one."""
+    rows = [("skew", f"p{i:05}", float(1.01 ** (i * 7 % 3000)), None) for i in range(3000)]
+    rows += [("ties", f"p{i:05}", float(i % 3), None) for i in range(1001)]
+    rows += [("paths", f"p{i * 9 % 700:05}", None, None) for i in range(700)]
+    rows += [("half", f"p{i:05}", None if i else 1.0, [0.0, 0.0, float(-i)]) for i in range(900)]
+    rows += [("one", "p", 4.0, None), ("endless", "a", float("inf"), None), ("endless", "b", 2.0, None), ("endless", "c", 1.0, None)]
+    kinds = "series_id string, path string, slice_location double, position array<double>"
+    df = spark.createDataFrame(rows, kinds).selectExpr("*", "2 AS rows", "1 AS cols", "'ok' AS status", "array(CAST(coalesce(slice_location, -1) AS FLOAT), 0F) AS pixels")
+    return rows, df.repartition(7)
+
+
+def _placed_by_hand(rows):
+    by_series = {}
+    for series, path, location, position in rows:
+        by_series.setdefault(series, []).append((path, location, position[2] if position else None))
+    for series, own in by_series.items():
+        key = 1 if all(r[1] is not None for r in own) else 2 if all(r[2] is not None for r in own) else 0
+        yield series, [r[0] for r in sorted(own, key=lambda r: (r[key], r[0]))]
+
+
+def test_places_and_middles_of_long_series(spark):
+    rows, df = _long_series(spark)
+    wanted = dict(_placed_by_hand(rows))
+    placed = {(r.series_id, r.path): r.z_index for r in sr.slice_order(df).collect()}
+    assert placed == {(s, p): i for s, paths in wanted.items() for i, p in enumerate(paths)}
+    middle = {r.series_id: (r.path, r.n_slices, r.z_index) for r in sr.middle_slices(df).collect()}
+    assert middle == {s: (paths[len(paths) // 2], len(paths), len(paths) // 2) for s, paths in wanted.items()}
+
+
+def test_only_slices_near_the_middle_are_ranked(spark, monkeypatch):
+    ranked = []
+    inner = sr.rank_within
+    monkeypatch.setattr(sr, "rank_within", lambda df, *more: ranked.append(df.count()) or inner(df, *more))
+    df = spark.range(20_000).selectExpr("'s' AS series_id", "concat('p', id) AS path", "CAST(id * 37 % 20000 AS DOUBLE) AS slice_location",
+                                        "CAST(NULL AS ARRAY<DOUBLE>) AS position", "1 AS rows", "1 AS cols", "'ok' AS status")
+    assert [r.z_index for r in sr.middle_slices(df).collect()] == [10_000]
+    assert ranked[0] <= 2 * sr._RANGE_SLICES
+
+
+def test_blocks_of_a_long_series_stream_by(spark):
+    rows, df = _long_series(spark)
+    for series, paths in _placed_by_hand(rows):
+        blocks = sr.volume_blocks(df.where(f"series_id = '{series}'"), max_voxels=500).orderBy("block_no").collect()
+        assert [b.block_no for b in blocks] == list(range(-(-len(paths) // 250)))
+        assert [b.z_start for b in blocks] == list(range(0, len(paths), 250))
+        location = {r[1]: -1.0 if r[2] is None else r[2] for r in rows if r[0] == series}
+        voxels = [v for b in blocks for v in b.voxels]
+        assert voxels[::2] == pytest.approx([location[p] for p in paths], rel=1e-6) and set(voxels[1::2]) == {0.0}
+
+
+def test_repeated_and_nameless_features(spark, rows):
+    df = spark.createDataFrame(
+        [(1, "f", "a", "s", 1), (1, "f", "a", "t", 2), (1, "f", "a", "t", 2), (None, "f", None, "s", 3), (None, "f", "a", None, 4)],
+        "patient_id long, feature_name string, study_id string, series_id string, value int",
+    )
+    assert rows(sr.feature_dedup(df)) == [(1, "f", "a", "t", 2, 2), (None, "f", "a", None, 4, 1)]
