@@ -268,35 +268,40 @@ class _Inducer:
         return upto - b
 
 
-def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, ends: np.ndarray, separator: int = 0xFF) -> np.ndarray:
     """Per position, the bytes its suffix shares with the one before it in ``sa``, up to the nearer end of their strings.
 
-    ``ends``: the end of each position's string. Only where the bytes to the left differ are bytes compared; any
-    other position shares one byte less than the position before it.
+    ``ends``: the end of each position's string, where a ``separator`` stands. Only where the bytes to the left
+    differ, or a string begins, are bytes compared; any other position shares one byte less than the position before it.
     """
     n = len(data)
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=np.int32)
     before[sa[1:]] = sa[:-1]
-    left, other = np.arange(n) - 1, before - 1
-    plain = (before < 0) | (left < 0) | (other < 0)
-    plain |= data[np.maximum(left, 0)] != data[np.maximum(other, 0)]
-    plain |= (ends[np.maximum(left, 0)] != ends) | (ends[np.maximum(other, 0)] != ends[np.maximum(before, 0)])
+    plain = np.ones(n, dtype=bool)
+    left = data[:-1]
+    plain[1:] = (left != data[before[1:] - 1]) | (left == separator)
+    plain[before <= 0] = True
     own = np.flatnonzero(plain & (before >= 0))
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     eights = np.ndarray(shape=(n + 1,), dtype="<u8", buffer=padded.tobytes(), strides=(1,))
-    limit = np.minimum(ends[own] - own, ends[before[own]] - before[own])
+    other = before[own]
+    limit = np.minimum(ends[own] - own, ends[other] - other)
     shared = np.zeros(len(own), dtype=np.int64)
-    live = np.arange(len(own))
+    live, i, j = np.arange(len(own)), own, other
     while len(live):
-        i, j = own[live] + shared[live], before[own[live]] + shared[live]
         differ = eights[i] ^ eights[j]
-        low = differ & (~differ + np.uint64(1))
-        equal = np.where(differ == 0, 8, np.frexp(low.astype(np.float64))[1].astype(np.int64) - 1 >> 3)
-        shared[live] += equal
-        live = live[(differ == 0) & (shared[live] < limit[live])]
+        alike = differ == 0
+        stop = np.flatnonzero(~alike)
+        low = differ[stop] & (~differ[stop] + np.uint64(1))
+        shared[live[stop]] += np.frexp(low.astype(np.float64))[1].astype(np.int64) - 1 >> 3
+        live, i, j = live[alike], i[alike] + 8, j[alike] + 8
+        shared[live] += 8
+        more = shared[live] < limit[live]
+        live, i, j = live[more], i[more], j[more]
     result = np.zeros(n, dtype=np.int64)
     result[own] = np.minimum(shared, limit)
-    last = np.maximum.accumulate(np.where(plain, np.arange(n), 0))
-    result = np.maximum(result[last] - (np.arange(n) - last), 0)
+    at = np.arange(n, dtype=np.int32)
+    last = np.maximum.accumulate(np.where(plain, at, 0))
+    result = np.maximum(result[last] - (at - last), 0)
     result[before < 0] = 0
     return result

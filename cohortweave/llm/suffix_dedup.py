@@ -5,8 +5,8 @@ A byte of a document goes if a string of ``size`` bytes that covers it also star
 1. Documents are dealt into blocks by a hash of their id: the one shuffle of whole texts, used three times.
 2. Every string of ``size`` bytes is filed under the least hash of its grams of ``GRAM`` bytes; equal strings have equal
    ones. Strings that follow one another share theirs, about fourteen at a time. A block sends its distinct ones,
-   sorted and cut to the bits that matter, to ranges of hashes, and hears in one bit each whether another
-   document has them, and in a second whether they are very common.
+   sorted and cut to the bits that matter, to ranges of hashes, and hears which of them another document has as
+   well, and which are very common.
 3. Stretches of strings whose hash is shared travel, each different one once per block, to the shard of that hash; those
    of a very common hash travel string by string under a hash of their whole, so no gram makes a shard large.
 4. A shard joins its stretches, sorts their suffixes by induced sorting (``induced_sorting``) and takes permuted common
@@ -116,6 +116,12 @@ def _by_range(key: np.ndarray, bits: int, range_bits: int) -> tuple[np.ndarray,
     return part[first], np.append(first, len(part))
 
 
+def _among(values: np.ndarray, sorted_ones: np.ndarray) -> np.ndarray:
+    if not len(sorted_ones):
+        return np.zeros(len(values), dtype=bool)
+    return sorted_ones[np.minimum(np.searchsorted(sorted_ones, values), len(sorted_ones) - 1)] == values
+
+
 def _bytes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
@@ -142,7 +148,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, text: str = "text", key: s
         raise ValueError(f"size is {GRAM} or more")
     total = docs.agg(F.sum(F.octet_length(column(text).cast("string")))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    range_bits = max(1, (blocks - 1).bit_length() - 4)  # a range hears about sixteen blocks' share
+    range_bits = max(1, (blocks - 1).bit_length() - 2)  # a range hears about four blocks' share
     bits = min(64, range_bits + 32)
     shards = 4 * blocks
 
@@ -175,10 +181,10 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, text: str = "text", key: s
         holders = np.diff(np.append(first, len(ranked)))
         shared = np.logical_or.reduceat(np.concatenate(several)[order], first) | (holders > 1)
         frequent = np.add.reduceat(often[order], first) > common
-        back = np.empty((2, len(joined)), dtype=bool)
+        back = np.zeros((2, len(joined)), dtype=bool)
         back[0, order], back[1, order] = np.repeat(shared, holders), np.repeat(shared & frequent, holders)
         border = np.cumsum([0, *map(len, keys)])
-        rows = [(p, b, *[_bytes(np.packbits(f[x:y])) for f in back]) for p, b, x, y in zip(part, block, border[:-1], border[1:])]
+        rows = [(p, b, *[_bytes(k[f[x:y]]) for f in back]) for p, b, k, x, y in zip(part, block, keys, border[:-1], border[1:])]
         return pa.Table.from_batches([_batch(_HEARD_ARROW, rows)])
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -187,17 +193,14 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, text: str = "text", key: s
         ids, texts, rows = _with_ids(_joined(table["doc"]), _joined(table["text"]))
         marks = table["mark"].to_numpy()[rows]
         found = _stretches(texts, size)
-        keys, _, _ = _block_keys(ids, found, bits)
-        parts, border = _by_range(keys, bits, range_bits)
-        flags = np.zeros((2, len(keys)), dtype=bool)
-        told = {p: (s, c) for p, s, c in zip(*[answers[c].to_pylist() for c in ("part", "shared", "common")])}
-        for p, a, b in zip(parts.tolist(), border[:-1].tolist(), border[1:].tolist()):
-            for k in range(2):
-                flags[k, a:b] = np.unpackbits(np.frombuffer(told[p][k], np.uint8), count=b - a)
-        mine = np.searchsorted(keys, found.key >> np.uint64(64 - bits))
-        travels = flags[0, mine]
+        parts = answers["part"].to_pylist()
+        shared, frequent = (
+            np.sort(np.concatenate([np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(p << 32) for p, x in zip(parts, answers[c].to_pylist())]))
+            for c in ("shared", "common")
+        )
+        travels = _among(found.key >> np.uint64(64 - bits), shared)
         found = _Stretches(*[c[travels] for c in (found.key, found.row, found.start, found.strings)])
-        found = _split_common(texts, found, flags[1, mine[travels]], size)
+        found = _split_common(texts, found, _among(found.key >> np.uint64(64 - bits), frequent), size)
         block = table["block"][0].as_py()
         return pa.Table.from_batches([_batch(_PIECES_ARROW, list(_packed(texts, found, ids, marks, block, shards, size)))])
 
