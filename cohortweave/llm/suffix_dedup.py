@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,16 @@ def _with_ids(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, ws.Texts, np.
     return ids.take(taken).to_numpy(zero_copy_only=False).astype(np.int64), ws.of_array(texts.take(taken)), rows
 
 
+def _places(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Numbers of a block's rows by id and text; they don't depend on the order the rows come in."""
+    order = np.lexsort((marks, ids))
+    fresh = np.ones(len(ids), dtype=bool)
+    fresh[1:] = (ids[order[1:]] != ids[order[:-1]]) | (marks[order[1:]] != marks[order[:-1]])
+    places = np.empty(len(ids), dtype=np.int32)
+    places[order] = np.cumsum(fresh) - 1
+    return places
+
+
 def _joined(array: pa.ChunkedArray | pa.Array) -> pa.Array:
     if isinstance(array, pa.ChunkedArray):
         return pa.concat_arrays([c.cast(pa.large_string()) if pa.types.is_string(c.type) else c for c in array.chunks]) if array.num_chunks else pa.array([], array.type)
@@ -138,8 +149,8 @@ def _schema(**kinds: str) -> tuple[str, pa.Schema]:
 
 _SENT, _SENT_ARROW = _schema(part="long", block="long", keys="binary", several="binary", often="binary")
 _HEARD, _HEARD_ARROW = _schema(part="long", block="long", shared="binary", common="binary")
-_PIECES, _PIECES_ARROW = _schema(shard="long", block="long", text="binary", lengths="binary", string="binary", doc="binary", mark="binary", start="binary")
-_SPANS, _SPANS_ARROW = _schema(block="long", doc="long", mark="long", start="binary", end="binary")
+_PIECES, _PIECES_ARROW = _schema(shard="long", block="long", text="binary", lengths="binary", string="binary", doc="binary", place="binary", start="binary")
+_SPANS, _SPANS_ARROW = _schema(block="long", place="binary", start="binary", end="binary")
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES, common: int = COMMON) -> DataFrame:
@@ -191,7 +202,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, text: str = "text", key: s
         if not len(table) or not len(answers):
             return pa.Table.from_batches([_batch(_PIECES_ARROW, [])])
         ids, texts, rows = _with_ids(_joined(table["doc"]), _joined(table["text"]))
-        marks = table["mark"].to_numpy()[rows]
+        places = _places(ids, table["mark"].to_numpy()[rows])
         found = _stretches(texts, size)
         parts = answers["part"].to_pylist()
         shared, frequent = (
@@ -202,7 +213,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, text: str = "text", key: s
         found = _Stretches(*[c[travels] for c in (found.key, found.row, found.start, found.strings)])
         found = _split_common(texts, found, _among(found.key >> np.uint64(64 - bits), frequent), size)
         block = table["block"][0].as_py()
-        return pa.Table.from_batches([_batch(_PIECES_ARROW, list(_packed(texts, found, ids, marks, block, shards, size)))])
+        return pa.Table.from_batches([_batch(_PIECES_ARROW, list(_packed(texts, found, ids, places, block, shards, size)))])
 
     def judge(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_batch(_SPANS_ARROW, list(_shard_spans(table, size)))])
@@ -251,8 +262,9 @@ def _numbered(body: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndar
     return number, first
 
 
-def _packed(texts: ws.Texts, found: _Stretches, ids: np.ndarray, marks: np.ndarray, block: int, shards: int, size: int) -> Iterator[tuple]:
+def _packed(texts: ws.Texts, found: _Stretches, ids: np.ndarray, places: np.ndarray, block: int, shards: int, size: int) -> Iterator[tuple]:
     """A row per shard: its different stretches, and where in which document each stands."""
+    squeeze = zstandard.ZstdCompressor(level=3)
     shard = (ws.mix(found.key) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]])) if len(order) else np.empty(0, np.int64)
@@ -264,23 +276,26 @@ def _packed(texts: ws.Texts, found: _Stretches, ids: np.ndarray, marks: np.ndarr
         body, border = _gathered(body, border[first], (border[1:] - border[:-1])[first])
         row = found.row[mine]
         yield (
-            int(shard[mine[0]]), block, _bytes(body), _bytes(np.diff(border)), _bytes(number.astype(np.int32)),
-            _bytes(ids[row]), _bytes(marks[row].astype(np.int64)), _bytes((start - texts.bounds[row]).astype(np.int64)),
+            int(shard[mine[0]]), block, squeeze.compress(_bytes(body)), _bytes(np.diff(border).astype(np.int32)), _bytes(number.astype(np.int32)),
+            _bytes(ids[row]), _bytes(places[row]), _bytes((start - texts.bounds[row]).astype(np.int32)),
         )
 
 
 def _shard_spans(table: pa.Table, size: int) -> Iterator[tuple]:
     """Spans of the stretches of one shard that a document of a lesser id has as well, per block and document."""
     raw = {c: table[c].to_pylist() for c in table.column_names}
-    long = lambda c: [np.frombuffer(x, np.int64) for x in raw[c]]
-    lengths = long("lengths")
+    arrays = lambda c, kind: [np.frombuffer(x, kind) for x in raw[c]]
+    unsqueeze = zstandard.ZstdDecompressor()
+    raw["text"] = [unsqueeze.decompress(x) for x in raw["text"]]
+    lengths = arrays("lengths", np.int32)
     counts = [len(x) for x in lengths]
     before = np.cumsum([0, *counts])
-    length = np.concatenate(lengths)
+    length = np.concatenate(lengths).astype(np.int64)
     border = np.concatenate([[0], np.cumsum(length)])
     number, first = _numbered(np.frombuffer(b"".join(raw["text"]), np.uint8), border)
     string = number[np.concatenate([np.frombuffer(x, np.int32).astype(np.int64) + b for x, b in zip(raw["string"], before[:-1])])]
-    doc, mark, start = (np.concatenate(long(c)) for c in ("doc", "mark", "start"))
+    doc = np.concatenate(arrays("doc", np.int64))
+    place, start = (np.concatenate(arrays(c, np.int32)).astype(np.int64) for c in ("place", "start"))
     block = np.repeat(raw["block"], [len(x) // 4 for x in raw["string"]])
 
     least = np.full(len(first), np.iinfo(np.int64).max)
@@ -325,12 +340,12 @@ def _shard_spans(table: pa.Table, size: int) -> Iterator[tuple]:
     rows = np.concatenate([np.flatnonzero(whole), who])
     if not len(rows):
         return
-    b, d, m = block[rows], doc[rows], mark[rows]
-    order = np.lexsort((found_at, m, d, b))
-    b, d, m, found_at, found_end = (x[order] for x in (b, d, m, found_at, found_end))
-    cuts = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (d[1:] != d[:-1]) | (m[1:] != m[:-1])]))
+    b, p = block[rows], place[rows]
+    order = np.lexsort((found_at, p, b))
+    b, p, found_at, found_end = (x[order].astype(np.int32) for x in (b, p, found_at, found_end))
+    cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(b)]):
-        yield int(b[x]), int(d[x]), int(m[x]), _bytes(found_at[x:y]), _bytes(found_end[x:y])
+        yield int(b[x]), _bytes(p[x:y]), _bytes(found_at[x:y]), _bytes(found_end[x:y])
 
 
 _KEPT = "doc long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
@@ -338,19 +353,22 @@ _KEPT = "doc long, n_bytes long, kept binary, spans array<struct<start:long,end:
 
 def _without(table: pa.Table, spans: pa.Table) -> pa.Table:
     """The rows of a block without their spans."""
-    told: dict[tuple, list] = {}
-    for d, m, s, e in zip(*[spans[c].to_pylist() for c in ("doc", "mark", "start", "end")]):
-        told.setdefault((d, m), []).append((np.frombuffer(s, np.int64), np.frombuffer(e, np.int64)))
+    places = np.full(len(table), -1, dtype=np.int64)
+    named = np.flatnonzero(_joined(table["doc"]).is_valid().to_numpy(zero_copy_only=False))
+    ids = table["doc"].take(pa.array(named)).to_numpy().astype(np.int64)
+    places[named] = _places(ids, table["mark"].to_numpy()[named])
+    of, low, high = (np.concatenate([np.frombuffer(x, np.int32) for x in spans[c].to_pylist()] or [np.empty(0, np.int32)]) for c in ("place", "start", "end"))
+    order = np.lexsort((low, of))
+    of, low, high = of[order], low[order], high[order]
+    bound = np.searchsorted(of, np.arange(places.max(initial=-1) + 2))
     rows = []
-    for d, m, text in zip(table["doc"].to_pylist(), table["mark"].to_pylist(), table["text"].to_pylist()):
+    for d, at, text in zip(table["doc"].to_pylist(), places.tolist(), table["text"].to_pylist()):
         data = text.encode()
         cut: list[tuple[int, int]] = []
-        if (d, m) in told:
-            low, high = (np.concatenate(c) for c in zip(*told[d, m]))
-            order = np.argsort(low, kind="stable")
-            low, high = low[order], np.maximum.accumulate(high[order])
-            opens = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
-            cut = list(zip(low[opens].tolist(), high[np.append(opens[1:], len(low)) - 1].tolist()))
+        if at >= 0 and bound[at] < bound[at + 1]:
+            starts, ends = low[bound[at] : bound[at + 1]], np.maximum.accumulate(high[bound[at] : bound[at + 1]])
+            opens = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]]))
+            cut = list(zip(starts[opens].tolist(), ends[np.append(opens[1:], len(starts)) - 1].tolist()))
         stays = [0, *[x for c in cut for x in c], len(data)]
         kept = b"".join([data[a:b] for a, b in zip(stays[::2], stays[1::2])])
         rows.append((d, len(data), kept, [{"start": a, "end": b} for a, b in cut]))
