@@ -61,9 +61,9 @@ def _chunk_outcomes(chunk: int, sizes: np.ndarray, limit: int) -> pd.DataFrame:
     )
 
 
-def _enter_chunks(outcomes: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """Fill of the open batch and batches opened before every chunk."""
-    rows, fill, opened = [], 0, 0
+def _enter_chunks(outcomes: pd.DataFrame, limit: int, fill: int = 0, opened: int = 0) -> pd.DataFrame:
+    """Fill of the open batch and batches opened before every chunk, from those before the first."""
+    rows = []
     for chunk, cases in outcomes.sort_values(["chunk", "head"]).groupby("chunk", sort=True):
         rows.append((int(chunk), fill, opened))
         # A full batch, or none at all yet, takes nothing of the chunk.
@@ -81,7 +81,9 @@ def _assign_chunk(groups: pd.DataFrame, fill: int, opened: int, limit: int) -> n
     return opened - 1 + np.searchsorted(np.array(starts, dtype=np.int64), np.arange(len(groups)), side="right")
 
 
-def pack_groups(sizes: DataFrame, key: str, size: str, limit: int = 20, chunk_rows: int = 100_000) -> DataFrame:
+def pack_groups(
+    sizes: DataFrame, key: str, size: str, limit: int = 20, chunk_rows: int = 100_000, fill: int = 0, opened: int = 0
+) -> DataFrame:
     """Put whole groups, in key order, into batches of at most ``limit`` members.
 
     A batch closes when the next group would overflow it; a group above the limit
@@ -89,7 +91,8 @@ def pack_groups(sizes: DataFrame, key: str, size: str, limit: int = 20, chunk_ro
     task makes that pass: chunks of ``chunk_rows`` groups first work out their
     outcome for every fill they may meet (at most ``limit`` rows each), these
     outcomes are chained, and every chunk then numbers its groups by itself. A NULL
-    key names no group and is left out.
+    key names no group and is left out. ``opened`` batches may be there already, the last
+    with ``fill`` members: then packing goes on from there.
     """
     known = sizes.where(F.col(key).isNotNull())
     numbered = global_row_number(
@@ -103,7 +106,7 @@ def pack_groups(sizes: DataFrame, key: str, size: str, limit: int = 20, chunk_ro
         return _chunk_outcomes(int(groups["chunk"].iloc[0]), groups["n"].to_numpy(), limit)
 
     def chain(cases: pd.DataFrame) -> pd.DataFrame:
-        return _enter_chunks(cases, limit)
+        return _enter_chunks(cases, limit, fill, opened)
 
     def assign(groups: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         groups = groups.sort_values("at")
@@ -129,6 +132,24 @@ def batched_cohort(series: DataFrame, key: str = "patient_id", limit: int = 20,
     return series.join(pack_groups(sizes, key, "n", limit, chunk_rows).select(key, "batch_id"), key, "left")
 
 
+def continued_batches(
+    series: DataFrame, log: DataFrame, key: str = "patient_id", limit: int = 20, chunk_rows: int = 100_000
+) -> DataFrame:
+    """Log rows ``key, n, batch_id`` of the patients that ``log`` does not have yet.
+
+    ``log`` holds the patients of earlier runs, as this function or :func:`pack_groups` gave them; it may be empty.
+    The new ones go, in key order, into the batch that was left open and those after it, so where their keys
+    come after the old ones, runs one after another give the batches of a single run. A patient of the log keeps
+    its batch, whatever is new about it.
+    """
+    sizes = series.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    new = sizes.join(log.select(key), key, "left_anti")
+    fills = log.groupBy("batch_id").agg(F.sum("n").alias("fill"))
+    last = fills.agg(F.max(F.struct("batch_id", "fill")).alias("last")).select("last.*").first()  # one row
+    fill, opened = (0, 0) if last["batch_id"] is None else (last["fill"], last["batch_id"] + 1)
+    return pack_groups(new, key, "n", limit, chunk_rows, fill, opened)
+
+
 def _with_number(records: DataFrame, key: str, out: str) -> DataFrame:
     """Number records from 0 in the order of a unique key.
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,6 +122,47 @@ def sample_shuffle(samples: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return numbered.drop("_draw").orderBy("place")
 
 
+def buffered_shuffle(samples: DataFrame, key: str, shard: str, buffer: int = 1_000, seed: int = 0) -> DataFrame:
+    """Samples of every shard in a shuffled order, and their ``place`` in it.
+
+    A shard is read in key order through a buffer: ``buffer`` samples after another are put in the order of a
+    digest of key and seed, so a sample moves by less than ``buffer`` places and no table is sorted as a whole. The
+    order depends on key and seed alone, hence is the same after a retry. A task holds one buffer.
+    """
+    drawn = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    ordered = samples.withColumn("_draw", drawn).repartition(shard).sortWithinPartitions(shard, key)
+    schema = T.StructType([*samples.schema, T.StructField("place", T.LongType())])
+    at_shard = samples.columns.index(shard)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # samples of the shard at hand that are not handed on
+        start = 0
+
+        def shuffled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            order = pc.sort_indices(rows.column("_draw"))
+            made = rows.drop_columns(["_draw"]).take(order).append_column("place", pa.array(np.arange(start, start + len(rows))))
+            yield from made.combine_chunks().to_batches()
+
+        for batch in batches:
+            column = batch.column(at_shard)
+            same = pc.fill_null(pc.equal(column.slice(1), column.slice(0, len(column) - 1)), False) if len(column) > 1 else pa.array([], pa.bool_())
+            both = pc.and_(pc.is_null(column.slice(1)), pc.is_null(column.slice(0, max(len(column) - 1, 0))))
+            cuts = [0, *(np.flatnonzero(~pc.or_(same, both).to_numpy(zero_copy_only=False)) + 1).tolist(), len(column)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                part = pa.Table.from_batches([batch.slice(a, b - a)])
+                if held is not None and not held.column(at_shard)[0].equals(part.column(at_shard)[0]):
+                    yield from shuffled(held)
+                    held, start = None, 0
+                held = part if held is None else pa.concat_tables([held, part])
+                while len(held) > buffer:
+                    yield from shuffled(held.slice(0, buffer))
+                    held, start = held.slice(buffer), start + buffer
+        if held is not None:
+            yield from shuffled(held)
+
+    return ordered.mapInArrow(run, schema)
+
+
 def label_names(samples: DataFrame, names: DataFrame, label: str = "label") -> DataFrame:
     """Names of class labels; a label without a name keeps its row."""
     return samples.join(names.select(label, "name"), label, "left")

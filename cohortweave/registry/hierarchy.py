@@ -119,6 +119,22 @@ def cohort_join(spark, sf_dir):
     return hi.cohort_join(series(spark, sf_dir).select("patient_id", "study_id", "series_id"), known)
 
 
+@query(
+    "bucketed_cohort_join",
+    f"""WITH {SERIES_SQL}, {PATIENTS_SQL} SELECT patient_id, count(*) AS n_series, max(CAST(rcb AS INT)) AS rcb
+    FROM series JOIN patients USING (patient_id) GROUP BY patient_id""",
+)
+def bucketed_cohort_join(spark, sf_dir):
+    """Series and patients in buckets of one key: joined and counted without a shuffle."""
+    known = patients(spark, sf_dir).select("patient_id", F.col("outcome.RCB").alias("rcb"))
+    sides = []
+    for name, rows in (("series", series(spark, sf_dir).select("patient_id", "series_id")), ("patients", known)):
+        path = new_path(spark, f"{name}-buckets")
+        sides.append(tables.write_bucketed(rows, path.rsplit("/", 1)[1].replace("-", "_"), path, buckets=8))
+    joined = sides[0].join(sides[1].hint("merge"), "patient_id")
+    return joined.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_series"), F.max("rcb").alias("rcb"))
+
+
 @query(
     "cohort_unmatched",
     f"""WITH {SERIES_SQL}, {PATIENTS_SQL} SELECT DISTINCT 'study' AS side, CAST(patient_id AS VARCHAR) AS patient_id, study_id
@@ -197,6 +213,30 @@ def batched_cohort(spark, sf_dir):
     return bt.batched_cohort(rows, limit=20)
 
 
+@query(
+    "batches_continued",
+    f"""WITH RECURSIVE {SERIES_SQL}, sizes AS (
+      SELECT patient_id, count(*) AS n, row_number() OVER (ORDER BY patient_id) AS seq FROM series GROUP BY patient_id),
+    packed AS (
+      SELECT seq, patient_id, n, n AS fill, CAST(0 AS BIGINT) AS batch_id FROM sizes WHERE seq = 1 UNION ALL
+      SELECT s.seq, s.patient_id, s.n, CASE WHEN p.fill + s.n > 20 THEN s.n ELSE p.fill + s.n END,
+             CASE WHEN p.fill + s.n > 20 THEN p.batch_id + 1 ELSE p.batch_id END
+      FROM packed p JOIN sizes s ON s.seq = p.seq + 1)
+    SELECT patient_id, n, batch_id FROM packed""",
+)
+def batches_continued(spark, sf_dir):
+    """Three runs, each with more patients than the one before, and a log that grows: the batches of a single run."""
+    path = new_path(spark, "batch-log")
+    rows = series(spark, sf_dir).select("patient_id", "series_id")
+    upto = table(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("most"))
+    spark.createDataFrame([], "patient_id long, n long, batch_id long").write.parquet(path)
+    for part in (0.3, 0.31, 1.0):
+        arrived = rows.where(F.col("patient_id") <= upto.scalar() * part)
+        new = written(bt.continued_batches(arrived, spark.read.parquet(path), limit=20), "batch-log-part")
+        new.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(
     "batch_partitions",
     f"""WITH RECURSIVE {SERIES_SQL}, sizes AS (

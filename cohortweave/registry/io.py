@@ -12,6 +12,7 @@ from cohortweave.operators.shared import new_path
 from cohortweave.registry.base import SERIES_SQL, query, series, table
 from cohortweave.sources import tables
 from cohortweave.sources.files import AccessError, fetch_and_decode
+from cohortweave.sources.slice_tree import slice_tree
 from cohortweave.sources.text import read_description_counts, read_id_list
 
 
@@ -78,6 +79,37 @@ def fetch_status(spark, sf_dir):
     return fetch_and_decode(paths, _line_decoder, schema, _text_of).drop("reason")
 
 
+@query(
+    "observed_failures",
+    """SELECT status, count(*) AS n FROM (SELECT CASE WHEN page_id % 7 = 0 THEN 'access_error' ELSE 'ok' END AS status FROM pages) GROUP BY status
+    UNION ALL SELECT 'metadata_error', 0 UNION ALL SELECT '', count(*) FROM pages""",
+)
+def observed_failures(spark, sf_dir):
+    """Failures counted while the rows are written."""
+    counts = tables.write_counted(fetch_status(spark, sf_dir), new_path(spark, "counted"), "status", ["ok", "access_error", "metadata_error"])
+    return spark.createDataFrame(list(counts.items()), "status string, n long")
+
+
+@query(
+    "slice_tree",
+    """SELECT concat('c_nationkey=', c_nationkey) AS study_id, concat('c_mktsegment=', c_mktsegment) AS series_id,
+      count(*) AS n_lines, CAST(sum(octet_length(encode(c_name)) + 1) AS BIGINT) AS n_bytes, count(DISTINCT c_custkey % 3) AS n_files
+    FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey <> 3 GROUP BY c_nationkey, c_mktsegment""",
+)
+def slice_tree_of_customers(spark, sf_dir):
+    """A tree made from the customers and read by a source that lists in tasks; series are named, one study is not wanted."""
+    path = new_path(spark, "slice-tree")
+    rows = table(spark, sf_dir, "customer").select("c_name", "c_nationkey", "c_mktsegment", F.pmod("c_custkey", F.lit(3)).alias("third"))
+    for third in range(3):
+        part = rows.where(F.col("third") == third).drop("third").repartition("c_nationkey", "c_mktsegment")
+        part.write.mode("append").partitionBy("c_nationkey", "c_mktsegment").text(path)
+    wanted = slice_tree(spark, path, "*.txt", tasks=8, series=["c_mktsegment=BUILDING", "c_mktsegment=MACHINERY"])
+    lines = F.size(F.split(F.decode("content", "utf-8"), "\n")) - 1
+    return wanted.where("study_id <> 'c_nationkey=3'").groupBy("study_id", "series_id").agg(
+        F.sum(lines).alias("n_lines"), F.sum("length").alias("n_bytes"), F.count(F.lit(1)).alias("n_files")
+    )
+
+
 @query(
     "sibling_features",
     f"""WITH {SERIES_SQL}, named AS (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortweave.functions.text import description_flags
 from cohortweave.operators import reports as rp
 from cohortweave.operators import samples as sm
+from cohortweave.operators.shared import new_path
 from cohortweave.registry.base import SERIES_SQL, query, series, slices, table
 from cohortweave.sources.text import typed_description_counts
 
@@ -72,6 +73,24 @@ def description_ranking_ascending(spark, sf_dir):
     return rp.description_ranking(counts, descending=False)
 
 
+@query(
+    "patients_sketched",
+    f"""WITH {_FILES_SQL} SELECT description, count(DISTINCT name.family) AS num, TRUE AS near, count(*) AS n_files
+    FROM files WHERE time_point = 'T1' GROUP BY description""",
+)
+def patients_sketched(spark, sf_dir):
+    """Sketches of two halves of the files, written and put together, next to the exact counts."""
+    path = new_path(spark, "patient-sketches")
+    rows = files(spark, sf_dir)
+    for half in (0, 1):
+        rp.patient_sketches(rows.where(F.col("series_id") % 2 == half)).write.mode("append").parquet(path)
+    sketches = rp.merged_sketches(spark.read.parquet(path))
+    exact = rp.patients_by_description(rows, time_point="T1").withColumnRenamed("num", "exact")
+    counted = sketches.where("time_point = 'T1'").select("description", "n_files")
+    joined = rp.sketched_patients(sketches, "T1").join(exact, "description").join(counted, "description")
+    return joined.select("description", F.col("exact").alias("num"), (F.abs(F.col("num") - F.col("exact")) <= 1 + 0.06 * F.col("exact")).alias("near"), "n_files")
+
+
 @query(
     "label_distribution",
     "SELECT CAST(label AS INT) AS class_id, count(*) AS n FROM embeddings GROUP BY label",
@@ -92,6 +111,24 @@ def pixel_histogram(spark, sf_dir):
     return rp.pixel_histogram(table(spark, sf_dir, "embeddings"), "embedding")
 
 
+@query(
+    "pixel_histogram_sketched",
+    """WITH v AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings),
+    ends AS (SELECT min(value) AS low, max(value) AS high FROM v),
+    binned AS (SELECT CAST(greatest(least(floor((value - low) / (high - low) * 30), 29), 0) AS BIGINT) AS bin FROM v, ends)
+    SELECT bin, count(*) AS n, TRUE AS near FROM binned GROUP BY bin""",
+)
+def pixel_histogram_sketched(spark, sf_dir):
+    """Sketches per class put together, next to the exact counts."""
+    images = table(spark, sf_dir, "embeddings")
+    sketch = rp.merged_pixel_sketches(rp.pixel_sketch(images, "label", pixels="embedding"))
+    exact = rp.pixel_histogram(images, "embedding").withColumnRenamed("n", "exact")
+    total = images.select(F.size("embedding").alias("n")).agg(F.sum("n").alias("total"))
+    joined = exact.join(rp.sketched_histogram(sketch), "bin", "left")
+    near = F.abs(F.coalesce("n", F.lit(0)) - F.col("exact")) <= 0.02 * total.scalar()
+    return joined.select("bin", F.col("exact").alias("n"), near.alias("near"))
+
+
 @query(
     "metadata_distribution",
     """SELECT 'lang' AS column_name, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL

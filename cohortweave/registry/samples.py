@@ -159,6 +159,18 @@ def sample_shuffle(spark, sf_dir):
     return sm.sample_shuffle(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", seed=3)
 
 
+@query(
+    "buffered_shuffle",
+    """WITH numbered AS (
+      SELECT vec_id, vec_id % 7 AS shard, (row_number() OVER (PARTITION BY vec_id % 7 ORDER BY vec_id) - 1) // 20 AS buffer FROM embeddings)
+    SELECT vec_id, shard, row_number() OVER (PARTITION BY shard ORDER BY buffer, md5(concat(CAST(vec_id AS VARCHAR), ':5'))) - 1 AS place
+    FROM numbered""",
+)
+def buffered_shuffle(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("shard"))
+    return sm.buffered_shuffle(rows, "vec_id", "shard", buffer=20, seed=5)
+
+
 @query(
     "label_names",
     "SELECT c_custkey, c_nationkey AS label, n_name AS name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cohortweave.functions.values import bucket_of
@@ -83,6 +83,30 @@ def write_batches(
     )
 
 
+def write_bucketed(records: DataFrame, name: str, path: str, key: str = "patient_id", buckets: int = 64) -> DataFrame:
+    """A table in buckets by ``key``, under ``path`` and a name of the catalog; returns it as it is read back.
+
+    Tables with as many buckets of one key are joined and grouped by it without a shuffle, run after run. Rows meet in
+    their bucket before they are written, so a bucket is one file.
+    """
+    spark = records.sparkSession
+    dealt = records.repartition(buckets, key)
+    dealt.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def write_counted(rows: DataFrame, path: str, by: str, values: Sequence[str], mode: str = "overwrite") -> dict[str, int]:
+    """Write rows and count them on the way: all (``""``), and those with each of the ``values`` in column ``by``.
+
+    The counts come with the write, so nothing is read a second time.
+    """
+    seen = Observation(f"counts of {by}")
+    counts = [F.count_if(F.col(by) == v).alias(f"n{i}") for i, v in enumerate(values)]
+    rows.observe(seen, F.count(F.lit(1)).alias("n"), *counts).write.mode(mode).parquet(path)
+    found = seen.get
+    return {"": int(found["n"])} | {v: int(found[f"n{i}"]) for i, v in enumerate(values)}
+
+
 def shard_counts(spark: SparkSession, path: str) -> DataFrame:
     """Records per shard file, from the file footers alone where possible."""
     return (
