@@ -214,22 +214,10 @@ class _Text:
         return b" ".join([data[a:b] for a, b in zip(start.tolist(), end.tolist())])
 
 
-def exact_numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A number per span of ``data``, in their order; equal spans, and only they, have equal numbers."""
-    offsets = np.zeros(len(start) + 1, dtype=np.int64)
-    np.cumsum(end - start, out=offsets[1:])
-    edge = np.zeros(len(data) + 1, dtype=np.int8)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, end, -1)
-    body = pa.py_buffer(np.ascontiguousarray(data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]))
-    named = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), body])
-    return named.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def word_codes(texts: ws.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Borders of all words and an exact number per word."""
     start, end = ws.spans(~ws._SPACE[texts.data], texts.bounds)
-    return start, end, exact_numbers(texts.data, start, end)
+    return start, end, ws.exact_numbers(texts.data, start, end)
 
 
 def planted(doc_id: int | None, n: int) -> np.ndarray | None:

@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortweave.llm import wordspans as ws
-from cohortweave.llm.periodic_runs import exact_numbers
 from cohortweave.llm.rowmaps import column, read_table
 from cohortweave.operators.shared import written
 
@@ -204,7 +203,7 @@ def _spelled(ready: list):
                 owner = np.searchsorted(chunk.bounds, found.start, side="right") - 1
                 spoken = mine[owner]
                 two, pairs, three, triples = found.phrases()
-                number = exact_numbers(found.texts.data, found.start, found.end)
+                number = ws.exact_numbers(found.texts.data, found.start, found.end)
                 number = np.unique(spoken * (number.max() + 1) + number, return_inverse=True)[1]
                 size = number.max() + 1
                 paired = np.unique(number[two] * size + number[two + 1], return_inverse=True)[1]

@@ -98,8 +98,7 @@ def _repeated_words(found: wordspans.Words, n: int) -> np.ndarray:
 def _chunk_counts(texts: wordspans.Texts) -> dict[str, np.ndarray]:
     n = len(texts)
     data = texts.data
-    hashes = wordspans.RunHashes(wordspans.byte_values(data))
-    found = wordspans.words(texts, hashes)
+    found = wordspans.words(texts)
     space = np.zeros(256, dtype=bool)
     space[[9, 10, 11, 12, 13, 32]] = True
     solid = ~space[data]
@@ -115,7 +114,7 @@ def _chunk_counts(texts: wordspans.Texts) -> dict[str, np.ndarray]:
         "n_words": found.counts(),
         "word_chars": wordspans.per_text(solid & point, texts.bounds),
         "n_symbols": wordspans.per_text(_SYMBOL[data], texts.bounds),
-        "n_dup_lines": n_lines - _distinct_per_text(line_owner, hashes.of(line_start, line_end), n),
+        "n_dup_lines": n_lines - _distinct_per_text(line_owner, wordspans.span_hashes(data, line_start, line_end), n),
         "n_repeat_words": _repeated_words(found, n),
         "n_capitals": wordspans.per_text(_CAPITAL[data], texts.bounds),
         "n_lines": n_lines,

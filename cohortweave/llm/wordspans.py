@@ -1,9 +1,9 @@
 """Words, lines and their hashes for whole Arrow batches of texts, without a loop over words.
 
 A text is a run of UTF-8 bytes. Words end at ASCII white space (x09-x0D, x20), which never
-occurs inside a longer UTF-8 sequence, so bytes are enough. The hash of any run of bytes comes
-from prefix sums of a polynomial over 2**64: ``(S[end] - S[start]) * B**-start``, finished by a
-mixing step. Equal runs have equal hashes; different ones agree with a chance of about 2**-64.
+occurs inside a longer UTF-8 sequence, so bytes are enough. Words and lines are numbered exactly,
+and each different one is hashed as a whole (``span_hashes``). ``RunHashes`` is cheaper, but texts can be
+made that it takes for equal: it only serves where a later step looks at the texts themselves.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 20  # texts are handled in pieces of this size; a longer text is a piece of its own
 
@@ -58,7 +59,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RunHashes:
-    """Hashes of runs of an array of values below 2**32 (bytes or code points)."""
+    """Hashes of runs of bytes from prefix sums of a polynomial over 2**64. Equal runs have equal ones; not the reverse."""
 
     def __init__(self, values: np.ndarray):
         """``values``: one 64-bit value per element, such as ``byte_values`` gives."""
@@ -149,10 +150,37 @@ def spans(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def words(texts: Texts, hashes: RunHashes | None = None) -> Words:
+def _named(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.DictionaryArray:
+    """Spans of ``data``, which are in order and don't overlap, as one dictionary."""
+    offsets = np.zeros(len(start) + 1, dtype=np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    body = pa.py_buffer(np.ascontiguousarray(data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), body]).dictionary_encode()
+
+
+def exact_numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number per span of ``data``, in their order; equal spans, and only they, have equal numbers."""
+    return _named(data, start, end).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, worked out once for each different span."""
+    named = _named(data, start, end)
+    body, offsets = memoryview(named.dictionary.buffers()[2] or b""), np.frombuffer(named.dictionary.buffers()[1], np.int64)
+    low = offsets[named.dictionary.offset : named.dictionary.offset + len(named.dictionary) + 1].tolist()
+    hashed = np.array([xxhash.xxh3_64_intdigest(body[a:b], _SEED) for a, b in zip(low[:-1], low[1:])], dtype=np.uint64)
+    return hashed[named.indices.to_numpy(zero_copy_only=False)] if len(start) else np.empty(0, np.uint64)
+
+
+_SEED = 0x51ED270B
+
+
+def words(texts: Texts) -> Words:
     start, end = spans(~_SPACE[texts.data], texts.bounds)
-    hashes = hashes or RunHashes(byte_values(texts.data))
-    return Words(start, end, hashes.of(start, end), np.searchsorted(start, texts.bounds))
+    return Words(start, end, span_hashes(texts.data, start, end), np.searchsorted(start, texts.bounds))
 
 
 _STEP = np.uint64(0xA24BAED4963EE407)
