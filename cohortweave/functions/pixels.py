@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cohortweave.functions.values import bound
+from cohortweave.functions.values import bound, drawn
 from cohortweave.schemas import ABSENT_IMAGE_VALUE, CHANNEL_MEANS
 
 
@@ -87,8 +87,29 @@ def top_k(scores: Column, k: int) -> Column:
 
 def unit_hash(key: Column, seed: int, place: Column | None = None) -> Column:
     """Repeatable number in [0, 1) for a row, or for a place in a row."""
-    parts = [key, F.lit(seed)] + ([] if place is None else [place])
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
+    whole = key.cast("string") if place is None else F.concat_ws("/", key.cast("string"), place.cast("string"))
+    return drawn(whole, seed).cast("double") / F.lit(float(1 << 52))
+
+
+NOISE_MODULUS = 2_147_483_647  # a prime; squares of what is below it fit into 64 bits
+
+
+def noise_uniforms(base: np.ndarray, n: int, stream: int) -> np.ndarray:
+    """``n`` numbers between 0 and 1 for each base (below the modulus): a function of base, place and stream alone."""
+    own, place = base[:, None].astype(np.int64), np.arange(n, dtype=np.int64)[None, :]
+    r = (own + stream * 16_807 + place * 48_271) % NOISE_MODULUS
+    r = (r * r + own) % NOISE_MODULUS
+    r = (r * r + place * 69_621 + stream) % NOISE_MODULUS
+    return (r + 0.5) / NOISE_MODULUS
+
+
+def noisy_batch(images: np.ndarray, base: np.ndarray, stddev: float) -> np.ndarray:
+    """Images (n, height, width) with Gaussian noise, cut to 0..1."""
+    n, size = len(images), images.shape[1] * images.shape[2]
+    radius = np.sqrt(-2.0 * np.log(1.0 - noise_uniforms(base, size, 1)))
+    normal = radius * np.cos(2.0 * np.pi * noise_uniforms(base, size, 2))
+    noisy = images.reshape(n, size).astype(np.float64) + stddev * normal
+    return np.clip(noisy.astype(np.float32), 0.0, 1.0).reshape(images.shape)
 
 
 def with_noise(pixels: Column, stddev: float, uniform) -> Column:

@@ -40,6 +40,12 @@ def typed_list(texts: Column, type_name: str) -> Column:
     return F.transform(texts, lambda x: x.try_cast(type_name))
 
 
+def drawn(key: Column, seed: int | str, digits: int = 13) -> Column:
+    """A whole number of ``digits`` hexadecimal digits for a key and a seed, the same on every engine."""
+    digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
+
+
 def bucket_of(key: Column, buckets: int, seed: int = 0) -> Column:
     """Repeatable bucket of a key, the same on every run and after any retry."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets))
+    return F.pmod(drawn(key, seed, 15), F.lit(buckets).cast("bigint"))

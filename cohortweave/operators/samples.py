@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortweave.functions import pixels as px
-from cohortweave.functions.values import bound, known
+from cohortweave.functions.values import drawn, known
 from cohortweave.operators.ranking import global_row_number, joined_to, least_values
 from cohortweave.schemas import (
     MAX_ROTATION,
@@ -238,16 +238,27 @@ def augmented(samples: DataFrame, key: str = "patient_id", seed: int = 0) -> Dat
     """Random turn, noise and flips, decided by the key and the seed alone.
 
     Half of the images turn by up to 0.2 radians. Half get noise, a clip to 0..1 and,
-    half of those again, an up-down flip. Half of all flip left to right.
+    half of those again, an up-down flip. Half of all flip left to right. What happens to
+    a row is drawn by expressions; its pixels are worked on in one pass over Arrow batches.
     """
     chance = lambda stream: px.unit_hash(F.col(key), seed * 16 + stream)
-    angle = F.when(chance(0) > 0.5, (chance(1) * 2 - 1) * MAX_ROTATION).otherwise(0.0)
-    turned = rotated(samples.withColumn("_angle", angle), "_angle").drop("_angle")
-
-    height, width = F.col("height"), F.col("width")
-    uniform = lambda stream, i: px.unit_hash(F.col(key), seed * 16 + 4 + stream, i)
-    noise = px.clipped(px.with_noise(F.col("pixels"), NOISE_STDDEV, uniform))
-    tilted = bound(noise, lambda noisy: F.when(chance(3) > 0.5, px.flipped_up_down(noisy, height, width)).otherwise(noisy))
-    pixels = turned.withColumn("pixels", F.when(chance(2) > 0.5, tilted).otherwise(F.col("pixels")))
-    mirrored = px.flipped_left_right(F.col("pixels"), height, width)
-    return pixels.withColumn("pixels", F.when(chance(7) > 0.5, mirrored).otherwise(F.col("pixels")))
+    drawn_row = samples.withColumns(
+        {
+            "_angle": F.when(chance(0) > 0.5, (chance(1) * 2 - 1) * MAX_ROTATION).otherwise(0.0),
+            "_noisy": chance(2) > 0.5,
+            "_up": chance(3) > 0.5,
+            "_mirrored": chance(7) > 0.5,
+            "_base": F.pmod(drawn(F.col(key), seed * 16 + 4, 8), F.lit(px.NOISE_MODULUS).cast("bigint")),
+        }
+    )
+
+    def apply(images: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+        angle, base = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_angle", "_base"))
+        noisy, up, mirrored = (part.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("_noisy", "_up", "_mirrored"))
+        images = px.rotate_batch(images, angle.astype(np.float64)).copy()
+        images[noisy] = px.noisy_batch(images[noisy], base[noisy], NOISE_STDDEV)
+        images[noisy & up] = images[noisy & up][:, ::-1]
+        images[mirrored] = images[mirrored][:, :, ::-1]
+        return images
+
+    return _map_images(drawn_row, apply).select(*samples.columns)

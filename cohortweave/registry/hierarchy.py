@@ -291,20 +291,16 @@ def patient_shards(spark, sf_dir):
 
 @query(
     "shard_counts",
-    """SELECT c_nationkey % 4 AS shard_no, count(*) AS n_records FROM customer GROUP BY c_nationkey % 4""",
+    """WITH numbered AS (SELECT row_number() OVER () - 1 AS k, count(*) OVER () AS total FROM customer)
+    SELECT n_records, count(*) AS n_files FROM (SELECT k // (total // 4 + 1) AS shard, count(*) AS n_records FROM numbered GROUP BY shard)
+    GROUP BY n_records""",
 )
 def shard_counts(spark, sf_dir):
-    """Customers in four shard files, counted by file; the first customer of a file names its shard."""
+    """Customers in four shard files of one folder, the last one shorter, counted by file."""
     path = new_path(spark, "shards")
-    rows = table(spark, sf_dir, "customer").withColumn("shard_no", F.col("c_nationkey") % 4)
-    tables.write_sharded(rows.where("shard_no = 0"), f"{path}/0", 1)
-    for shard in range(1, 4):
-        tables.write_sharded(rows.where(F.col("shard_no") == shard), f"{path}/{shard}", 1)
-    counted = [tables.shard_counts(spark, f"{path}/{shard}").select(F.lit(shard).alias("shard_no"), "n_records") for shard in range(4)]
-    out = counted[0]
-    for more in counted[1:]:
-        out = out.unionByName(more)
-    return out.groupBy(F.col("shard_no").cast("bigint").alias("shard_no")).agg(F.sum("n_records").alias("n_records"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    rows.coalesce(1).write.option("maxRecordsPerFile", rows.count() // 4 + 1).parquet(path)
+    return tables.shard_counts(spark, path).groupBy("n_records").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @query(
@@ -335,8 +331,12 @@ def split_by_position(spark, sf_dir):
     return bt.split_by_position(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
 
 
-@query("split_hash")
+@query(
+    "split_hash",
+    """WITH b AS (SELECT c_custkey, CAST('0x' || left(md5(concat(c_custkey, ':7')), 15) AS BIGINT) % 100 AS bucket FROM customer)
+    SELECT *, CASE WHEN bucket < 80 THEN 'train' WHEN bucket < 90 THEN 'val' ELSE 'test' END AS split FROM b""",
+)
 def split_hash(spark, sf_dir):
-    """The default split; the hash has no SQL twin, so only its rows are checked."""
+    """The default split and the buckets behind it."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", bucket_of(F.col("c_custkey"), 100, 7).alias("bucket"))
     return bt.split_by_key(rows, "c_custkey", seed=7)

@@ -129,10 +129,35 @@ def augment_rotate(spark, sf_dir):
     return cells(sm.rotated(images(spark, sf_dir).withColumn("angle", angle), "angle"), F.col("pixels"))
 
 
-@query("augment_random")
+def _drawn_sql(stream: int) -> str:
+    return f"(CAST('0x' || left(md5(concat(vec_id, ':{11 * 16 + stream}')), 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+def _noise_sql(stream: int) -> str:
+    first = f"((base + {stream * 16807} + p * 48271) % {px.NOISE_MODULUS})"
+    second = f"(({first} * {first} + base) % {px.NOISE_MODULUS})"
+    return f"((({second} * {second} + p * 69621 + {stream}) % {px.NOISE_MODULUS} + 0.5::DOUBLE) / {px.NOISE_MODULUS}.0::DOUBLE)"
+
+
+@query(
+    "augment_random",
+    f"""WITH draws AS (
+      SELECT vec_id, embedding, CASE WHEN {_drawn_sql(0)} > 0.5 THEN ({_drawn_sql(1)} * 2 - 1) * 0.2::DOUBLE ELSE 0.0::DOUBLE END AS a,
+        {_drawn_sql(2)} > 0.5 AS noisy, {_drawn_sql(3)} > 0.5 AS up, {_drawn_sql(7)} > 0.5 AS mirrored,
+        CAST('0x' || left(md5(concat(vec_id, ':{11 * 16 + 4}')), 8) AS BIGINT) % {px.NOISE_MODULUS} AS base FROM embeddings),
+    turned AS (SELECT *, CAST(p % 8 AS DOUBLE) - 3.5::DOUBLE AS x, CAST(p // 8 AS DOUBLE) - 3.5::DOUBLE AS y
+      FROM draws, (SELECT unnest(range(64))::BIGINT AS p)),
+    source AS (SELECT *, CAST(floor(cos(a) * x - sin(a) * y + 4.0::DOUBLE) AS BIGINT) AS sx, CAST(floor(sin(a) * x + cos(a) * y + 4.0::DOUBLE) AS BIGINT) AS sy FROM turned),
+    moved AS (SELECT *, CASE WHEN sx BETWEEN 0 AND 7 AND sy BETWEEN 0 AND 7 THEN embedding[sy * 8 + sx + 1] ELSE 0::FLOAT END AS v FROM source),
+    noised AS (SELECT *, CASE WHEN noisy THEN greatest(least(CAST(CAST(v AS DOUBLE)
+      + 0.2::DOUBLE * (sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {_noise_sql(1)})) * cos(2.0::DOUBLE * pi() * {_noise_sql(2)})) AS FLOAT), 1::FLOAT), 0::FLOAT)
+      ELSE v END AS w FROM moved)
+    SELECT vec_id, CAST((CASE WHEN noisy AND up THEN 7 - p // 8 ELSE p // 8 END) * 8
+      + (CASE WHEN mirrored THEN 7 - p % 8 ELSE p % 8 END) AS INT) AS place, round(CAST(w AS DOUBLE), 4) + 0.0 AS value FROM noised""",
+)
 def augment_random(spark, sf_dir):
-    """All augmentations with their own hash, which SQL lacks; only the rows are checked."""
-    return cells(sm.augmented(images(spark, sf_dir), "vec_id", seed=11), F.col("pixels"))
+    """All augmentations of the operator, by its own draws."""
+    return cells(sm.augmented(images(spark, sf_dir), "vec_id", seed=11), F.col("pixels"), 4)
 
 
 _RESIZE_SQL = """WITH out AS (SELECT unnest(range(16)) AS o),
