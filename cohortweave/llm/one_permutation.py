@@ -2,13 +2,14 @@
 
 Every shingle of five words (in lower case) is hashed once. The top bits of the hash name one of
 ``BINS`` bins, which keeps its least hash. A bin that no shingle fell into takes the value of
-another by optimal densification: its probes, hashes of the bin's number and the attempt, are
-followed to the first bin that is not empty. The ``BITS`` low-order bits of each value, packed as hex digits, are the
+another by optimal densification: every bin has an order of its own in which it looks at all bins, from a hashed
+start by a hashed odd step, and takes the first that is not empty, the same for all texts. The ``BITS`` low-order bits of each value, packed as hex digits, are the
 fingerprint. Two bins of different documents agree by chance once in ``2**BITS``, so the likeness
 of two fingerprints is ``(equal - 1/16) / (1 - 1/16)``, cut off at 0.
 
 Only DataFrame functions are used. Shingles, bins and probes are arrays inside a row: nothing is
-exploded, and texts move only where the next document's head is needed.
+exploded. Texts move once, to meet their next id by their own, and that one shuffle serves both to send
+each text's head, no longer than the document before can use, and to receive the next one's.
 
 *Next document*: that of the next greater id. Ids are numbered over range partitions, so no window
 covers the table; the head is fetched by a join of ids. Of several rows with one id the head is that
@@ -32,16 +33,18 @@ from cohortweave.operators.shared import written
 SHINGLE = 5
 BINS = 256
 BITS = 4  # one hex digit a bin
-PROBES = 6  # tried before all bins are walked through
+PROBES = 6  # places of a bin's order that are looked at before the whole order is written down
 
 _SPACE = r"[\x09-\x0D\x20]+"
 _SHIFT = 63 - BINS.bit_length() + 1  # a hash without its sign has 63 bits
 _LOW = (1 << _SHIFT) - 1
 
 
-def _probe(bin_no: Column, attempt: int) -> Column:
-    """A fixed hash of a bin and an attempt: where an empty bin looks."""
-    return F.pmod(F.xxhash64(bin_no, F.lit(attempt)), F.lit(BINS)).cast("int")
+def _probe(bin_no: Column, attempt: Column | int) -> Column:
+    """Where an empty bin looks at its ``attempt``: 256 attempts see all bins, in an order of the bin's own."""
+    start = F.pmod(F.xxhash64(bin_no, F.lit(0)), F.lit(BINS))
+    step = F.pmod(F.xxhash64(bin_no, F.lit(1)), F.lit(BINS // 2)) * 2 + 1
+    return F.pmod(start + step * attempt, F.lit(BINS)).cast("int")
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -80,8 +83,8 @@ def densified(minima: Column) -> Column:
 
         def value(x: Column, b: Column) -> Column:
             tries = [used(F.get(values, _probe(b, k))) for k in range(PROBES)]
-            # Every bin in a fixed order from here on; rare but for very short texts.
-            rest = F.filter(F.transform(F.sequence(F.lit(1), F.lit(BINS)), lambda k: F.get(values, F.pmod(b + k * 101, F.lit(BINS)))), lambda v: low(v) != _LOW)
+            # The same order to its end; needed for short texts only.
+            rest = F.filter(F.transform(F.sequence(F.lit(PROBES), F.lit(BINS - 1)), lambda k: F.get(values, _probe(b, k))), lambda v: low(v) != _LOW)
             return F.coalesce(used(x), *tries, F.get(rest, F.lit(0)))
 
         return F.transform(values, value)
@@ -123,11 +126,15 @@ def edited_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """Per row ``_key, _text``, its ``_next`` id, and ``_edited``: its last quarter replaced by the next document's head."""
     rows = docs.select(column(key).alias("_key"), F.coalesce(column(text).cast("string"), F.lit("")).alias("_text"))
     order = written(next_ids(docs, key), "next-ids")
-    one = rows.where("_key IS NOT NULL").groupBy("_key").agg(F.min("_text").alias("_text"), F.max(F.length("_text")).alias("_n"))
-    # Each id sends its text's head, as long as the one before it can use, to the id before it.
-    before = order.join(one.select(F.col("_key"), F.col("_n").alias("_asked")), "_key").select(F.col("_next").alias("_key"), F.col("_key").alias("_to"), F.floor(F.col("_asked") / 4).cast("int").alias("_take"))
-    heads = one.join(before, "_key").select(F.col("_to").alias("_key"), F.col("_key").alias("_next"), F.substring("_text", F.lit(1), F.col("_take")).alias("_head"))
-    joined = rows.join(heads, "_key", "left")
+    # Numbers alone: who needs how much of whose head.
+    asked = rows.where("_key IS NOT NULL").groupBy("_key").agg(F.max(F.length("_text")).alias("_n"))
+    before = order.join(asked, "_key").select(F.col("_next").alias("_key"), F.col("_key").alias("_to"), F.floor(F.col("_n") / 4).cast("int").alias("_take"))
+    # Both joins are by the text's own id, on the same rows, so texts are shuffled once.
+    named = rows.where("_key IS NOT NULL")
+    sent = named.join(before, "_key").select("_to", "_key", F.substring("_text", F.lit(1), F.col("_take")).alias("_head"))
+    heads = sent.groupBy("_to", "_key").agg(F.min("_head").alias("_head")).select(F.col("_to").alias("_key"), F.col("_key").alias("_next"), "_head")
+    nameless = rows.where("_key IS NULL").select("*", F.lit(None).cast(docs.schema[key].dataType).alias("_next"), F.lit(None).cast("string").alias("_head"))
+    joined = named.join(heads, "_key", "left").select("_key", "_text", "_next", "_head").unionByName(nameless)
     quarter = F.floor(F.length("_text") / 4).cast("int")
     head = F.substring(F.coalesce("_head", F.lit("")), F.lit(1), quarter)
     return joined.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), F.length("_text") - quarter), head)).drop("_head")
