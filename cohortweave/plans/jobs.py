@@ -25,7 +25,8 @@ from cohortweave.schemas import (
     SLICES,
 )
 from cohortweave.sources import files as files_source
-from cohortweave.sources.tables import write_batches, write_fixed_shards
+from cohortweave.sources.slice_tree import slice_tree
+from cohortweave.sources.tables import write_batches, write_counted, write_fixed_shards
 from cohortweave.sources.text import read_header_csv, read_positional_csv
 
 COHORT_TABLES = [
@@ -40,6 +41,9 @@ COHORT_TABLES = [
     "records",
 ]
 
+SLICE_STATUSES = ["ok", "access_error", "metadata_error", "unknown_error", "pixel_count"]
+SERIES_FAULTS = ["failed_slice", "mixed_size", "repeated_path"]
+
 
 def build_patients(outcomes: DataFrame, clinical: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid patients and the quarantine, from the rows of the two files."""
@@ -54,16 +58,18 @@ def build_cohort(
     subset: DataFrame | Sequence | None = None,
     descriptions: Sequence[str] = tuple(IMAGE_DESCRIPTIONS),
     paths: DataFrame | None = None,
+    counts: dict[str, dict[str, int]] | None = None,
 ) -> dict[str, str]:
     """Read the patient files and the image tree, and write every table of the cohort.
 
     Series are those with an allowed description, or exactly those of ``subset``.
-    ``paths``, a table with a ``path`` column, takes the place of a listing: then no
-    list of files passes through the driver.
+    The tree is listed by tasks; ids given as a list decide before a folder of theirs is listed.
+    ``paths``, a table with a ``path`` column, takes the place of a listing.
     Files are filtered by their paths first, then fetched and decoded in the tasks;
     ``decoder(path, content)`` gives the columns of ``schemas.SLICES``. Rows that fail
     go to quarantine tables. An image feature of the records names the series whose
-    voxels are in the volume table. Returns the path of every table.
+    voxels are in the volume table. Returns the path of every table. ``counts`` is given the rows of
+    slices and of faulty series by status or reason, counted while they are written.
     """
     out = {name: f"{config.output_path}/{name}" for name in COHORT_TABLES}
 
@@ -71,6 +77,12 @@ def build_cohort(
         df.write.mode("overwrite").parquet(out[name])
         return spark.read.parquet(out[name])
 
+    def save_counted(df: DataFrame, name: str, by: str, values: Sequence[str]) -> DataFrame:
+        found = write_counted(df, out[name], by, values)
+        if counts is not None:
+            counts[name] = found
+        return spark.read.parquet(out[name])
+
     outcomes = read_positional_csv(spark, config.outcomes_path, OUTCOME_COLUMNS)
     clinical = read_positional_csv(spark, config.clinical_path, CLINICAL_COLUMNS)
     good, rejected = build_patients(outcomes, clinical)
@@ -78,7 +90,8 @@ def build_cohort(
     save(rejected, "patient_quarantine")
 
     if paths is None:
-        files = files_source.list_files(spark, config.studies_root, config.file_pattern)
+        named = None if subset is None or isinstance(subset, DataFrame) else [str(s) for s in subset]
+        files = slice_tree(spark, config.studies_root, config.file_pattern, content=False, series=named)
     else:
         files = files_source.files_of_paths(paths)
     listed = files_source.series_directories(files).withColumnRenamed("series_path", "path")
@@ -102,11 +115,11 @@ def build_cohort(
             "study_id": F.coalesce("study_id", F.element_at(parts, -3)),
         }
     )
-    slices = save(sr.check_pixels(tagged), "slices")
+    slices = save_counted(sr.check_pixels(tagged), "slices", "status", SLICE_STATUSES)
     series = save(sr.series_metadata(slices), "series")
     save(sr.volume_blocks(slices, config.max_voxels), "volumes")
     # Ids are numbers and studies have one owner before anything is made by patient.
-    faulty = save(sr.series_quarantine(slices), "series_quarantine").select("series_id")
+    faulty = save_counted(sr.series_quarantine(slices), "series_quarantine", "reason", SERIES_FAULTS).select("series_id")
     valid = series.where("status = 'ok'").join(faulty, "series_id", "left_anti")
     owned = written(hierarchy.owned_series(hierarchy.with_subject(valid)), "owned-series")
     save(hierarchy.cohort_unmatched(owned, patients), "unmatched")

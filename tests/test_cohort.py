@@ -161,12 +161,16 @@ def tree(folder):
 
 
 def test_cohort_from_files_to_samples(spark, tree, rows):
-    out = jobs.build_cohort(spark, tree, json_decoder)
+    counts = {}
+    out = jobs.build_cohort(spark, tree, json_decoder, counts=counts)
     read = lambda name: spark.read.parquet(out[name])
     assert rows(read("patients"), "patient_id") == [(1,), (2,), (3,)]
     assert rows(read("patient_quarantine")) == [("4", "missing_required")]
     assert rows(read("slices").groupBy("series_id").count()) == [("s1", 3), ("s2", 3), ("s3", 3), ("s5", 3), ("s6", 1)]
     assert rows(read("series_quarantine"), "series_id", "reason") == [("s6", "failed_slice")]
+    by_status = {r.status: r["count"] for r in read("slices").groupBy("status").count().collect()}
+    assert counts["slices"] == dict.fromkeys(jobs.SLICE_STATUSES, 0) | by_status | {"": 13}
+    assert counts["series_quarantine"] == {"": 1, "failed_slice": 1, "mixed_size": 0, "repeated_path": 0}
     assert ("patient", "3", None) in rows(read("unmatched")) and ("study", "77", "D") in rows(read("unmatched"))
     assert rows(read("volumes"), "series_id", "block_no", "shape") == [(s, 0, [3, 2, 2]) for s in ("s1", "s2", "s3", "s5")]
     assert {r.patient_id: [m.series_id for m in r.manifest] for r in read("manifest").collect()} == {
