@@ -206,8 +206,9 @@ def _spelled(ready: list):
                 number = ws.exact_numbers(found.texts.data, found.start, found.end)
                 number = np.unique(spoken * (number.max() + 1) + number, return_inverse=True)[1]
                 size = number.max() + 1
-                paired = np.unique(number[two] * size + number[two + 1], return_inverse=True)[1]
-                tripled = paired[found.halves[0]] * size + number[three + 2] if len(three) else np.empty(0, np.int64)
+                paired = number[two] * size + number[two + 1]
+                short = paired if size < 1 << 20 else np.unique(paired, return_inverse=True)[1]  # 63 bits hold three numbers
+                tripled = short[found.halves[0]] * size + number[three + 2]
                 out: list[tuple[str, int, str, int]] = []
                 data = found.texts.data.tobytes()
                 groups = ((1, np.arange(len(number)), number, found.keys), (2, two, paired, pairs), (3, three, tripled, triples))
