@@ -2,8 +2,8 @@
 
 Every shingle of five words (in lower case) is hashed once. The top bits of the hash name one of
 ``BINS`` bins, which keeps its least hash. A bin that no shingle fell into takes the value of
-another by optimal densification: every bin has an order of its own in which it looks at all bins, from a hashed
-start by a hashed odd step, and takes the first that is not empty, the same for all texts. The ``BITS`` low-order bits of each value, packed as hex digits, are the
+another by optimal densification: it looks at bins in an order of its own, the same for all texts (a few
+hashes of its number, then all bins from a hashed start by a hashed odd step), and takes the first that is not empty. The ``BITS`` low-order bits of each value, packed as hex digits, are the
 fingerprint. Two bins of different documents agree by chance once in ``2**BITS``, so the likeness
 of two fingerprints is ``(equal - 1/16) / (1 - 1/16)``, cut off at 0.
 
@@ -33,18 +33,23 @@ from cohortweave.operators.shared import written
 SHINGLE = 5
 BINS = 256
 BITS = 4  # one hex digit a bin
-PROBES = 6  # places of a bin's order that are looked at before the whole order is written down
+PROBES = 6  # places a bin looks at before it goes through all
 
 _SPACE = r"[\x09-\x0D\x20]+"
 _SHIFT = 63 - BINS.bit_length() + 1  # a hash without its sign has 63 bits
 _LOW = (1 << _SHIFT) - 1
 
 
-def _probe(bin_no: Column, attempt: Column | int) -> Column:
-    """Where an empty bin looks at its ``attempt``: 256 attempts see all bins, in an order of the bin's own."""
-    start = F.pmod(F.xxhash64(bin_no, F.lit(0)), F.lit(BINS))
-    step = F.pmod(F.xxhash64(bin_no, F.lit(1)), F.lit(BINS // 2)) * 2 + 1
-    return F.pmod(start + step * attempt, F.lit(BINS)).cast("int")
+def _probe(bin_no: Column, attempt: int) -> Column:
+    """A fixed hash of a bin and an attempt: where an empty bin looks first."""
+    return F.pmod(F.xxhash64(bin_no, F.lit(attempt)), F.lit(BINS)).cast("int")
+
+
+def _order(bin_no: Column) -> Column:
+    """All bins, from a hashed start by a hashed odd step: the order of its own in which a bin looks on."""
+    start = F.pmod(F.xxhash64(bin_no, F.lit(-1)), F.lit(BINS))
+    step = F.pmod(F.xxhash64(bin_no, F.lit(-2)), F.lit(BINS // 2)) * 2 + 1
+    return F.transform(F.sequence(start, start + step * (BINS - 1), step), lambda at: F.pmod(at, F.lit(BINS)).cast("int"))
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -83,8 +88,8 @@ def densified(minima: Column) -> Column:
 
         def value(x: Column, b: Column) -> Column:
             tries = [used(F.get(values, _probe(b, k))) for k in range(PROBES)]
-            # The same order to its end; needed for short texts only.
-            rest = F.filter(F.transform(F.sequence(F.lit(PROBES), F.lit(BINS - 1)), lambda k: F.get(values, _probe(b, k))), lambda v: low(v) != _LOW)
+            # All bins, each in an order of its own; needed for short texts only.
+            rest = F.filter(F.transform(_order(b), lambda at: F.get(values, at)), lambda v: low(v) != _LOW)
             return F.coalesce(used(x), *tries, F.get(rest, F.lit(0)))
 
         return F.transform(values, value)
