@@ -34,8 +34,8 @@ from cohortweave.operators.shared import written
 
 SLOT_BITS = 24
 NEVER = 255
-FLUSH = 4_000_000  # keys a task holds before it sums them
-SPELL_BYTES = 2 << 20  # bytes of texts whose phrases are spelled out and counted together
+FLUSH = 1_500_000  # keys a task holds before it sums them
+SPELL_BYTES = 1 << 20  # bytes of texts whose phrases are spelled out and counted together
 
 _PIECE_ENDS = np.zeros(256, dtype=bool)
 _PIECE_ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
