@@ -92,12 +92,7 @@ def _numbered_in_place(df: DataFrame, group: Sequence[str]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            changed = np.zeros(batch.num_rows, dtype=bool)
-            for i in places:
-                column = batch.column(i)
-                changed[1:] |= ~_equal(column.slice(1), column.slice(0, batch.num_rows - 1))
-                if held is not None:
-                    changed[0] |= not _equal(column.slice(0, 1), held.column(i))[0]
+            changed = changed_rows(batch, places, held)
             at = np.arange(batch.num_rows)
             carried = 0 if held is None or changed[0] else held.column(len(schema) - 2)[0].as_py()
             changed[0] = True
@@ -115,6 +110,18 @@ def _numbered_in_place(df: DataFrame, group: Sequence[str]) -> DataFrame:
     return df.mapInArrow(number, schema)
 
 
+def changed_rows(batch: pa.RecordBatch, places: Sequence[int], before: pa.RecordBatch | None) -> np.ndarray:
+    """Whether each row differs, in the columns at ``places``, from the one ahead of it: ``before`` for the first, if any."""
+    changed = np.zeros(batch.num_rows, dtype=bool)
+    changed[0] = before is None
+    for i in places:
+        column = batch.column(i)
+        changed[1:] |= ~_equal(column.slice(1), column.slice(0, batch.num_rows - 1))
+        if before is not None:
+            changed[0] |= not _equal(column.slice(0, 1), before.column(i))[0]
+    return changed
+
+
 def _equal(left: pa.Array, right: pa.Array) -> np.ndarray:
     """Null-safe equality, row by row."""
     same = pc.fill_null(pc.equal(left, right), False)

@@ -6,13 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortweave.functions.text import description_flags, dicom_id, feature_name
 from cohortweave.functions.values import present
-from cohortweave.operators.ranking import joined_to, least_values, rank_within, value_codes
+from cohortweave.operators.ranking import changed_rows, joined_to, least_values, rank_within, value_codes
 from cohortweave.operators.shared import written
 from cohortweave.schemas import (
     DEFAULT_ORIENTATION,
@@ -196,50 +197,53 @@ def volume_blocks(slices: DataFrame, max_voxels: int = 2_097_152) -> DataFrame:
     return _joined_blocks(cut.repartition(*key).sortWithinPartitions(*key, "z_start"))
 
 
-_BLOCK_ROWS = 64  # blocks handed on together, if they are small
-
-
 def _joined_blocks(slices: DataFrame) -> DataFrame:
     """Sorted slices to blocks: the voxels of rows with one series and block, one after another."""
     arrow = to_arrow_schema(slices.schema)
-    kind = arrow.field("voxels").type.value_type
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple[pa.RecordBatch, list[pa.Array] | None]] = []
-        head: pa.RecordBatch | None = None
-        parts: list[pa.Array] | None = []
-
-        def made() -> pa.RecordBatch:
-            voxels = [None if p is None else pa.concat_arrays(p) for _, p in done]
-            border = np.cumsum([0, *[0 if v is None else len(v) for v in voxels]], dtype=np.int32)
-            flat = pa.concat_arrays([v for v in voxels if v is not None] or [pa.array([], kind)])
-            empty = pa.array([v is None for v in voxels])
-            lists = pa.ListArray.from_arrays(pa.array(border), flat, mask=empty)
-            first = [pa.concat_arrays([h.column(i) for h, _ in done]) for i in range(4)]
-            return pa.RecordBatch.from_arrays([*first, lists.cast(arrow.field("voxels").type)], schema=arrow)
-
-        size = 0
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                if head is None or row.column(0) != head.column(0) or row.column(1) != head.column(1):
-                    if head is not None:
-                        done.append((head, parts))
-                        if len(done) >= _BLOCK_ROWS or size > 1 << 20:
-                            yield made()
-                            done, size = [], 0
-                    head, parts = row.select(range(4)), []
-                own = row.column(4)
-                if own.null_count:
-                    parts = None
-                elif parts is not None:
-                    parts.append(own.flatten())
-                    size += len(parts[-1])
+    return slices.mapInArrow(lambda batches: _blocks_of(batches, arrow), slices.schema)
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The blocks of sorted slices, batch by batch, without a loop over rows; only the open block is carried on."""
+    kind = arrow.field("voxels").type
+    head: pa.RecordBatch | None = None  # first row of the block that is open
+    parts: list[pa.Array] | None = []  # its voxels so far; None once a slice has none
+
+    def blocks(first: pa.RecordBatch, border: np.ndarray, flat: pa.Array, empty: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), flat, mask=pa.array(empty))
+        return pa.RecordBatch.from_arrays([*first.columns[:4], lists.cast(kind)], schema=arrow)
+
+    def closed() -> pa.RecordBatch:
+        flat = pa.concat_arrays([pa.array([], kind.value_type), *(parts or [])])
+        return blocks(head, np.array([0, len(flat)]), flat, np.array([parts is None]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = batch.column(4)
+        absent = own.is_null().to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+        border = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        flat = own.flatten()  # without the absent ones
+        starts = np.flatnonzero(changed_rows(batch, [0, 1], head))
+        # Rows before the first start go on with the open block, those from the last one open the next.
+        upto = int(starts[0]) if len(starts) else batch.num_rows
+        if absent[:upto].any():
+            parts = None
+        elif parts is not None and upto:
+            parts.append(flat.slice(0, border[upto]))
+        if not len(starts):
+            continue
         if head is not None:
-            done.append((head, parts))
-            yield made()
-
-    return slices.mapInArrow(join, slices.schema)
+            yield closed()
+        last = int(starts[-1])
+        if len(starts) > 1:
+            missing = np.logical_or.reduceat(absent[:last], starts[:-1])
+            yield blocks(batch.select([0, 1, 2, 3]).take(pa.array(starts[:-1])), border[starts], flat, missing)
+        head = batch.slice(last, 1)
+        parts = None if absent[last:].any() else [flat.slice(border[last])]
+    if head is not None:
+        yield closed()
 
 
 def z_bounds(slices: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import itertools
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,33 @@ def test_blocks_of_a_long_series_stream_by(spark):
         assert voxels[::2] == pytest.approx([location[p] for p in paths], rel=1e-6) and set(voxels[1::2]) == {0.0}
 
 
+def _block_batches(rows, size):
+    schema = pa.schema([("series_id", pa.string()), ("block_no", pa.int64()), ("z_start", pa.int64()), ("shape", pa.list_(pa.int32())), ("voxels", pa.list_(pa.float32()))])
+    parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+    return schema, [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*p), schema)], schema=schema) for p in parts]
+
+
+def test_blocks_of_a_batch_are_joined_at_once():
+    rows = [(f"s{i // 2:06}", 0, i % 2, [2, 1, 1], [float(i)]) for i in range(10_000)]
+    schema, batches = _block_batches(rows, 10_000)
+    made = list(sr._blocks_of(iter(batches), schema))
+    assert len(made) == 2  # all but the last block, and that
+    assert [v for b in made for v in b.column(4).to_pylist()] == [[float(i), i + 1.0] for i in range(0, 10_000, 2)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 100])
+def test_blocks_go_on_from_batch_to_batch(size):
+    rows = [("a", 0, 0, [5, 1, 2], [1.0, 2.0]), ("a", 0, 1, [5, 1, 2], [3.0]), ("a", 1, 2, [5, 1, 2], []), ("b", 1, 0, None, [4.0]), ("b", 1, 1, None, None),
+            ("b", 1, 2, None, [5.0]), (None, 0, 0, [1], [6.0]), (None, 0, 1, [1], [7.0, None]), ("c", None, 0, [1], [8.0]), ("d", 2, 0, [1], None)]
+    schema, batches = _block_batches(rows, size)
+    made = [tuple(r.values()) for b in sr._blocks_of(iter(batches), schema) for r in b.to_pylist()]
+    assert made == [
+        ("a", 0, 0, [5, 1, 2], [1.0, 2.0, 3.0]), ("a", 1, 2, [5, 1, 2], []), ("b", 1, 0, None, None), (None, 0, 0, [1], [6.0, 7.0, None]),
+        ("c", None, 0, [1], [8.0]), ("d", 2, 0, [1], None),
+    ]
+    assert list(sr._blocks_of(iter([]), schema)) == []
+
+
 def test_repeated_and_nameless_features(spark, rows):
     df = spark.createDataFrame(
         [(1, "f", "a", "s", 1), (1, "f", "a", "t", 2), (1, "f", "a", "t", 2), (None, "f", None, "s", 3), (None, "f", "a", None, 4)],
