@@ -142,6 +142,7 @@ def middle_slices(slices: DataFrame) -> DataFrame:
     The keys of a series are counted in equal ranges between the least and the greatest; the counts tell
     which range has the middle and how many slices come before it. Only slices of that range are ranked. Where
     all keys fall into one range (equal keys, or an order by path) that is the whole series, with the same result.
+    A series of one range is not counted: all its slices are ranked, and they shuffle no further for it.
     """
     paths = written(_paths(slices).select("series_id", "path", *_KEPT_OF_PATHS), "paths")
     facts = _facts(paths).withColumn("sort_source", _source()).where(_fault().isNull()).select(
@@ -153,19 +154,28 @@ def middle_slices(slices: DataFrame) -> DataFrame:
         _of_source("location_min", "z_min").alias("low"),
         _of_source("location_max", "z_max").alias("high"),
     )
-    wide = F.col("high") - F.col("low")
-    share = (F.col("sort_key") - F.col("low")) / wide * F.col("ranges")
-    ranged = F.when((wide > 0) & (wide < float("inf")), F.least(F.floor(share), F.col("ranges") - 1)).otherwise(0)
-    keyed = paths.select("series_id", "path", "location", "z").join(facts, "series_id")
-    keyed = keyed.withColumn("sort_key", _of_source("location", "z")).withColumn("range", F.coalesce(ranged, F.lit(0)))
+    facts = written(facts, "middle-facts")
+    narrow = paths.select("series_id", "path", "location", "z")
+    # Only series of several ranges are counted; they are few, one per _RANGE_SLICES slices at most.
+    several = written(facts.where("ranges > 1"), "several-ranges")
     upto = Window.partitionBy("series_id").orderBy("range")  # at most _MOST_RANGES rows of a series
-    counts = keyed.groupBy("series_id", "middle", "range").agg(F.count(F.lit(1)).alias("n"))
+    counts = _ranged(narrow.join(several, "series_id")).groupBy("series_id", "middle", "range").agg(F.count(F.lit(1)).alias("n"))
     met = counts.withColumn("before", F.sum("n").over(upto) - F.col("n")).where("before <= middle AND middle < before + n")
-    near = written(keyed.join(met.select("series_id", "range", "before"), ["series_id", "range"]), "near-middle")
+    met = written(met.select("series_id", F.col("range").alias("_range"), "before"), "middle-ranges")
+    keyed = _ranged(narrow.join(facts, "series_id")).join(met, "series_id", "left")
+    near = keyed.where("ranges <= 1 OR range = _range").withColumn("before", F.coalesce("before", F.lit(0)))
     ranked = rank_within(near.select("series_id", "path", "n_slices", "middle", "before", "sort_key"), ["series_id"], ["sort_key", "path"], "_rank")
     return ranked.where(F.col("before") + F.col("_rank") - 1 == F.col("middle")).select("series_id", "path", "n_slices", F.col("middle").alias("z_index"))
 
 
+def _ranged(keyed: DataFrame) -> DataFrame:
+    """Adds the key a slice sorts by, and its range among those of its series."""
+    wide = F.col("high") - F.col("low")
+    share = (F.col("sort_key") - F.col("low")) / wide * F.col("ranges")
+    ranged = F.when((wide > 0) & (wide < float("inf")), F.least(F.floor(share), F.col("ranges") - 1)).otherwise(0)
+    return keyed.withColumn("sort_key", _of_source("location", "z")).withColumn("range", F.coalesce(ranged, F.lit(0)))
+
+
 def fetch_pixels(selected: DataFrame, slices: DataFrame) -> DataFrame:
     """Pixels of selected slices, found by path; the planner chooses the join by the sizes it sees."""
     return slices.select("path", "rows", "cols", "pixels").join(selected, "path")

@@ -233,6 +233,22 @@ def test_blocks_go_on_from_batch_to_batch(size):
     assert list(sr._blocks_of(iter([]), schema)) == []
 
 
+def test_slices_of_short_series_are_written_once_for_the_middle(spark, monkeypatch):
+    """Besides the paths only rows of series are written ahead of the ranks."""
+    sizes = {}
+    inner = sr.written
+
+    def counted(df, name):
+        table = inner(df, name)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(sr, "written", counted)
+    data = [slice_row(f"s{n}", f"{n}-{i}", float(i)) for n in (3, 4, 5) for i in range(n)]
+    assert sr.middle_slices(frame(spark, data)).count() == 3
+    assert [n for n, size in sizes.items() if size > 3] == ["paths"]
+
+
 def test_repeated_and_nameless_features(spark, rows):
     df = spark.createDataFrame(
         [(1, "f", "a", "s", 1), (1, "f", "a", "t", 2), (1, "f", "a", "t", 2), (None, "f", None, "s", 3), (None, "f", "a", None, 4)],
