@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+PART_BYTES = 4 << 20  # of a batch that are worked on and handed back at once
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, with underscores added until no column has that name (in any case)."""
     taken = {c.lower() for c in df.columns}
@@ -34,17 +37,24 @@ def add_columns(
     """Columns computed from the texts, batch by batch, beside the columns kept (all by default).
 
     ``make`` gets an Arrow array of texts and returns one array of the same length for each
-    field of ``added``. A failed task computes the same rows again.
+    field of ``added``. A failed task computes the same rows again. Texts that are kept are sent once, and
+    go back in parts of about ``PART_BYTES``.
     """
     kept = list(df.columns if keep is None else keep)
-    source = df.select(column(text).cast("string").alias("_of"), *[column(c).alias(f"_k{i}") for i, c in enumerate(kept)])
+    own = kept.index(text) if text in kept and df.schema[text].dataType == T.StringType() else None
+    sent = [column(c).alias(f"_k{i}") for i, c in enumerate(kept)]
+    source = df.select(*sent, *([column(text).cast("string").alias("_of")] if own is None else []))
     schema = T.StructType([T.StructField(f"_k{i}", df.schema[c].dataType) for i, c in enumerate(kept)] + list(added))
+    at = len(kept) if own is None else own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = make(batch.column(0))
-            arrays = list(batch.columns[1:]) + [made[f.name] for f in added]
-            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema])
+            step = max(1, batch.num_rows * PART_BYTES // max(batch.nbytes, 1))
+            for low in range(0, max(batch.num_rows, 1), step):
+                part = batch.slice(low, step)
+                made = make(part.column(at))
+                arrays = list(part.columns[: len(kept)]) + [made[f.name] for f in added]
+                yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema])
 
     out = source.mapInArrow(run, schema)
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], *[f.name for f in added])

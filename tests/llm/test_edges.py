@@ -1,6 +1,9 @@
 """Every operator on nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
 from cohortweave.llm import (
@@ -15,6 +18,7 @@ from cohortweave.llm import (
     soft_mixing,
     token_files,
 )
+from cohortweave.llm.rowmaps import add_columns
 
 N = 11
 
@@ -91,3 +95,20 @@ def test_stage_keeps_columns(name, spark, odd_docs, no_docs, odd_labels, folder)
     assert {c: t for c, t in out.dtypes} == dict(odd_docs.dtypes)
     assert out.count() <= N
     assert stage(spark, no_docs, folder).count() == 0
+
+
+def _part_sizes(texts):
+    return {"part": pa.array([len(texts)] * len(texts), pa.int64())}
+
+
+def test_texts_are_sent_once_and_go_back_in_parts(spark):
+    """A batch of long texts is not answered as a whole, and a text that is kept is not sent beside itself."""
+    docs = spark.range(6).selectExpr("id AS doc_id", "IF(id = 5, NULL, repeat(char(97 + id), 3000000)) AS text", "'en' AS lang").coalesce(1)
+    added = T.StructType([T.StructField("part", T.LongType())])
+    for keep in (None, ["doc_id"], ["lang", "text"]):
+        out = add_columns(docs, "text", _part_sizes, added, keep)
+        assert out.columns == [*(keep or docs.columns), "part"]
+        assert out.agg(F.max("part")).first()[0] <= 2
+    out = add_columns(docs, "text", _part_sizes, added)
+    assert out.selectExpr("doc_id", "left(text, 1) AS c", "length(text) AS n").collect() == docs.selectExpr("doc_id", "left(text, 1) AS c", "length(text) AS n").collect()
+    assert "_of" not in out._jdf.queryExecution().analyzed().toString()
