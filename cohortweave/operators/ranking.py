@@ -67,7 +67,7 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out:
     """
     ranged = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
     numbered = _numbered_in_place(ranged.withColumn("_part", F.spark_partition_id()), group)
-    placed = written(numbered, "ranked")
+    placed = written(numbered, "ranked", "zstd")
     # One row per range partition: its last group, and the rows of that group up to here.
     ends = placed.where("_last").select("_part", *group, "_in")
     so_far = Window.partitionBy(*group).orderBy("_part")

@@ -49,19 +49,31 @@ def check_pixels(slices: DataFrame) -> DataFrame:
 _NUMBERS = [("rows_min", "min", "rows"), ("rows_max", "max", "rows"), ("cols_min", "min", "cols"), ("cols_max", "max", "cols")]
 
 
-def _paths(slices: DataFrame) -> DataFrame:
+def _paths(slices: DataFrame, z: Column | None = None) -> DataFrame:
     """One narrow row per path, so that a path which comes twice is seen; pixels are not read."""
+    z = _z() if z is None else z
     return slices.groupBy("series_id", "path").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("slice_location").alias("n_locations"),
-        F.count(_z()).alias("n_positions"),
+        F.count(z).alias("n_positions"),
         F.min("slice_location").alias("location"),
-        F.min(_z()).alias("z"),
+        F.min(z).alias("z"),
         F.expr("count_if(status <> 'ok')").alias("n_failed"),
         *[getattr(F, kind)(c).alias(name) for name, kind, c in _NUMBERS],
     )
 
 
+def _written_paths(slices: DataFrame) -> DataFrame:
+    """The rows of :func:`_paths`, written in ranges of series.
+
+    One shuffle of narrow rows serves the aggregate and lays a series together. So facts are counted
+    where its slices are, before they shuffle, and paths that begin alike stand together and are squeezed well.
+    """
+    narrow = slices.select("series_id", "path", "slice_location", _z().alias("_z"), "status", "rows", "cols")
+    ranged = _paths(narrow.repartitionByRange("series_id", "path"), F.col("_z")).select("series_id", "path", *_KEPT_OF_PATHS)
+    return written(ranged.sortWithinPartitions("series_id", "path"), "paths")
+
+
 def _facts(paths: DataFrame) -> DataFrame:
     return paths.groupBy("series_id").agg(
         F.sum("n").alias("n_slices"),
@@ -120,9 +132,9 @@ def slice_order(slices: DataFrame) -> DataFrame:
     names one file: a series with a path that comes twice is quarantined, and its
     rows of one path have one place, that of the least key.
 
-    The slices are read once, to one narrow row per path; facts and order come from those.
+    The slices are read to one narrow row per path, after a sample of their keys; facts and order come from those.
     """
-    paths = written(_paths(slices).select("series_id", "path", *_KEPT_OF_PATHS), "paths")
+    paths = _written_paths(slices)
     facts = _facts(paths).select("series_id", "n_slices", _fault().alias("reason"), _source().alias("sort_source"))
     keyed = paths.select("series_id", "path", "location", "z").join(facts, "series_id").select(
         "series_id", "path", "n_slices", "reason", "sort_source", _of_source("location", "z").alias("sort_key")
@@ -144,7 +156,7 @@ def middle_slices(slices: DataFrame) -> DataFrame:
     all keys fall into one range (equal keys, or an order by path) that is the whole series, with the same result.
     A series of one range is not counted: all its slices are ranked, and they shuffle no further for it.
     """
-    paths = written(_paths(slices).select("series_id", "path", *_KEPT_OF_PATHS), "paths")
+    paths = _written_paths(slices)
     facts = _facts(paths).withColumn("sort_source", _source()).where(_fault().isNull()).select(
         "series_id",
         "n_slices",

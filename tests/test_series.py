@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortweave.operators import series as sr
+from cohortweave.operators.shared import written
 from cohortweave.schemas import TAG_LATERALITY, TAG_TIME
 
 SCHEMA = """series_id string, path string, slice_location double, position array<double>, rows int, cols int,
@@ -255,3 +256,26 @@ def test_repeated_and_nameless_features(spark, rows):
         "patient_id long, feature_name string, study_id string, series_id string, value int",
     )
     assert rows(sr.feature_dedup(df)) == [(1, "f", "a", "t", 2, 2), (None, "f", "a", None, 4, 1)]
+
+
+def test_paths_of_a_series_stand_together(spark, monkeypatch):
+    """What facts and order are read from is laid out by series, so that slices meet before they shuffle."""
+    kept = {}
+
+    def keep(df, name, *more):
+        kept[name] = written(df, name, *more)
+        return kept[name]
+
+    monkeypatch.setattr(sr, "written", keep)
+    data = [slice_row(f"s{k % 7}", f"{k % 7}-{k}", float(k)) for k in range(200)]
+    assert sr.slice_order(frame(spark, data)).count() == 200
+    files = {}
+    for r in kept["paths"].select("series_id", F.input_file_name().alias("file")).collect():
+        files.setdefault(r.file, []).append(r.series_id)
+    assert sum(len(list(itertools.groupby(ids))) for ids in files.values()) <= 7 + len(files) - 1
+
+
+def test_a_path_that_comes_twice_keeps_one_place(spark):
+    data = [slice_row("s", p, at, z) for p, at, z in [("a", 3.0, 1.0), ("b", 2.0, None), ("a", 1.0, 5.0)]]
+    got = {r.path: (r.z_index, r.n_slices, r.reason) for r in sr.slice_order(frame(spark, data)).collect()}
+    assert got == {"a": (0, 3, "repeated_path"), "b": (1, 3, "repeated_path")}
