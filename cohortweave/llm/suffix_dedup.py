@@ -79,7 +79,8 @@ def _stretches(texts: ws.Texts, size: int) -> _Stretches:
         until = np.append(at[1:], low + len(least))
         until = np.minimum(until, texts.bounds[row + 1] - size + 1)  # strings end in their text
         fits = until > at
-        parts.append((least[at[fits] - low], row[fits], at[fits], (until - at)[fits]))
+        # Least hashes are small ones; mixed, they fill all ranges alike.
+        parts.append((ws.mix(least[at[fits] - low]), row[fits], at[fits], (until - at)[fits]))
     if not parts:
         return _Stretches(np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
     return _Stretches(*[np.concatenate(c) for c in zip(*parts)])

@@ -116,6 +116,17 @@ def test_passages_that_cross_blocks(spark, more):
     assert _found(sd.repeated_spans(df, **more)) == _without_repeats(docs)
 
 
+def test_ranges_of_hashes_are_alike():
+    """Least hashes are small ones; no range may hear many more than its share."""
+    draw = random.Random(5)
+    raw = "".join(draw.choice("abcdefgh ") for _ in range(200_000)).encode()
+    found = sd._stretches(sd.ws.Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), sd.SIZE)
+    keys, _, _ = sd._block_keys(np.zeros(1, np.int64), found, 38)
+    _, border = sd._by_range(keys, 38, 6)
+    shares = np.diff(border)
+    assert len(shares) == 64 and shares.max() < 2 * shares.mean()
+
+
 def test_op11_edges(spark, odd_docs, no_docs):
     found = sd.repeated_spans(odd_docs).collect()
     assert len(found) == 11 and all(not r.spans for r in found)
