@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortweave.llm import bpe
-from cohortweave.llm.rowmaps import column
+from cohortweave.llm.rowmaps import PART_BYTES, column
 from cohortweave.operators.shared import written
 
 CAPACITY = 1024
@@ -107,7 +107,7 @@ def pack(
 
     ``with_ids`` adds the ids themselves, which ``sequences`` then puts together.
     """
-    pieces = written(cut_documents(docs, key, text, end, vocabulary, capacity, with_ids), "pieces")
+    pieces = written(cut_documents(docs, key, text, end, vocabulary, capacity, with_ids), "pieces", batch_bytes=PART_BYTES)
     counts = written(pieces.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     # Rows of this table: tasks times classes. A class's window is over the tasks.
     earlier = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,12 +34,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int | None) -> Iterator[None]:
+    """Bounds the bytes of an Arrow batch that goes to Python, for jobs run meanwhile; the session's own bound, if less, stays.
+
+    By rows alone, batches of long texts take hundreds of megabytes of a small executor, in the JVM and in Python.
+    """
+    before = spark.conf.get(ARROW_BYTES, None)
+    if most is None or (before is not None and _bytes(before) <= most):
+        yield
+        return
+    spark.conf.set(ARROW_BYTES, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BYTES, before) if before is not None else spark.conf.unset(ARROW_BYTES)
+
+
+def _bytes(size: str) -> int:
+    """``67108864``, ``64m`` and the like in bytes."""
+    found = re.fullmatch(r"(\d+)([kmgtp]?)b?", size.strip().lower())
+    return int(found[1]) << 10 * " kmgtp".index(found[2] or " ") if found else sys.maxsize
+
+
+def written(df: DataFrame, name: str, compression: str | None = None, batch_bytes: int | None = None) -> DataFrame:
     """The same rows, read from a table in the shared folder.
 
     Row numbers given to a shuffled table are only stable once it is written: a
-    lost executor may otherwise bring rows back in another order.
+    lost executor may otherwise bring rows back in another order. ``batch_bytes``
+    bounds the Arrow batches of its Python steps.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    with arrow_batches(df.sparkSession, batch_bytes):
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

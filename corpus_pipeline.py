@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortweave.llm.ngram_join import first_of_groups
 from cohortweave.llm.packing import pack
 from cohortweave.llm.quality_rules import kept_documents
+from cohortweave.llm.rowmaps import PART_BYTES
 from cohortweave.llm.secrets_scan import redact
 from cohortweave.llm.soft_mixing import domains_of_labels, thinned
 from cohortweave.operators.shared import written
@@ -61,7 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), batch_bytes=PART_BYTES)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
