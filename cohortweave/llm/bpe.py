@@ -2,8 +2,9 @@
 
 Byte-level BPE merges only inside the pieces its pattern cuts a text into, so equal pieces have
 equal ids. Texts are cut by the same pattern, and the library's model encodes every piece once per
-worker while the table lasts. The table is emptied when it is full, so its memory is bounded; ids
-do not depend on it.
+worker while the table lasts. The table has a newer and an older half: what is asked for stays in the
+newer one, and the older one goes when that is full. So its memory is bounded, and pieces that come
+often are not lost with those that came once; ids do not depend on it.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ import os
 import re
 import struct
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-TABLE_PIECES = 600_000
+TABLE_PIECES = 600_000  # in both halves together
 
 #: The vocabulary the queries use; a path of another byte-level file may be passed instead.
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -35,6 +37,9 @@ def _unlike() -> frozenset[str]:
     return frozenset(numbers | set("\x1c\x1d\x1e\x1f"))
 
 
+_UNLIKE_ASCII = re.compile("[\x1c-\x1f]").search  # those of ASCII, found faster
+
+
 def _byte_characters() -> dict[int, str]:
     """The character byte-level vocabularies write for each byte: itself if it shows, else one from 256 on."""
     shows = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
@@ -42,6 +47,24 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shows} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Pieces(dict):
+    """Packed ids by piece; a piece that is not there is taken from the older half or made."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self._make, self._older = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        made = self._older.get(piece)
+        if made is None:
+            made = self._make(piece)
+        if 2 * len(self) >= TABLE_PIECES:
+            self._older = dict(self)
+            self.clear()
+        self[piece] = made
+        return made
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each core a task of its own
@@ -50,10 +73,11 @@ class Encoder:
         self._slow = regex.compile(public_tokenizers.PATTERN).findall
         self._unlike, self._bytes = _unlike(), _byte_characters()
         self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
-        self._known: dict[str, bytes] = {}
+        self._known = _Pieces(self._encoded)
 
     def _cut(self, text: str) -> list[str]:
-        return _FAST.findall(text) if self._unlike.isdisjoint(text) else self._slow(text)
+        alike = not _UNLIKE_ASCII(text) if text.isascii() else self._unlike.isdisjoint(text)
+        return _FAST.findall(text) if alike else self._slow(text)
 
     def _encoded(self, piece: str) -> bytes:
         ids = [t.id for t in self._merged(piece.encode().decode("latin-1").translate(self._bytes))]
@@ -63,15 +87,7 @@ class Encoder:
         """Ids of a text as the library gives them without special tokens added, little-endian, 32 bits each."""
         if any(s in text for s in self._special):
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        known, pieces = self._known, self._cut(text)
-        fresh = set(pieces).difference(known)
-        if fresh:
-            if len(known) + len(fresh) > TABLE_PIECES:
-                known.clear()
-                fresh = set(pieces)
-            for piece in fresh:
-                known[piece] = self._encoded(piece)
-        return b"".join(map(known.__getitem__, pieces))
+        return b"".join(map(self._known.__getitem__, self._cut(text)))
 
     def ids(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), dtype="<u4").tolist()
