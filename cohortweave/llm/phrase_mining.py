@@ -35,7 +35,10 @@ from cohortweave.operators.shared import written
 SLOT_BITS = 24
 NEVER = 255
 FLUSH = 1_500_000  # keys a task holds before it sums them
-SPELL_BYTES = 1 << 20  # bytes of texts whose phrases are spelled out and counted together
+SPELL_BYTES = 1 << 21  # bytes of texts whose phrases are spelled out and counted together
+SPELL_ROWS = 1 << 16  # phrases that are spelled at once
+HELD_ROWS = 600_000  # spelled phrases a task holds before it sums them
+BATCH_BYTES = 8 << 20  # of texts that go to Python at once
 
 _PIECE_ENDS = np.zeros(256, dtype=bool)
 _PIECE_ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -169,7 +172,7 @@ def frequent_phrases(
     for step in range(3 * shards):
         sent = [spark.sparkContext.broadcast(a) for a in ready[:2]]
         shard = rows.where(F.col("shard") == step % shards).select("lang", "text")
-        parts.append(written(_scan(shard, step, shards, sent), "phrase-counts"))
+        parts.append(written(_scan(shard, step, shards, sent), "phrase-counts", batch_bytes=BATCH_BYTES))
         for s in sent:
             s.destroy()
         if step < shards:
@@ -180,10 +183,56 @@ def frequent_phrases(
 
     sent = [spark.sparkContext.broadcast(np.packbits(a != NEVER)) for a in ready]
     exact = rows.select("lang", "text").mapInArrow(_spelled(sent), "lang string, words byte, phrase string, f long")
-    counted = written(exact.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(f"words = 0 OR f >= {int(min_count)}"), "phrases")
+    counted = written(exact.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(f"words = 0 OR f >= {int(min_count)}"), "phrases", batch_bytes=BATCH_BYTES)
     return counted.where("words > 0"), counted.where("words = 0").select("lang", F.col("f").alias("n"))
 
 
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """A number per value, from 0 in the order in which different ones come."""
+    return pa.array(values).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _met(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different value, and how often it comes."""
+    codes = _numbered(values)
+    n = np.bincount(codes)
+    place = np.empty(len(n), dtype=np.int64)
+    place[codes] = np.arange(len(codes))
+    return place, n
+
+
+def _joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of several parts, summed."""
+    if parts:
+        keys = ["lang", "words", "phrase"]
+        summed = pa.Table.from_batches(parts).group_by(keys, use_threads=False).aggregate([("f", "sum")])
+        yield from summed.rename_columns([*keys, "f"]).to_batches(max_chunksize=SPELL_ROWS)
+
+
+class _Spelling:
+    """The words of a chunk one after another, a space after each, so that every phrase is a run of bytes."""
+
+    def __init__(self, found: _Words):
+        data, self.size = found.texts.data, found.end - found.start
+        self.at = np.cumsum(self.size + 1) - self.size - 1
+        edge = np.zeros(len(data) + 1, dtype=np.int8)
+        edge[found.start] += 1
+        edge[found.end] -= 1
+        gap = np.zeros(int(self.at[-1] + self.size[-1]) + 1, dtype=bool)
+        gap[self.at + self.size] = True
+        self.data = np.full(len(gap), 32, dtype=np.uint8)
+        self.data[~gap] = data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+
+    def phrases(self, heads: np.ndarray, words: int) -> pa.Array:
+        """The phrases of so many words that begin with the words ``heads``."""
+        last = heads + words - 1
+        size = self.at[last] + self.size[last] - self.at[heads]
+        bounds = np.zeros(len(heads) + 1, dtype=np.int64)
+        np.cumsum(size, out=bounds[1:])
+        body = self.data[np.arange(bounds[-1]) + np.repeat(self.at[heads] - bounds[:-1], size)]
+        return pa.LargeStringArray.from_buffers(len(heads), pa.py_buffer(bounds), pa.py_buffer(body)).cast(pa.string())
+
+
 def _spelled(ready: list):
     """Arrow pass: phrases of the slots that are set, spelled out, with their counts; and all words as length 0."""
 
@@ -192,8 +241,23 @@ def _spelled(ready: list):
         return np.flatnonzero((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for part in spelled(batches):
+            held.append(part)
+            if sum(p.num_rows for p in held) >= HELD_ROWS:
+                yield from _joined(held)
+                held = []
+        yield from _joined(held)
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, names = _lang_numbers(batch.column(0))
+            langs = pa.array(names, pa.string())
+
+            def counted(spoken: np.ndarray, words: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+                arrays = [langs.take(pa.array(spoken)), pa.array(np.full(len(n), words, np.int8)), phrases, pa.array(n.astype(np.int64))]
+                return pa.RecordBatch.from_arrays(arrays, ["lang", "words", "phrase", "f"])
+
             hashed = np.array([_lang_hash(n) for n in names] or [0], dtype=np.int64)
             for at, chunk in ws.chunks(ws.of_array(batch.column(1)), SPELL_BYTES):
                 mine = codes[at : at + len(chunk)]
@@ -204,26 +268,23 @@ def _spelled(ready: list):
                 spoken = mine[owner]
                 two, pairs, three, triples = found.phrases()
                 number = ws.exact_numbers(found.texts.data, found.start, found.end)
-                number = np.unique(spoken * (number.max() + 1) + number, return_inverse=True)[1]
+                number = _numbered(spoken * (number.max() + 1) + number)
                 size = number.max() + 1
                 paired = number[two] * size + number[two + 1]
-                short = paired if size < 1 << 20 else np.unique(paired, return_inverse=True)[1]  # 63 bits hold three numbers
+                short = paired if size < 1 << 20 else _numbered(paired)  # 63 bits hold three numbers
                 tripled = short[found.halves[0]] * size + number[three + 2]
-                out: list[tuple[str, int, str, int]] = []
-                data = found.texts.data.tobytes()
+                text = _Spelling(found)
                 groups = ((1, np.arange(len(number)), number, found.keys), (2, two, paired, pairs), (3, three, tripled, triples))
                 for words, firsts, numbers, keys in groups:
                     kept = ones(ready[words - 1].value, keys)
-                    _, first, n = np.unique(numbers[kept], return_index=True, return_counts=True)
+                    first, n = _met(numbers[kept])
                     heads = firsts[kept][first]
-                    spans = [(found.start[heads + k].tolist(), found.end[heads + k].tolist()) for k in range(words)]
-                    texts = [b" ".join([data[s[i]:e[i]] for s, e in spans]).decode() for i in range(len(heads))]
-                    out += zip([names[c] for c in spoken[heads].tolist()], [words] * len(heads), texts, n.tolist())
-                spoken_n = np.bincount(spoken, minlength=len(names)).tolist()
-                out += [(name, 0, "", n) for name, n in zip(names, spoken_n) if n]
-                columns = list(zip(*out))
-                kinds = (pa.string(), pa.int8(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["lang", "words", "phrase", "f"])
+                    for low in range(0, len(heads), SPELL_ROWS):
+                        part = heads[low : low + SPELL_ROWS]
+                        yield counted(spoken[part], words, text.phrases(part, words), n[low : low + SPELL_ROWS])
+                n = np.bincount(spoken, minlength=len(names))
+                met = np.flatnonzero(n)
+                yield counted(met, 0, pa.array([""] * len(met), pa.string()), n[met])
 
     return work
 
