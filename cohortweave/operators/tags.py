@@ -19,33 +19,37 @@ _COLUMN_OF = {"bigint": "i", "double": "f", "string": "s"}
 
 def nesting_depth(json: Column) -> Column:
     """Brackets open at once, at most; those within quoted text don't count."""
-    bare = F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    return _marks_depth(bracket_marks(json))
+
+
+def bracket_marks(json: Column) -> Column:
+    """The brackets outside quoted text. Sets of tags differ far more than their brackets do."""
+    return F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{}"]++', "")
+
+
+def _marks_depth(marks: Column) -> Column:
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(state: Column, mark: Column) -> Column:
         now = state["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
         return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
 
-    return F.aggregate(marks, start, step, lambda state: state["most"])
+    return F.aggregate(F.split(marks, ""), start, step, lambda state: state["most"])
 
 
 def _is_set(value: Column) -> Column:
-    return F.startswith(F.schema_of_variant(value), F.lit("OBJECT<"))
-
-
-def _is_list(value: Column) -> Column:
-    return F.startswith(F.schema_of_variant(value), F.lit("ARRAY<"))
+    # Unlike the schema of a value, this looks at nothing inside it.
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
 
 
 def _elements(value: Column) -> Column:
+    """Those of a list; null for any other value."""
     return F.try_variant_get(value, "$", "array<variant>")
 
 
 def _opens(value: Column) -> Column:
     """Sets, and lists with a set in them, are gone into; other lists are values."""
-    sequence = _is_list(value) & F.exists(_elements(value), _is_set)
-    return F.coalesce(_is_set(value) | sequence, F.lit(False))
+    return F.coalesce(_is_set(value) | F.exists(_elements(value), _is_set), F.lit(False))
 
 
 def _leaves(rows: DataFrame, key: str, json: str, depth: int) -> DataFrame:
@@ -53,13 +57,14 @@ def _leaves(rows: DataFrame, key: str, json: str, depth: int) -> DataFrame:
     spark = rows.sparkSession
     # Empty text and text that is no JSON give no value.
     root = F.try_parse_json(F.col(json).cast("string"))
-    level = rows.select(
+    level = rows.where(F.col(json).isNotNull()).select(
         F.col(key).alias("key"), F.lit("").alias("path"), F.lit(None).cast("string").alias("tag"), root.alias("value"),
-        F.when(F.col(json).isNull(), F.lit(None)).when(root.isNull(), "not_json").when(~_is_set(root), "not_tags").alias("fault"),
-    )
-    level = level.where("value IS NOT NULL OR fault IS NOT NULL").withColumn("open", F.col("fault").isNull())
+    ).select("*", F.when(F.col("value").isNull(), "not_json").when(~_is_set(F.col("value")), "not_tags").alias("fault"))
+    level = level.withColumn("open", F.col("fault").isNull())
     for _ in range(depth):
-        inner = level.withColumn("_in", F.when(F.col("open"), F.col("value")))
+        # A set that is gone into is not kept beside each of its tags.
+        own, entered = F.when(~F.col("open"), F.col("value")), F.when(F.col("open"), F.col("value"))
+        inner = level.select("key", "path", "tag", own.alias("value"), "fault", "open", entered.alias("_in"))
         inside = inner.lateralJoin(spark.tvf.variant_explode_outer(F.col("_in").outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_name"), F.col("value").alias("_child")))
         name, child = F.col("_name"), F.col("_child")
         kept = inside.where(~F.col("open") | (F.col("_pos").isNotNull() & ~F.coalesce(name == TAG_PIXELS, F.lit(False)) & ~F.coalesce(F.is_variant_null(child), F.lit(False))))
@@ -85,9 +90,11 @@ def _typed(leaves: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Adds ``is_list``, the typed values and, where one does not convert, the fault."""
     value = F.col("value")
     named = F.element_at(F.create_map(*[F.lit(x) for pair in types.items() for x in pair]), F.col("tag")) if types else F.lit(None).cast("string")
-    inner = F.regexp_replace(F.schema_of_variant(value), r"^ARRAY<(.*)>$", "$1")
+    kind = F.col("_kind")
+    is_list = F.startswith(kind, F.lit("ARRAY<"))
+    inner = F.when(is_list, F.expr("substring(_kind, 7, length(_kind) - 7)")).otherwise(kind)
     own = F.when(inner == "BIGINT", "bigint").when(inner.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "double").otherwise("string")
-    rows = leaves.select("*", _is_list(value).alias("is_list"), F.coalesce(named, own).alias("type"))
+    rows = leaves.withColumn("_kind", F.schema_of_variant(value)).select(*leaves.columns, is_list.alias("is_list"), F.coalesce(named, own).alias("type"))
     listed = rows.withColumn("_all", F.when(F.col("fault").isNull(), F.when(F.col("is_list"), _elements(value)).otherwise(F.array(value))))
     converted = {
         column: F.when(F.col("type") == kind, F.transform("_all", _as(kind)))
@@ -100,7 +107,8 @@ def _typed(leaves: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 
 def _all_tags(rows: DataFrame, key: str, json: str, types: Mapping[str, str] | None) -> DataFrame:
-    depth = rows.agg(F.max(nesting_depth(F.col(json).cast("string")))).first()[0] or 0
+    marks = rows.select(bracket_marks(F.col(json).cast("string")).alias("marks")).distinct()
+    depth = marks.agg(F.max(_marks_depth(F.col("marks")))).first()[0] or 0
     return _typed(_leaves(rows, key, json, depth), TAG_TYPES if types is None else types)
 
 

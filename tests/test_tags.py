@@ -103,3 +103,28 @@ def test_agrees_with_a_recursive_walk(spark, sets):
 @pytest.mark.parametrize(("text", "depth"), [("{}", 1), ('{"a":[{"b":"]]["}]}', 3), ('{"a":"\\"{{{"}', 1), ("", 0)])
 def test_depth(spark, text, depth):
     assert spark.range(1).select(tg.nesting_depth(F.lit(text))).first()[0] == depth
+
+
+def test_brackets_are_told_from_quoted_ones(spark):
+    texts = {
+        '{"a":[{"b":"]]}}{{{[[["}]}': 3,
+        r'{"a\"{{{":"\\"}': 1,
+        '{"open": "[[[': 4,  # a quote that never ends hides nothing
+        '"\\\n["': 1,  # nor does one with a line that is broken off
+        "": 0,
+        "[[],[[]]]": 3,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "tags string, depth int")
+    assert rows.where(tg.nesting_depth(F.col("tags")) != F.col("depth")).count() == 0
+
+
+def test_a_set_is_not_kept_beside_its_tags(spark):
+    """Each tag of a set of many would otherwise carry the whole set through every level below."""
+    rows = _table(spark, "{" + ",".join(f'"tag{i}":{i}' for i in range(400)) + ',"deep":{"deeper":{"last":[1,"2"]}},"list":[1,[2,{"a":1}]]}', "null", "[]", "no json", None)
+    level = tg._leaves(rows, "id", "tags", 1)
+    plan = level._jdf.queryExecution().optimizedPlan().toString()
+    assert "schema_of_variant" not in plan.lower() and "schemaofvariant" not in plan.lower()
+    found = {r["path"]: r["value"] for r in tg.typed_tags(rows, "id", "tags", types={}).collect()}
+    assert len(found) == 402 and found["tag399"]["i"] == [399]
+    assert found["deep/deeper/last"]["s"] == ["1", "2"] and found["list"]["s"] == ["1", '[2,{"a":1}]']
+    assert {(r["id"], r["reason"]) for r in tg.tag_faults(rows, "id", "tags").collect()} == {(1, "not_tags"), (2, "not_tags"), (3, "not_json")}
