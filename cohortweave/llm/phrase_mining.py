@@ -11,8 +11,10 @@ and each of its occurrences is counted once.
 Which scan activates a phrase is known in the tasks from two arrays of ``2 ** SLOT_BITS`` bytes, whose size does
 not grow with the data: the first scan for which a word, or a pair, of that hash is ready. Several keys of one
 slot share the earliest scan; what is then counted in excess still is counted for one full cycle, so counts
-stay exact, only work is added. Counts are kept by 64-bit keys in written tables, summed before they are
-shuffled, so a hot word, phrase or language costs a row per task. A last scan takes the phrases that
+stay exact, only work is added. Counts are summed before they leave a task, and travel as rows of packed arrays: a key
+has a slice, from its upper half, and its lower 32 bits there, so a hot word, phrase or language costs a few bytes per task.
+Counts go up to the threshold, and keys taken for one another only add work. Each scan's counts are added to
+those before it, slice by slice. A last scan takes the phrases that
 reached the threshold and counts them by their words, so two phrases of one key are told apart.
 
 Rows without an id or text, empty texts, repeated rows (each counts), very long texts and an empty table need
@@ -34,11 +36,13 @@ from cohortweave.operators.shared import written
 
 SLOT_BITS = 24
 NEVER = 255
-FLUSH = 1_500_000  # keys a task holds before it sums them
-SPELL_BYTES = 1 << 21  # bytes of texts whose phrases are spelled out and counted together
-SPELL_ROWS = 1 << 16  # phrases that are spelled at once
-HELD_ROWS = 600_000  # spelled phrases a task holds before it sums them
-BATCH_BYTES = 8 << 20  # of texts that go to Python at once
+FLUSH = 1_000_000  # keys a task holds before it sums them
+SCAN_BYTES = 1 << 18  # bytes of texts whose phrases are counted together
+SPELL_BYTES = 1 << 19  # bytes of texts whose phrases are spelled out and counted together
+SPELL_ROWS = 1 << 14  # phrases that are spelled at once
+HELD_ROWS = 250_000  # spelled phrases a task holds before it sums them
+BATCH_BYTES = 2 << 20  # of texts that go to Python at once
+PACKED = "words byte, slice int, keys binary, n binary"
 
 _PIECE_ENDS = np.zeros(256, dtype=bool)
 _PIECE_ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -96,15 +100,50 @@ def _lang_hash(name: str) -> int:
     return value
 
 
-def _summed(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    distinct, n = np.unique(np.concatenate(keys), return_counts=True)
-    return distinct.view(np.int64), n.astype(np.int64)
+def _packed(keys: np.ndarray, n: np.ndarray, words: int, slices: int, least: int) -> pa.RecordBatch:
+    """Sorted keys with their counts, as a row per slice that has any; counts go up to ``least``, which is all that is asked."""
+    part = (keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(part, prepend=np.uint64(slices)))
+    bounds = np.append(first, len(keys)).astype(np.int32)
+    counts = np.minimum(n, least).astype(_count_type(least))
+    blobs = [pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds * v.itemsize), pa.py_buffer(v)]) for v in (keys.astype(np.uint32), counts)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), words, np.int8)), pa.array(part[first].astype(np.int32)), *blobs], ["words", "slice", "keys", "n"])
 
 
-def _scan(rows: DataFrame, step: int, cycle: int, ready: list) -> DataFrame:
-    """``words, key, n`` of one shard: all words during the first cycle, and the phrases that are active."""
+def _count_type(least: int) -> np.dtype:
+    return np.min_scalar_type(max(least, 0))
+
+
+def _unpacked(blobs: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in blobs])
+
+
+def _summed(least: int):
+    """Group pass: the counts of one slice and length, summed, and the slots of the keys that reach ``least``."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys, n = _unpacked(rows["keys"], np.uint32), _unpacked(rows["n"], _count_type(least))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        total = np.add.reduceat(n[order], first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+        keys = keys[first]
+        reached = np.unique(_slots(keys[total >= least])).astype(np.uint32)
+        made = [keys.tobytes(), np.minimum(total, least).astype(_count_type(least)).tobytes(), reached.tobytes()]
+        arrays = [rows["words"].slice(0, 1).combine_chunks(), rows["slice"].slice(0, 1).combine_chunks(), *[pa.array([m], pa.binary()) for m in made]]
+        return pa.Table.from_arrays(arrays, ["words", "slice", "keys", "n", "reached"])
+
+    return run
+
+
+def _spread_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(blob.as_buffer(), np.uint32).astype(np.int64))], ["slot"])
+
+
+def _scan(rows: DataFrame, step: int, cycle: int, ready: list, slices: int, least: int) -> DataFrame:
+    """``words, slice, keys, n`` of one shard: all words during the first cycle, and the phrases that are active."""
 
     def active(parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         since = np.maximum(*parts).astype(np.int64)
@@ -117,15 +156,13 @@ def _scan(rows: DataFrame, step: int, cycle: int, ready: list) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for size, keys in held.items():
                 if keys:
-                    key, n = _summed(keys)
                     held[size] = []
-                    sizes = pa.array(np.full(len(key), size, dtype=np.int8))
-                    yield pa.RecordBatch.from_arrays([sizes, pa.array(key), pa.array(n)], ["words", "key", "n"])
+                    yield _packed(*np.unique(np.concatenate(keys), return_counts=True), size, slices, least)
 
         for batch in batches:
             codes, names = _lang_numbers(batch.column(0))
             numbers = np.array([_lang_hash(n) for n in names] or [0], dtype=np.int64)[codes] if len(codes) else codes
-            for at, chunk in ws.chunks(ws.of_array(batch.column(1))):
+            for at, chunk in ws.chunks(ws.of_array(batch.column(1)), SCAN_BYTES):
                 found = _Words(chunk, numbers[at : at + len(chunk)])
                 if step < cycle:
                     held[1].append(found.keys)
@@ -138,18 +175,14 @@ def _scan(rows: DataFrame, step: int, cycle: int, ready: list) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    counted = rows.mapInArrow(work, "words byte, key long, n long")
-    return counted.groupBy("words", "key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(work, PACKED)
 
 
-def _reached(parts: list[DataFrame], words: int, least: int, known: np.ndarray, step: int) -> None:
-    """Enter into ``known`` that from ``step`` on the keys whose counts reach ``least`` are ready."""
-    total = parts[0]
-    for part in parts[1:]:
-        total = total.unionByName(part)
-    total = total.where(F.col("words") == words).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    slot = F.col("key").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) + 1
-    bits = total.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+def _reached(counts: DataFrame, words: int, known: np.ndarray, step: int) -> None:
+    """Enter into ``known`` that from ``step`` on the keys whose counts reach the threshold are ready."""
+    slot = F.col("slot") + 1
+    slots = counts.where(F.col("words") == words).select("reached").mapInArrow(_spread_slots, "slot long")
+    bits = slots.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     for row in bits.collect():  # at most 2 ** SLOT_BITS bits in all
         low = (row["bucket"] - 1) << 15
         here = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(row["bits"]), dtype=np.uint8), bitorder="little")) + low
@@ -168,18 +201,24 @@ def frequent_phrases(
     dealt = F.pmod(F.xxhash64(column(key)), F.lit(shards))
     rows = docs.select(F.coalesce(column(lang).cast("string"), F.lit("und")).alias("lang"), column(text).cast("string").alias("text"), dealt.alias("shard"))
     ready = [np.full(1 << SLOT_BITS, NEVER, dtype=np.uint8) for _ in range(3)]
-    parts: list[DataFrame] = []
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts: DataFrame | None = None
     for step in range(3 * shards):
         sent = [spark.sparkContext.broadcast(a) for a in ready[:2]]
         shard = rows.where(F.col("shard") == step % shards).select("lang", "text")
-        parts.append(written(_scan(shard, step, shards, sent), "phrase-counts", batch_bytes=BATCH_BYTES))
+        found = _scan(shard, step, shards, sent, slices, min_count)
+        if counts is not None:  # of lengths that are not counted to the end
+            longer = 1 + (step >= shards) + (step >= 2 * shards)
+            found = found.unionByName(counts.where(F.col("words") >= longer).drop("reached"))
+        summed = found.groupBy("words", "slice").applyInArrow(_summed(min_count), PACKED + ", reached binary")
+        counts = written(summed, "phrase-counts", batch_bytes=BATCH_BYTES)
         for s in sent:
             s.destroy()
         if step < shards:
-            _reached(parts, 1, min_count, ready[0], step + 1)
+            _reached(counts, 1, ready[0], step + 1)
         if 0 < step < 2 * shards:
-            _reached(parts[1:], 2, min_count, ready[1], step + 1)
-    _reached(parts[2:] or parts, 3, min_count, ready[2], 0)
+            _reached(counts, 2, ready[1], step + 1)
+    _reached(counts, 3, ready[2], 0)
 
     sent = [spark.sparkContext.broadcast(np.packbits(a != NEVER)) for a in ready]
     exact = rows.select("lang", "text").mapInArrow(_spelled(sent), "lang string, words byte, phrase string, f long")
