@@ -54,6 +54,17 @@ def arrow_batches(spark: SparkSession, most: int | None) -> Iterator[None]:
         spark.conf.set(ARROW_BYTES, before) if before is not None else spark.conf.unset(ARROW_BYTES)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session, for jobs run meanwhile."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def _bytes(size: str) -> int:
     """``67108864``, ``64m`` and the like in bytes."""
     found = re.fullmatch(r"(\d+)([kmgtp]?)b?", size.strip().lower())

@@ -253,9 +253,9 @@ def batch_partitions(spark, sf_dir):
     path = new_path(spark, "batches")
     batched = bt.batched_cohort(series(spark, sf_dir).select("patient_id", "series_id"), limit=500)
     tables.write_batches(batched, path, num_shards=2, spread="series_id")
-    again = spark.read.parquet(path).where(F.col("batch_id") == 0)
+    again = tables.read_batches(spark, path).where(F.col("batch_id") == 0)
     tables.write_batches(written(again, "batch-again"), path)
-    counts = spark.read.parquet(path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_series"))
+    counts = tables.read_batches(spark, path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_series"))
     return counts.select(F.col("batch_id").cast("bigint").alias("batch_id"), "n_series")
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cohortweave.functions.values import bucket_of
+from cohortweave.operators.shared import setting
 
 SUFFIX = "*.parquet"
+LIST_TASKS = 8  # per core, to list folders
 
 
 def distinct_series(files: DataFrame, only: Sequence | DataFrame | None = None, limit: int | None = None) -> DataFrame:
@@ -83,6 +85,13 @@ def write_batches(
     )
 
 
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All batches that ``write_batches`` wrote. Folders are listed by ``LIST_TASKS`` tasks per core, not by a task each."""
+    tasks = LIST_TASKS * spark.sparkContext.defaultParallelism
+    with setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", str(tasks)):
+        return spark.read.parquet(path)
+
+
 def write_bucketed(records: DataFrame, name: str, path: str, key: str = "patient_id", buckets: int = 64) -> DataFrame:
     """A table in buckets by ``key``, under ``path`` and a name of the catalog; returns it as it is read back.
 
