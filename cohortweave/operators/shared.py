@@ -82,3 +82,27 @@ def written(df: DataFrame, name: str, compression: str | None = None, batch_byte
     with arrow_batches(df.sparkSession, batch_bytes):
         df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Tables of one job in the shared folder, each removed when nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, batch_bytes: int | None = None):
+        self.spark, self.batch_bytes, self.paths = spark, batch_bytes, {}
+
+    def write(self, name: str, *parts: DataFrame, **options: str) -> DataFrame:
+        """The rows of all parts, as ``written`` has them; a part's shuffle files go before the next part begins."""
+        path = self.paths[name] = new_path(self.spark, name)
+        with arrow_batches(self.spark, self.batch_bytes), setting(self.spark, FREE_SHUFFLES, "true"):
+            for part in parts:
+                part.write.mode("append").options(**options).parquet(path)
+        return self.spark.read.schema(parts[0].schema).parquet(path)
+
+    def remove(self, *names: str) -> None:
+        """Deletes these tables. What was made from them must have been written."""
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
